@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
+from shelfmark.schema import nullable
 
 Enrich = Callable[[DataFrame], DataFrame]
 
@@ -98,6 +99,7 @@ class _Node:
         self.dtype, self.tag, self.path = dtype, tag, path
         self.children: dict[str, _Node] = {}
         self.value: _Node | None = None
+        self.entries_type: T.DataType | None = None
         if isinstance(dtype, T.StructType):
             for i, f in enumerate(dtype.fields):
                 below = f"{path}.{f.name}" if path else f"$.{f.name}"
@@ -143,7 +145,7 @@ class _Node:
         kept = reset.isNull() & base.isNotNull()
         if self.value is not None:
             old = F.when(kept, base).otherwise(F.create_map().cast(self.dtype))
-            entries = F.coalesce(patch(f"{self.tag}_entries"), F.create_map().cast(_entry_type(self)))
+            entries = F.coalesce(patch(f"{self.tag}_entries"), F.create_map().cast(self.entries_type))
             node = self.value
 
             def entry(_: Column, b: Column, p: Column) -> Column:
@@ -164,13 +166,6 @@ def _entry_lives(k: Column, old: Column, entries: Column, reset: Column) -> Colu
     return F.map_contains_key(old, k) | reset.isNull() | (seen > reset)
 
 
-_ENTRY_TYPES: dict[str, T.DataType] = {}
-
-
-def _entry_type(node: _Node) -> T.DataType:
-    return _ENTRY_TYPES[node.path]
-
-
 def patch(
     base: DataFrame,
     patches: DataFrame,
@@ -185,7 +180,7 @@ def patch(
     patches of an id are condensed field by field in one aggregation, so many
     patches of one document combine before the shuffle.
     """
-    schema = T.StructType([f for f in base.schema.fields if f.name != key])
+    schema = nullable(T.StructType([f for f in base.schema.fields if f.name != key]))
     root = _Node(schema, "f", None)
     order = F.struct(*order_by)
     usable = patches.filter(~sc.is_blank(F.col(key)) & F.col(body).isNotNull())
@@ -207,7 +202,7 @@ def patch(
                 F.collect_list(F.struct("_k", F.struct(*states).alias("_s")))
             ).alias(f"{m.tag}_entries")
         )
-        _ENTRY_TYPES[m.path] = whole.schema[f"{m.tag}_entries"].dataType
+        m.entries_type = whole.schema[f"{m.tag}_entries"].dataType
         condensed = condensed.join(whole, key, "left")
     state = condensed.withColumnRenamed(key, "_key")
     fields = [

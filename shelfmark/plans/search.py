@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from shelfmark.functions import text as tx
 from shelfmark.operators import criteria as cr
 from shelfmark.operators import facets as fc
 from shelfmark.operators import paging as pg
+from shelfmark.operators import relevance as rv
 from shelfmark.schema import CatalogSchema
 
 
@@ -44,3 +47,40 @@ def criteria_search(
         pg.totals(matches),
         fc.facets(matches, list(aggs), score="_score") if aggs else None,
     )
+
+
+def text_search(
+    catalog: DataFrame,
+    query: str,
+    fields: Sequence[str] | None = None,
+    limit: int = pg.DEFAULT_LIMIT,
+    offset: int = 0,
+    highlight: bool = False,
+    fuzziness: str | int = "AUTO",
+    schema: CatalogSchema | None = None,
+    index: rv.TextIndex | None = None,
+    id_col: str = "id",
+) -> SearchResult:
+    """Ranked search. ``index`` is the published side table; without it the catalog is tokenised.
+
+    Scores are made from ids, terms and lengths alone; whole rows are fetched for
+    the one page that is shown.
+    """
+    tx.normalise_query(query)
+    pg.validate_limit(limit)
+    schema = schema or CatalogSchema.of(catalog)
+    index = index or rv.TextIndex.of(catalog, fields, schema, id_col)
+    if fuzziness in (0, "0", None):
+        expansion = rv.exact_terms(catalog.sparkSession, index, query)
+    else:
+        expansion = rv.expand(index, query, fuzziness)
+    matched = rv.matched_terms(index, expansion)
+    matches = rv.best_fields(rv.bm25(matched, expansion, index.stats))
+    top = pg.page(matches, limit=limit, offset=offset)
+    # a page holds at most 100 ids
+    shown = F.broadcast(top.withColumnRenamed("id", "_hit"))
+    hits = catalog.join(shown, catalog[id_col] == F.col("_hit")).drop("_hit")
+    if highlight:
+        hits = rv.highlight(hits, matched, schema, [name for name, _ in index.fields], id_col)
+    ordered = hits.orderBy(F.col("_score").desc(), F.col(id_col).asc())
+    return SearchResult(matches, ordered, pg.totals(matches))

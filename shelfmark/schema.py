@@ -340,6 +340,19 @@ def _with_kinds(actual: T.DataType, declared: T.DataType) -> T.DataType:
     return actual
 
 
+def nullable(dtype: T.DataType) -> T.DataType:
+    """The same type with every nested value allowed to be null."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType(
+            [T.StructField(f.name, nullable(f.dataType), True, f.metadata) for f in dtype.fields]
+        )
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(nullable(dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, nullable(dtype.valueType))
+    return dtype
+
+
 def _walk(prefix: str, struct: T.StructType, inherited: str | None):
     for f in struct.fields:
         path = f"{prefix}{f.name}"
