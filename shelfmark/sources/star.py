@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.operators.registry import REGISTRY
+from shelfmark.operators.sessions import LEDGER
 from shelfmark.schema import PRODUCT, PROPERTY
 
 
@@ -154,3 +156,78 @@ def load_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A total order on the rows of a load stream.
 STREAM_ORDER = ["batch", "pos", "source_part", "source_supplier", "Price", "Quantity"]
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the ledger of load sessions: a session per customer, a batch per order.
+
+    Every fifth batch was sent twice; some sessions were completed or cancelled.
+    """
+    orders = table(spark, sf_dir, "orders")
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    at = F.col("o_orderdate").cast("timestamp")
+    failed = key % 7
+    batch = orders.select(
+        cust.cast("string").alias("session"),
+        F.lit("batch").alias("event"),
+        key.alias("batch"),
+        F.explode(F.sequence(F.lit(1), F.when(key % 5 == 0, 2).otherwise(1))).alias("attempt"),
+        at.alias("at"),
+        F.floor(F.col("o_totalprice") / 1000).alias("input"),
+        (F.floor(F.col("o_totalprice") / 1000) - failed).alias("successful"),
+        failed.alias("failed"),
+    )
+    start = orders.groupBy("o_custkey").agg(F.min(at).alias("at")).select(
+        cust.cast("string").alias("session"),
+        F.lit("start").alias("event"),
+        "at",
+        F.when(cust % 3 != 0, F.lit(5000).cast("bigint")).alias("estimated_total"),
+        F.concat(F.lit("shop"), (cust % 20).cast("string")).alias("alias"),
+        F.when(cust % 2 == 0, "blue").otherwise("green").alias("color"),
+        F.when(cust % 4 == 0, "auto-swap").otherwise("safe").alias("strategy"),
+    )
+    end = (
+        orders.groupBy("o_custkey")
+        .agg(F.max(at).alias("at"))
+        .filter((cust % 4 == 0) | (cust % 9 == 0))
+        .select(
+            cust.cast("string").alias("session"),
+            F.when(cust % 4 == 0, "complete").otherwise("cancel").alias("event"),
+            "at",
+        )
+    )
+    return conform(batch, LEDGER).unionByName(conform(start, LEDGER)).unionByName(conform(end, LEDGER))
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with exactly the columns of ``schema``; absent ones are null."""
+    have = set(df.columns)
+    return df.select(
+        *[
+            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+    )
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as publish events: an alias per customer, a version per order.
+
+    Every order stages a version; an F order publishes it, every third O order drops it.
+    """
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    follow = F.when(F.col("o_orderstatus") == "F", F.lit("publish")).when(
+        (F.col("o_orderstatus") == "O") & (key % 3 == 0), F.lit("drop")
+    )
+    actions = F.filter(F.array(F.lit("stage"), follow), lambda a: a.isNotNull())
+    rows = orders.select(F.posexplode(actions).alias("step", "action"), "*").select(
+        (key * 2 + F.col("step")).alias("seq"),
+        F.concat(F.lit("shop"), F.col("o_custkey").cast("string")).alias("alias"),
+        "action",
+        F.concat(F.lit("v"), key.cast("string")).alias("version"),
+        F.when(key % 2 == 0, "blue").otherwise("green").alias("color"),
+        F.col("o_orderdate").cast("timestamp").alias("at"),
+        F.lit("safe").alias("strategy"),
+    )
+    return conform(rows, REGISTRY)
