@@ -49,6 +49,7 @@ def running_totals(
     position: str,
     totals: Mapping[str, Column | str],
     span_bits: int = 40,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Running sums per ``by`` group in the order of a whole-number ``position``.
 
@@ -56,14 +57,15 @@ def running_totals(
     positions: blocks are summed first, sums of earlier blocks are added to the
     running sum inside a block. So a task sorts one block of one group, however
     large the group. ``span_bits`` is the width of the positions; wider positions
-    get one more level of blocks per ``BLOCK_BITS``.
+    get one more level of blocks per ``block_bits``.
     """
     block = "_block"
-    cut = df.withColumn(block, F.shiftright(F.col(position), BLOCK_BITS))
+    cut = df.withColumn(block, F.shiftright(F.col(position), block_bits))
     sums = cut.groupBy(*by, block).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
     inner = {n: F.col(f"_sum_{n}") for n in totals}
-    if span_bits - BLOCK_BITS > BLOCK_BITS:
-        upto = running_totals(sums, by, block, {f"_upto_{n}": v for n, v in inner.items()}, span_bits - BLOCK_BITS)
+    if span_bits - block_bits > block_bits:
+        above = {f"_upto_{n}": v for n, v in inner.items()}
+        upto = running_totals(sums, by, block, above, span_bits - block_bits, block_bits)
     else:
         w = W.partitionBy(*by).orderBy(block).rowsBetween(W.unboundedPreceding, W.currentRow)
         upto = sums.withColumns({f"_upto_{n}": F.sum(v).over(w) for n, v in inner.items()})
