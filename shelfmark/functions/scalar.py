@@ -21,11 +21,16 @@ def first_truthy_text(*cols: Column) -> Column:
 
 
 def numeric_key(c: Column) -> Column:
-    """A whole number written as text, as bigint; anything else is null."""
-    d = F.trim(c).try_cast("double")
-    exact = F.trim(c).try_cast("bigint")
+    """A whole number written as text, as bigint; anything else is null.
+
+    The pattern goes first because a failed cast costs far more than a failed match.
+    """
+    t = F.trim(c)
+    d = t.try_cast("double")
     whole = F.when((d == F.floor(d)) & (F.abs(d) < F.lit(2.0**53)), d.cast("bigint"))
-    return F.coalesce(exact, whole)
+    return F.when(t.rlike(r"^[+-]?[0-9]{1,18}$"), t.try_cast("bigint")).when(
+        t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), whole
+    )
 
 
 def compact_timestamp(ts: Column, digits: int = 17) -> Column:

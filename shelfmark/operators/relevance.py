@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
+from shelfmark.runtime import cut_lineage
 from shelfmark.schema import KEYWORD, TEXT, TEXT_KEYWORD, CatalogSchema, Path
 
 # BM25 saturation and length weight.
@@ -23,6 +24,9 @@ B = 0.75
 # Highlight tags.
 OPEN_TAG, CLOSE_TAG = "<em>", "</em>"
 
+# Most terms of an expansion that are sent to every task; beyond, both sides are shuffled.
+BROADCAST_TERMS = 100_000
+
 # Scores are rounded so that rank does not depend on the order of a sum.
 SCORE_DIGITS = 9
 
@@ -51,21 +55,21 @@ class TextIndex:
         id_col: str = "id",
     ) -> "TextIndex":
         paths = search_fields(schema or CatalogSchema.of(df), fields)
-        parts = [(p, _analysis(p), _terms(p)) for p in paths]
+        split = df.select(
+            F.col(id_col).alias("id"), *[_terms(p).alias(f"_t{i}") for i, p in enumerate(paths)]
+        )
         lists = F.array(
             *[
                 F.struct(
                     F.lit(p.name).alias("field"),
-                    F.lit(analysis).alias("analysis"),
-                    terms.alias("terms"),
-                    F.size(terms).cast("bigint").alias("length"),
+                    F.lit(_analysis(p)).alias("analysis"),
+                    F.col(f"_t{i}").alias("terms"),
+                    F.size(f"_t{i}").cast("bigint").alias("length"),
                 )
-                for p, analysis, terms in parts
+                for i, p in enumerate(paths)
             ]
         )
-        per_field = df.select(F.col(id_col).alias("id"), F.explode(lists).alias("f")).filter(
-            F.col("f.length") > 0
-        )
+        per_field = split.select("id", F.explode(lists).alias("f")).filter(F.col("f.length") > 0)
         occurrences = per_field.select(
             "id",
             "f.field",
@@ -77,7 +81,7 @@ class TextIndex:
         stats = per_field.groupBy("f.field").agg(
             F.count(F.lit(1)).alias("docs"), F.avg("f.length").alias("mean_length")
         )
-        return cls(occurrences, stats, tuple((p.name, a) for p, a, _ in parts))
+        return cls(occurrences, stats, tuple((p.name, _analysis(p)) for p in paths))
 
 
 def search_fields(schema: CatalogSchema, fields: Sequence[str] | None) -> list[Path]:
@@ -117,12 +121,34 @@ def query_table(query: str) -> list[tuple[str, str, int]]:
     return words + [(WHOLE, tx.normalise_query(query), 1)]
 
 
-def expand(index: TextIndex, query: str, fuzziness: str | int = "AUTO") -> DataFrame:
+@dataclass(frozen=True)
+class Expansion:
+    """Terms to look for: analysis, asked, term, weight, edits, boost.
+
+    ``exact`` lists them where they are the query's own words. ``small`` says that
+    their number was counted and is within ``BROADCAST_TERMS``.
+    """
+
+    rows: DataFrame
+    small: bool
+    exact: tuple[tuple[str, str], ...] = ()
+
+    def side(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+
+def expand(index: TextIndex, query: str, fuzziness: str | int = "AUTO") -> Expansion:
     """Terms of the vocabulary close enough to a query term, with weight and edits.
 
     Edit distances are taken once per distinct term, not per occurrence; only terms
-    of a possible length get that far. Columns: analysis, asked, term, weight, edits, boost.
+    of a possible length get that far. The result is written down and counted, as
+    its size decides how it is joined.
     """
+    rows = cut_lineage(near_terms(index, query, fuzziness))
+    return Expansion(rows, rows.count() <= BROADCAST_TERMS)
+
+
+def near_terms(index: TextIndex, query: str, fuzziness: str | int = "AUTO") -> DataFrame:
     kinds = {a for _, a in index.fields}
     asked = [(a, t, n, tx.allowed_edits(t, fuzziness)) for a, t, n in query_table(query) if a in kinds]
     length = F.length("term")
@@ -158,32 +184,46 @@ def expand(index: TextIndex, query: str, fuzziness: str | int = "AUTO") -> DataF
     )
 
 
-def exact_terms(spark: SparkSession, index: TextIndex, query: str) -> DataFrame:
+def exact_terms(spark: SparkSession, index: TextIndex, query: str) -> Expansion:
     """The expansion without fuzziness: the query's own terms."""
     kinds = {a for _, a in index.fields}
     rows = [(a, t, t, n, 0, 1.0) for a, t, n in query_table(query) if a in kinds]
-    return spark.createDataFrame(
+    df = spark.createDataFrame(
         rows, "analysis string, asked string, term string, weight int, edits int, boost double"
     )
+    return Expansion(df, True, tuple((a, t) for a, t, *_ in rows))
 
 
-def matched_terms(index: TextIndex, expansion: DataFrame) -> DataFrame:
-    """Occurrences of the wanted terms, counted per document and field."""
-    wanted = expansion.select("analysis", "term").distinct()
-    return (
-        index.occurrences.join(wanted, ["analysis", "term"], "left_semi")
-        .groupBy("id", "field", "analysis", "length", "term")
-        .agg(F.sum("tf").alias("tf"))
-    )
+def matched_terms(index: TextIndex, expansion: Expansion) -> DataFrame:
+    """Occurrences of the wanted terms, counted per document and field.
+
+    The words of the query become a plain filter, which reaches a stored index as
+    a pushed filter. Fuzzy terms join, without moving the occurrences while the
+    terms are few enough to send to every task.
+    """
+    occurrences = index.occurrences
+    if expansion.exact:
+        wanted = [
+            (F.col("analysis") == a) & F.col("term").isin([t for b, t in expansion.exact if b == a])
+            for a in sorted({a for a, _ in expansion.exact})
+        ]
+        found = occurrences.filter(F.col("term").isin([t for _, t in expansion.exact])).filter(
+            reduce(lambda x, y: x | y, wanted)
+        )
+    else:
+        terms = expansion.rows.select("analysis", "term").distinct()
+        found = occurrences.join(expansion.side(terms), ["analysis", "term"], "left_semi")
+    return found.groupBy("id", "field", "analysis", "length", "term").agg(F.sum("tf").alias("tf"))
 
 
-def bm25(matched: DataFrame, expansion: DataFrame, stats: DataFrame) -> DataFrame:
+def bm25(matched: DataFrame, expansion: Expansion, stats: DataFrame) -> DataFrame:
     """Score per document and field; the terms of the query add up.
 
     Document frequencies come from an aggregation joined back, not from a window,
-    so a term that most documents hold is never gathered in one task.
+    so a term that most documents hold is never gathered in one task. They have a
+    row per field and term found, so they are as few as the expansion.
     """
-    df = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = matched.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     # one row per searched field
     facts = F.broadcast(stats)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -193,8 +233,8 @@ def bm25(matched: DataFrame, expansion: DataFrame, stats: DataFrame) -> DataFram
     )
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * relative))
     return (
-        matched.join(df, ["field", "term"])
-        .join(expansion, ["analysis", "term"])
+        matched.join(expansion.side(df), ["field", "term"])
+        .join(expansion.side(expansion.rows), ["analysis", "term"])
         .join(facts, "field")
         .groupBy("id", "field")
         .agg(F.sum(F.col("weight") * F.col("boost") * idf * saturation).alias("score"))

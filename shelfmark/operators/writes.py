@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
+from shelfmark.runtime import computed_once
 from shelfmark.schema import nullable
 
 Enrich = Callable[[DataFrame], DataFrame]
@@ -183,7 +184,9 @@ def patch(
     schema = nullable(T.StructType([f for f in base.schema.fields if f.name != key]))
     root = _Node(schema, "f", None)
     order = F.struct(*order_by)
-    usable = patches.filter(~sc.is_blank(F.col(key)) & F.col(body).isNotNull())
+    usable = computed_once(patches, body, F.col(body)).filter(
+        ~sc.is_blank(F.col(key)) & F.col(body).isNotNull()
+    )
     doc = F.col(body)
     aggs = [a for c in root.children.values() for a in c.aggregates(doc, order)]
     condensed = usable.groupBy(key).agg(*aggs)

@@ -14,6 +14,7 @@ from shelfmark.operators import criteria as cr
 from shelfmark.operators import facets as fc
 from shelfmark.operators import paging as pg
 from shelfmark.operators import relevance as rv
+from shelfmark.runtime import cut_lineage
 from shelfmark.schema import CatalogSchema
 
 
@@ -64,7 +65,8 @@ def text_search(
     """Ranked search. ``index`` is the published side table; without it the catalog is tokenised.
 
     Scores are made from ids, terms and lengths alone; whole rows are fetched for
-    the one page that is shown.
+    the one page that is shown. The occurrences found are written down once, since
+    frequencies, scores, totals and highlights all start from them.
     """
     tx.normalise_query(query)
     pg.validate_limit(limit)
@@ -74,7 +76,7 @@ def text_search(
         expansion = rv.exact_terms(catalog.sparkSession, index, query)
     else:
         expansion = rv.expand(index, query, fuzziness)
-    matched = rv.matched_terms(index, expansion)
+    matched = cut_lineage(rv.matched_terms(index, expansion))
     matches = rv.best_fields(rv.bm25(matched, expansion, index.stats))
     top = pg.page(matches, limit=limit, offset=offset)
     # a page holds at most 100 ids

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "shelfmark", cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -56,3 +57,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out before heavy row work.
+
+    A table of many files has more splits than cores and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated once per row, whatever filters follow.
+
+    The optimizer moves filters below a projection and repeats its expressions
+    there; it does not move them below a generator.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))

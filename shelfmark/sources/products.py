@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.runtime import computed_once
 from shelfmark.schema import DISABLED, PRODUCT, PROPERTY, kind_of
 
 # How a rejected row is reported.
@@ -72,7 +73,7 @@ class ProductSource:
             self._rows = None
 
 
-def property_struct(entry: Column, key: Column | None = None) -> Column:
+def property_struct(entry: Column) -> Column:
     """A property entry (variant) as the 23-field struct.
 
     The short form ``{Name, Value, DataType}`` fills KeyName and ValueString.
@@ -93,23 +94,21 @@ def normalise_properties(v: Column) -> Column:
     by_key = F.transform_values(
         F.try_variant_get(v, "$", "map<string,variant>"), lambda _, e: property_struct(e)
     )
-    entries = F.filter(
-        F.transform(F.try_variant_get(v, "$", "array<variant>"), property_struct_of),
-        lambda p: p["KeyName"].isNotNull(),
-    )
+    entries = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: property_struct(e))
+    # the one-element array binds the entries to a name, so that they are made once
+    listed = F.transform(F.array(entries), _last_of_each_key)[0]
+    return F.coalesce(by_key, listed)
+
+
+def _last_of_each_key(entries: Column) -> Column:
     last = F.filter(
         entries,
-        lambda p, i: ~F.exists(
-            F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(0))),
-            lambda q: q["KeyName"] == p["KeyName"],
+        lambda p, i: p["KeyName"].isNotNull()
+        & ~F.exists(
+            F.slice(entries, i + 2, F.size(entries)), lambda q: q["KeyName"].eqNullSafe(p["KeyName"])
         ),
     )
-    listed = F.map_from_entries(F.transform(last, lambda p: F.struct(p["KeyName"], p)))
-    return F.coalesce(by_key, listed)
-
-
-def property_struct_of(entry: Column) -> Column:
-    return property_struct(entry)
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["KeyName"], p)))
 
 
 def _field(v: Column, f: T.StructField) -> Column:
@@ -138,7 +137,7 @@ def parse_lines(
     ``error`` struct<type, reason, status>.
     """
     passed = [c for c in lines.columns if c != value]
-    doc = lines.select(*passed, value, F.try_parse_json(value).alias("_doc"))
+    doc = computed_once(lines.select(*passed, value), "_doc", F.try_parse_json(value))
     typed = doc.select(
         *passed,
         value,

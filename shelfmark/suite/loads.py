@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from shelfmark.operators import ingest as ing
 from shelfmark.operators import writes as wr
-from shelfmark.runtime import work_path
+from shelfmark.runtime import spread, work_path
 from shelfmark.schema import PRODUCT
 from shelfmark.sources import products as src
 from shelfmark.sources.star import CATALOG_SQL, STREAM_ORDER, catalog, load_stream, table
@@ -73,7 +73,7 @@ def normalise_properties(spark, sf):
     short = F.format_string('{"x": {"Name": "short", "Value": %s, "DataType": "Integer"}}', k)
     n = F.col("event_id") % 3
     text = F.when(n == 0, as_map).when(n == 1, as_list).otherwise(short)
-    df = table(spark, sf, "events").select(
+    df = spread(table(spark, sf, "events")).select(
         "event_id", src.normalise_properties(F.parse_json(text)).alias("props")
     )
     return df.select("event_id", F.explode(F.map_values("props")).alias("p")).select(
@@ -105,7 +105,7 @@ def product_lines(spark, sf):
         F.lit(', "Color": "red"'),
         F.when(fault == 5, F.lit("")).otherwise(F.lit("}")),
     )
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("batch"),
         F.col("l_linenumber").cast("bigint").alias("pos"),
         F.col("l_partkey").alias("part"),
@@ -313,7 +313,7 @@ def patch_stream(spark, sf):
         .when(form == 4, F.lit('{"Rules": null}'))
         .otherwise(F.lit('{"SearchName": "Patched", "Unknown": 1}'))
     )
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.concat(F.lit("P"), part.cast("string")).alias("id"),
         "l_orderkey",
         "l_linenumber",

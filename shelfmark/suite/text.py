@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import relevance as rv
 from shelfmark.plans.search import text_search
 from shelfmark.plans.side_tables import read_text_index, write_text_index
-from shelfmark.runtime import work_path
+from shelfmark.runtime import spread, work_path
 from shelfmark.schema import CatalogSchema
 from shelfmark.sources.star import table
 from shelfmark.suite import query
@@ -41,7 +41,7 @@ asked AS (SELECT term, 1 AS weight, 1.0 - d / least(length(word), length(term))
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    return spread(table(spark, sf, "documents")).withColumnRenamed("doc_id", "id")
 
 
 def index(spark, sf):
@@ -72,12 +72,13 @@ def best_fields(spark, sf):
     found = text_search(
         documents(spark, sf), "src7 hehely the", ["text", "source"], limit=20, offset=10, fuzziness=0
     )
+    summary = found.summary.select(F.struct("total", "max_score")).scalar()
     return found.hits.select(
         "id",
         "lang",
         F.round("_score", 6).alias("score"),
-        found.summary.select("total").scalar().alias("total"),
-        F.round(found.summary.select("max_score").scalar(), 6).alias("max_score"),
+        summary["total"].alias("total"),
+        F.round(summary["max_score"], 6).alias("max_score"),
     )
 
 
@@ -85,7 +86,7 @@ def best_fields(spark, sf):
 def fuzzy_terms(spark, sf):
     """Vocabulary within the allowed edits, a swap counting once."""
     ix = rv.TextIndex.of(documents(spark, sf), ["text"])
-    found = rv.expand(ix, "thinat reon of").filter(F.col("term").rlike("^[a-z0-9]+$"))
+    found = rv.near_terms(ix, "thinat reon of").filter(F.col("term").rlike("^[a-z0-9]+$"))
     return found.select("asked", "term", "edits")
 
 
