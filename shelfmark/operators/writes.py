@@ -116,7 +116,13 @@ class _Node:
         given = raw.isNotNull()
         if not self.children and self.value is None:
             typed = F.try_variant_get(doc, self.path or "$", self.dtype.simpleString())
-            last = F.max_by(F.struct(typed.alias("v"), order.alias("o")), F.when(given, order))
+            row = F.struct(order.alias("o"), typed.alias("v"))
+            # an atomic value may take part in the order, which spares a second copy of it
+            last = (
+                F.max(F.when(given, row))
+                if isinstance(self.dtype, T.AtomicType)
+                else F.max_by(row, F.when(given, order))
+            )
             return [last.alias(self.tag)]
         whole = F.schema_of_variant(raw).startswith("OBJECT")
         out = [

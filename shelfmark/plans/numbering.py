@@ -59,7 +59,7 @@ def running_totals(
     large the group. ``span_bits`` is the width of the positions; wider positions
     get one more level of blocks per ``block_bits``.
     """
-    block = "_block"
+    block = f"{position}_block"
     cut = df.withColumn(block, F.shiftright(F.col(position), block_bits))
     sums = cut.groupBy(*by, block).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
     inner = {n: F.col(f"_sum_{n}") for n in totals}

@@ -19,57 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def property_entry(**values: Column) -> Column:
-    """One property struct with the given leaves; the others are null."""
-    return F.struct(
-        *[
-            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name, metadata=f.metadata)
-            for f in PROPERTY.fields
-        ]
-    )
+def property_entry(**values: str) -> str:
+    """SQL for one property struct with the given leaves; the others are null."""
+    leaves = [
+        f"'{f.name}', CAST({values.get(f.name, 'NULL')} AS {f.dataType.simpleString()})"
+        for f in PROPERTY.fields
+    ]
+    return f"named_struct({', '.join(leaves)})"
 
 
 def catalog(spark: SparkSession, sf_dir: str, categories: bool = True) -> DataFrame:
     """One product per part; a part sold in no line has no categories."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    maker = F.concat_ws("/", "p_brand", "p_type")
-    facets = F.map_filter(
-        F.create_map(
-            F.lit("Brand"),
-            property_entry(
-                KeyName=F.lit("Brand"),
-                Translation=F.col("p_brand"),
-                FriendlyName=F.lit("Brand name"),
-                RecordId=key,
-            ),
-            F.lit("Type"),
-            property_entry(
-                KeyName=F.lit("Type"),
-                Translation=F.initcap("p_type"),
-                FriendlyName=F.lit("Product type"),
-                ValueString=F.col("p_type"),
-                RecordId=key,
-            ),
-            F.lit("Size"),
-            property_entry(
-                KeyName=F.lit("Size"),
-                Translation=F.col("p_size").cast("string"),
-                FriendlyName=F.lit("Size"),
-                Distance=F.col("p_size"),
-                RecordId=key,
-            ),
-            F.lit("Maker"),
-            property_entry(
-                KeyName=maker,
-                Translation=F.col("p_brand"),
-                FriendlyName=F.concat(F.lit("Made as "), F.col("p_type")),
-                RecordId=key,
-            ),
-        ),
-        lambda k, v: ~(
-            ((k == "Brand") & (v["RecordId"] % 5 == 0)) | ((k == "Size") & (v["RecordId"] % 7 == 0))
-        ),
+    brand = property_entry(
+        KeyName="'Brand'", Translation="p_brand", FriendlyName="'Brand name'", RecordId="p_partkey"
+    )
+    kind = property_entry(
+        KeyName="'Type'",
+        Translation="initcap(p_type)",
+        FriendlyName="'Product type'",
+        ValueString="p_type",
+        RecordId="p_partkey",
+    )
+    size = property_entry(
+        KeyName="'Size'",
+        Translation="p_size",
+        FriendlyName="'Size'",
+        Distance="p_size",
+        RecordId="p_partkey",
+    )
+    maker = property_entry(
+        KeyName="concat_ws('/', p_brand, p_type)",
+        Translation="p_brand",
+        FriendlyName="concat('Made as ', p_type)",
+        RecordId="p_partkey",
+    )
+    facets = F.expr(
+        f"map_filter(map('Brand', {brand}, 'Type', {kind}, 'Size', {size}, 'Maker', {maker}),"
+        " (k, v) -> NOT ((k = 'Brand' AND p_partkey % 5 = 0) OR (k = 'Size' AND p_partkey % 7 = 0)))"
     )
     number = F.lpad((90000 + key % 10000).cast("string"), 5, "0")
     kinds = {f.name: f.metadata for f in PRODUCT.fields}

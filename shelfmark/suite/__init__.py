@@ -28,4 +28,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load_all() -> None:
-    from shelfmark.suite import criteria, loads, misc, publish, sessions, text  # noqa: F401
+    from shelfmark.suite import criteria, flows, loads, misc, publish, sessions, text  # noqa: F401
