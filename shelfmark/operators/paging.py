@@ -62,6 +62,13 @@ def page(
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def hit_projection(df: DataFrame, fields: Sequence[str] | None = None, id_col: str = "id") -> DataFrame:
+    """Rows as hits: the source or the listed fields of it, then ``_id`` and what the search added."""
+    added = [c for c in ("_score", "_highlight") if c in df.columns]
+    source = list(fields) if fields else [c for c in df.columns if c not in added]
+    return df.select(*source, F.col(id_col).alias("_id"), *added)
+
+
 def first_n(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     """The first ``n`` rows in an order."""
     return df.orderBy(*order).limit(n)

@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 from shelfmark.functions import scalar as sc
 from shelfmark.plans.numbering import running_totals
 
-# Idle time that ends a session, and how often a failed batch is sent again.
+# Fixed value: idle time that ends a session.
 IDLE_SECONDS = 3600
-MAX_ATTEMPTS = 3
 
 ACTIVE, COMPLETED, FAILED, EXPIRED = "active", "completed", "failed", "expired"
 

@@ -124,14 +124,17 @@ class BlueGreenCatalog:
 
     def create_warming_version(self, alias: str) -> str:
         """An empty version of the next colour, labelled as warming."""
-        return self.create_version(alias, self.files.new_version(), self._next_color(alias), WARMING)
+        return self.create_version(
+            alias, self.files.new_version(), self._next_color(self.status(alias)), WARMING
+        )
 
-    def _next_color(self, alias: str, strategy: str = rg.SAFE) -> str:
+    @staticmethod
+    def _next_color(state: DeploymentState, strategy: str = rg.SAFE) -> str:
         if strategy == rg.BLUE_ONLY:
             return BLUE
         if strategy == rg.GREEN_ONLY:
             return GREEN
-        return GREEN if self.status(alias).active_color == BLUE else BLUE
+        return GREEN if state.active_color == BLUE else BLUE
 
     def keyed(
         self, products: DataFrame, order_by: Sequence[str] = (), unique: bool = False
@@ -188,9 +191,9 @@ class BlueGreenCatalog:
             raise ValueError(f"Unknown strategy {strategy!r}; use one of {', '.join(rg.STRATEGIES)}")
         rows = products.filter(keep(products)) if keep else products
         rows = wr.load_enriched(rows, enrich)
-        before = self.status(alias)
         seen = self.files.last_seq(alias)
-        target = color or self._next_color(alias, strategy)
+        before = self.status(alias)
+        target = color or self._next_color(before, strategy)
         version = self._write(alias, self.keyed(rows, order_by, unique))
         self._audit(alias, version, expected, minimum)
         if "DefaultProductProperties" in rows.columns:
@@ -338,3 +341,33 @@ class BlueGreenCatalog:
     ) -> DeploymentState:
         """A new version from the active one: ``how`` is an upsert, a patch or a delete."""
         return self.deploy(alias, how(self.table(alias)), strategy, unique=True)
+
+    def index_one(self, alias: str, document: DataFrame) -> str:
+        """Store one document under its id; says whether it was created or updated."""
+        if document is None:
+            raise ValueError("Document is required")
+        keyed = self.keyed(document)
+        base = self.table(alias)
+        row = wr.write_results(base, keyed, self.key).first()
+        full = base.limit(0).unionByName(keyed, allowMissingColumns=True).select(*base.columns)
+        self.change(alias, lambda d: wr.upsert(d, full, [self.key], self.key))
+        return row["result"]
+
+    def update(self, alias: str, document_id: str | int, patch_json: str) -> str:
+        """Apply a partial document, inserting it when the id is new."""
+        found = _named(str(document_id), "Document ID")
+        if not patch_json:
+            raise ValueError("Document is required")
+        one = self.spark.createDataFrame([(found, patch_json)], "_k string, _t string")
+        patches = one.select(F.col("_k").alias(self.key), F.parse_json("_t").alias("patch"), F.lit(0).alias("_o"))
+        row = wr.write_results(self.table(alias), patches, self.key).first()
+        self.change(alias, lambda d: wr.patch(d, patches, ["_o"], self.key))
+        return row["result"]
+
+    def delete(self, alias: str, document_id: str | int) -> None:
+        """Remove one document; an unknown id is an error."""
+        found = _named(str(document_id), "Document ID")
+        ids = self.spark.createDataFrame([(found,)], f"{self.key} string")
+        if not wr.delete_unknown(self.table(alias), ids, self.key).isEmpty():
+            raise LookupError(f"Error deleting document {found} from '{alias}': not found")
+        self.change(alias, lambda d: wr.delete(d, ids, self.key))

@@ -44,7 +44,7 @@ def criteria_search(
     matches = cr.with_score(catalog, criteria, schema, honor_field_kinds)
     return SearchResult(
         matches,
-        pg.page(matches, sort, limit, offset, schema),
+        pg.hit_projection(pg.page(matches, sort, limit, offset, schema)),
         pg.totals(matches),
         fc.facets(matches, list(aggs), score="_score") if aggs else None,
     )
@@ -85,4 +85,4 @@ def text_search(
     if highlight:
         hits = rv.highlight(hits, matched, schema, [name for name, _ in index.fields], id_col)
     ordered = hits.orderBy(F.col("_score").desc(), F.col(id_col).asc())
-    return SearchResult(matches, ordered, pg.totals(matches))
+    return SearchResult(matches, pg.hit_projection(ordered, id_col=id_col), pg.totals(matches))

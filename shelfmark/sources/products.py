@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.plans.numbering import number_rows
 from shelfmark.runtime import computed_once
 from shelfmark.schema import DISABLED, PRODUCT, PROPERTY, kind_of
 
@@ -50,6 +51,12 @@ def read_array_files(spark: SparkSession, path: str, fields: list[str], partitio
     return spark.read.schema(text).option("multiLine", True).json(path).repartition(partitions)
 
 
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """A file of template products, an array or JSON Lines, numbered 0, 1, ... as ``template_no``."""
+    rows = spark.read.option("multiLine", True).json(path)
+    return number_rows(rows, name="_n").withColumn("template_no", F.col("_n") - 1).drop("_n")
+
+
 def write_products(df: DataFrame, path: str) -> None:
     """JSON Lines, one file per partition."""
     df.write.json(path)

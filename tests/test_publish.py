@@ -189,3 +189,19 @@ def test_schema_and_view(spark, catalog):
     assert kinds["Name"] == "disabled" and kinds["SearchName"] == "text+keyword"
     assert kinds["CategoryIds"] == "keyword" and kinds["Price"] == "double"
     assert spark.sql(f"SELECT count(*) FROM {catalog.view('shop-a')}").first()[0] == 2
+
+
+def test_single_documents(spark, catalog):
+    catalog.deploy("shop", make_products(spark, 2), rg.AUTO_SWAP)
+    one = make_products(spark, 1).withColumn("Price", F.lit(1.0))
+    assert catalog.index_one("shop", one) == "updated"
+    assert catalog.index_one("shop", make_products(spark, 1, "new").select("id", "RecordId")) == "created"
+    assert catalog.update("shop", "test-1", '{"Price": 2.5}') == "updated"
+    assert catalog.update("shop", 77, '{"Price": 3.5}') == "created"
+    catalog.delete("shop", "test-2")
+    got = {r["id"]: r["Price"] for r in catalog.table("shop").collect()}
+    assert got == {"test-1": 2.5, "new-1": None, "77": 3.5}
+    with pytest.raises(LookupError, match="not found"):
+        catalog.delete("shop", "test-2")
+    with pytest.raises(ValueError, match="Document ID must be specified"):
+        catalog.delete("shop", " ")

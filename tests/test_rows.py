@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.operators import hooks as hk
 from shelfmark.operators import ingest as ing
 from shelfmark.operators import sessions as ss
 from shelfmark.operators import synth as sy
@@ -251,3 +252,27 @@ def test_synthesis_does_not_depend_on_partitioning(spark):
 def test_declared_schema_has_every_property_leaf():
     props = next(f for f in PRODUCT.fields if f.name == "DefaultProductProperties")
     assert len(props.dataType.valueType.fields) == 23
+
+
+def test_plain_python_hooks(spark):
+    df = spark.range(10).select("id", (F.col("id") * 1.5).alias("Price"))
+
+    def dearer(batch):
+        batch["Price"] = batch["Price"] + 1
+        return batch
+
+    out = wr.load_enriched(df, hk.enrich_batches(dearer))
+    assert [r["Price"] for r in out.orderBy("id").collect()] == [i * 1.5 + 1 for i in range(10)]
+    rows, _ = wr.load_filtered(df, hk.row_predicate(lambda i, p: (i > 2) & (p < 9), ["id", "Price"]))
+    assert [r["id"] for r in rows.collect()] == [3, 4, 5]
+
+
+def test_templates_are_numbered(spark, tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps([{"RecordId": 5, "ProductName": n, "Rules": {"ProductId": 1}} for n in "abc"]))
+    templates = src.read_templates(spark, str(path))
+    assert sorted(r["template_no"] for r in templates.collect()) == [0, 1, 2]
+    made = sy.template_products(sy.sequence(spark, 30, start=0), templates, brief=True).collect()
+    assert len(made) == 30 and {r["ProductName"].split()[-1] for r in made} == set("abc")
+    assert all(r["Rules"]["ProductId"] == r["RecordId"] == 68719500000 + r["i"] for r in made)
+    assert all(len(r["SearchName"]) <= 20 for r in made)

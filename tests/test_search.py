@@ -314,3 +314,9 @@ def test_schema_as_rows(spark):
     assert rows["DefaultProductProperties.*.KeyName"] == "keyword"
     assert rows["Rules.IsBlocked"] == "disabled"
     assert rows["RetailContext.ChannelId"] == "long"
+
+
+def test_hits_carry_their_id(shop):
+    hits = criteria_search(shop, {"Price": 30}, sort=[("RecordId", "asc")], limit=2).hits
+    assert [(r["_id"], r["_score"]) for r in hits.collect()] == [("d", None), ("e", None)]
+    assert pg.hit_projection(shop, ["Price"]).columns == ["Price", "_id"]
