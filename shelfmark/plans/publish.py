@@ -16,10 +16,11 @@ from shelfmark.operators import registry as rg
 from shelfmark.operators import reports as rp
 from shelfmark.operators import writes as wr
 from shelfmark.plans import side_tables as st
-from shelfmark.plans.store import CatalogFiles
+from shelfmark.plans.store import CatalogFiles, ConcurrentPublish
 from shelfmark.schema import PRODUCT, CatalogSchema, describe
 
 WARMING = "warming"
+STAGE_ATTEMPTS = 5
 
 
 class AuditFailed(RuntimeError):
@@ -191,15 +192,16 @@ class BlueGreenCatalog:
             raise ValueError(f"Unknown strategy {strategy!r}; use one of {', '.join(rg.STRATEGIES)}")
         rows = products.filter(keep(products)) if keep else products
         rows = wr.load_enriched(rows, enrich)
-        seen = self.files.last_seq(alias)
-        before = self.status(alias)
-        target = color or self._next_color(before, strategy)
         version = self._write(alias, self.keyed(rows, order_by, unique))
-        self._audit(alias, version, expected, minimum)
+        try:
+            self._audit(alias, version, expected, minimum)
+        except AuditFailed:
+            self.files.delete(self.files.version_path(alias, version))
+            raise
         if "DefaultProductProperties" in rows.columns:
             stored = self.spark.read.parquet(self.files.data_path(alias, version))
             st.write_facets(stored, f"{self.files.version_path(alias, version)}/facets")
-        seq = self.files.record(alias, rg.STAGE, version, target, strategy, seen=seen)
+        before, target, seq = self._stage(alias, version, color, strategy)
         if strategy == rg.AUTO_SWAP:
             self.files.record(alias, rg.PUBLISH, version, target, strategy, seen=seq)
             return DeploymentState(
@@ -213,6 +215,22 @@ class BlueGreenCatalog:
             strategy=strategy,
         )
 
+    def _stage(
+        self, alias: str, version: str, color: str | None, strategy: str
+    ) -> tuple[DeploymentState, str, int]:
+        """Enter a written version; a writer that came between is looked at, then it is tried again."""
+        for attempt in range(STAGE_ATTEMPTS):
+            seen = self.files.last_seq(alias)
+            before = self.status(alias)
+            target = color or self._next_color(before, strategy)
+            try:
+                seq = self.files.record(alias, rg.STAGE, version, target, strategy, seen=seen)
+                return before, target, seq
+            except ConcurrentPublish:
+                if attempt == STAGE_ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
     def deploy_filtered(
         self,
         alias: str,

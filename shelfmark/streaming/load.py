@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -204,6 +204,27 @@ def load_and_publish(
         raise
 
 
+def all_sessions(catalog: BlueGreenCatalog, alias: str) -> DataFrame:
+    """The ledgers of all load sessions of an alias, for ``session_status`` and ``active_sessions``."""
+    if not catalog.files.exists(f"{catalog.files.root}/{alias}/sessions"):
+        return catalog.spark.createDataFrame([], ss.LEDGER)
+    rows = catalog.spark.read.schema(ss.LEDGER).option("recursiveFileLookup", True)
+    return rows.json(f"{catalog.files.root}/{alias}/sessions/*/ledger")
+
+
+def purge_expired(catalog: BlueGreenCatalog, alias: str, now: Column | None = None) -> list[str]:
+    """Delete the rows of sessions that went idle and were never completed; ledgers stay."""
+    moment = F.current_timestamp() if now is None else now
+    ledger = all_sessions(catalog, alias)
+    open_ones = ss.active_sessions(ledger).select("session")
+    idle = ss.session_status(ledger, moment).filter(F.col("status") == ss.EXPIRED)
+    gone = [r["session"] for r in idle.join(open_ones, "session", "left_semi").select("session").collect()]
+    for session in gone:
+        for part in ("accepted", "rejected"):
+            catalog.files.delete(f"{catalog.files.root}/{alias}/sessions/{session}/{part}")
+    return gone
+
+
 def closed_sessions(batches: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Sessions of a stream of batches, given out once idle time and watermark have passed."""
     return (

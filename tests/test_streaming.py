@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import registry as rg
+from shelfmark.operators import sessions as ss
 from shelfmark.plans.publish import BlueGreenCatalog
 from shelfmark.sources import products as src
-from shelfmark.streaming.load import LoadSession, closed_sessions, load_and_publish
+from shelfmark.streaming.load import LoadSession, all_sessions, closed_sessions, load_and_publish, purge_expired
 
 
 def write_lines(folder, name, rows):
@@ -112,3 +113,17 @@ def test_closed_sessions_come_out_once_idle(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r["opened"].hour, r["batches"]) for r in spark.read.parquet(out).filter(F.col("session") == "a").collect())
     assert [n for _, n in got] == [2, 1]
+
+
+def test_expired_sessions_are_purged_and_active_ones_listed(spark, root):
+    catalog = BlueGreenCatalog(spark, root)
+    line = spark.createDataFrame([(json.dumps(product(1)),)], "value string")
+    left, done = LoadSession(catalog, "shop"), LoadSession(catalog, "shop")
+    left.process(line)
+    done.process(line)
+    done.complete()
+    assert [r["session"] for r in ss.active_sessions(all_sessions(catalog, "shop")).collect()] == [left.session]
+    assert purge_expired(catalog, "shop") == []
+    later = F.current_timestamp() + F.expr("INTERVAL 2 HOURS")
+    assert purge_expired(catalog, "shop", later) == [left.session]
+    assert left.accepted().count() == 0 and done.accepted().count() == 1
