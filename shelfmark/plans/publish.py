@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalar import BLUE, GREEN
@@ -15,7 +15,10 @@ from shelfmark.operators import ingest as ing
 from shelfmark.operators import registry as rg
 from shelfmark.operators import reports as rp
 from shelfmark.operators import writes as wr
+from shelfmark.operators.lookup import lookup
+from shelfmark.operators.relevance import search_fields
 from shelfmark.plans import side_tables as st
+from shelfmark.plans.search import SearchResult, criteria_search, text_search
 from shelfmark.plans.store import CatalogFiles, ConcurrentPublish
 from shelfmark.schema import PRODUCT, CatalogSchema, describe
 
@@ -98,9 +101,43 @@ class BlueGreenCatalog:
         self.table(alias).createOrReplaceTempView(name)
         return name
 
-    def facet_table(self, alias: str, names: Sequence[str], version: str | None = None) -> DataFrame:
-        path = f"{self.files.version_path(alias, self.resolve(alias, version))}/facets"
-        return st.read_facets(self.spark, path, names)
+    # --- searches of the active version ------------------------------------------------------
+
+    def search_criteria(
+        self, alias: str, criteria: Mapping[str, Any], aggs: Sequence[str] | None = None, **options: Any
+    ) -> SearchResult:
+        """Structured search; facets read the stored long form."""
+        active = self.resolve(alias)
+        path = f"{self.files.version_path(alias, active)}/facets"
+        stored = st.read_facets(self.spark, path, aggs) if aggs and self.files.exists(path) else None
+        return criteria_search(
+            self.table(alias, active), criteria, aggs=aggs, facet_table=stored, **options
+        )
+
+    def search_text(
+        self,
+        alias: str,
+        query: str,
+        fields: Sequence[str] | None = None,
+        highlight: bool = True,
+        **options: Any,
+    ) -> SearchResult:
+        """Ranked search; uses the stored text index when it covers the fields."""
+        active = self.resolve(alias)
+        rows = self.table(alias, active)
+        path = f"{self.files.version_path(alias, active)}/text"
+        index = None
+        if fields and self.files.exists(path):
+            schema = CatalogSchema.of(rows)
+            stored = {r["field"] for r in self.spark.read.parquet(f"{path}/stats").collect()}
+            if stored >= {p.name for p in search_fields(schema, fields)}:
+                index = st.read_text_index(self.spark, path, schema, fields)
+        return text_search(rows, query, fields, highlight=highlight, index=index, **options)
+
+    def get(self, alias: str, product_id: str | int) -> Row | None:
+        """One product by id, else by record number, else nothing."""
+        keys = self.spark.createDataFrame([(str(product_id),)], "key string")
+        return lookup(self.table(alias), keys).first()["product"]
 
     def schema_of(self, alias: str) -> DataFrame:
         """Path, type and kind of every field of the active version."""
@@ -180,10 +217,13 @@ class BlueGreenCatalog:
         minimum: int | None = None,
         color: str | None = None,
         unique: bool = False,
+        text_fields: Sequence[str] | None = None,
     ) -> DeploymentState:
         """Stage a new version; with ``auto-swap`` also publish it.
 
-        The audit runs on the written files before anything points at them.
+        The audit runs on the written files before anything points at them. The
+        property map is also stored in long form; ``text_fields`` asks for a text
+        index of those fields.
         """
         _named(alias)
         if products is None:
@@ -201,6 +241,9 @@ class BlueGreenCatalog:
         if "DefaultProductProperties" in rows.columns:
             stored = self.spark.read.parquet(self.files.data_path(alias, version))
             st.write_facets(stored, f"{self.files.version_path(alias, version)}/facets")
+        if text_fields:
+            stored = self.spark.read.parquet(self.files.data_path(alias, version))
+            st.write_text_index(stored, f"{self.files.version_path(alias, version)}/text", text_fields)
         before, target, seq = self._stage(alias, version, color, strategy)
         if strategy == rg.AUTO_SWAP:
             self.files.record(alias, rg.PUBLISH, version, target, strategy, seen=seq)

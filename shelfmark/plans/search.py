@@ -14,6 +14,7 @@ from shelfmark.operators import criteria as cr
 from shelfmark.operators import facets as fc
 from shelfmark.operators import paging as pg
 from shelfmark.operators import relevance as rv
+from shelfmark.plans import side_tables as st
 from shelfmark.runtime import cut_lineage
 from shelfmark.schema import CatalogSchema
 
@@ -37,16 +38,24 @@ def criteria_search(
     aggs: Sequence[str] | None = None,
     honor_field_kinds: bool = True,
     schema: CatalogSchema | None = None,
+    facet_table: DataFrame | None = None,
 ) -> SearchResult:
+    """Structured search. Facets come from ``facet_table``, the published side table, if given."""
     schema = schema or CatalogSchema.of(catalog)
     cr.validate_criteria(criteria)
     pg.validate_limit(limit)
     matches = cr.with_score(catalog, criteria, schema, honor_field_kinds)
+    buckets = None
+    if aggs and facet_table is not None:
+        stored = facet_table.filter(F.col("facet").isin(list(aggs)))
+        buckets = st.facets_of(matches, stored, score="_score")
+    elif aggs:
+        buckets = fc.facets(matches, list(aggs), score="_score")
     return SearchResult(
         matches,
         pg.hit_projection(pg.page(matches, sort, limit, offset, schema)),
         pg.totals(matches),
-        fc.facets(matches, list(aggs), score="_score") if aggs else None,
+        buckets,
     )
 
 

@@ -205,3 +205,21 @@ def test_single_documents(spark, catalog):
         catalog.delete("shop", "test-2")
     with pytest.raises(ValueError, match="Document ID must be specified"):
         catalog.delete("shop", " ")
+
+
+def test_searches_follow_the_alias(spark, catalog):
+    leaf = F.struct(F.lit("Red").alias("KeyName"), F.lit("Rot").alias("Translation"), F.lit("Color").alias("FriendlyName"))
+    rows = make_products(spark, 5).withColumn("DefaultProductProperties", F.create_map(F.lit("Color"), leaf))
+    catalog.deploy("shop", rows, rg.AUTO_SWAP, text_fields=["SearchName"])
+    found = catalog.search_criteria("shop", {"Price": {"range": {"gte": 60}}}, aggs=["Color"], limit=2)
+    assert [r["id"] for r in found.hits.collect()] == ["test-2", "test-3"]
+    assert [(r["key"], r["count"], r["top"]["id"]) for r in found.facets.collect()] == [("Red", 4, "test-2")]
+    for fields in (["SearchName"], None):
+        hits = catalog.search_text("shop", "prodcut 3", fields).hits.collect()
+        assert hits[0]["id"] == "test-3" and len(hits) == 5
+        assert hits[0]["_highlight"]["SearchName"] == "test <em>product</em> <em>3</em> test"
+    assert catalog.get("shop", "test-4")["RecordId"] == 4
+    assert catalog.get("shop", 4)["id"] == "test-4"
+    assert catalog.get("shop", "nope") is None
+    with pytest.raises(LookupError, match="Alias 'other' does not exist"):
+        catalog.search_text("other", "x")
