@@ -122,7 +122,7 @@ def caller_filter(df: DataFrame, keep: Predicate) -> DataFrame:
 
 
 def _clause(name: str, value: Any, schema: CatalogSchema, honor: bool) -> Clause:
-    path = schema.resolve(name, honor)
+    path = schema.resolve(name, honor, like=value)
     if value is None:
         return Clause(name, missing(path, honor), scoring=False)
     if isinstance(value, str) and "*" in value:

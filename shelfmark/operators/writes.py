@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
 from shelfmark.runtime import computed_once
-from shelfmark.schema import nullable
+from shelfmark.schema import EXTRA, nullable
 
 Enrich = Callable[[DataFrame], DataFrame]
 
@@ -101,6 +101,7 @@ class _Node:
         self.children: dict[str, _Node] = {}
         self.value: _Node | None = None
         self.entries_type: T.DataType | None = None
+        self.skip: list[str] = []
         if isinstance(dtype, T.StructType):
             for i, f in enumerate(dtype.fields):
                 below = f"{path}.{f.name}" if path else f"$.{f.name}"
@@ -120,7 +121,7 @@ class _Node:
             # an atomic value may take part in the order, which spares a second copy of it
             last = (
                 F.max(F.when(given, row))
-                if isinstance(self.dtype, T.AtomicType)
+                if isinstance(self.dtype, T.AtomicType) and not isinstance(self.dtype, T.VariantType)
                 else F.max_by(row, F.when(given, order))
             )
             return [last.alias(self.tag)]
@@ -183,12 +184,19 @@ def patch(
     """Apply partial documents, in order, and insert those whose id is new.
 
     ``body`` is a variant: an absent field keeps the old value, an explicit null
-    sets null, objects and map entries merge, arrays and scalars replace. All
+    sets null, objects and map entries merge, arrays and scalars replace. Fields
+    without a column go to ``_extra``, each as a whole, where the table has it. All
     patches of an id are condensed field by field in one aggregation, so many
     patches of one document combine before the shuffle.
     """
+    columns = base.columns
+    if EXTRA in columns:
+        base = base.withColumn(EXTRA, F.try_variant_get(EXTRA, "$", "map<string,variant>"))
     schema = nullable(T.StructType([f for f in base.schema.fields if f.name != key]))
     root = _Node(schema, "f", None)
+    if EXTRA in columns:
+        # undeclared fields are entries of the document itself
+        root.children[EXTRA].path, root.children[EXTRA].skip = "$", columns
     order = F.struct(*order_by)
     usable = computed_once(patches, body, F.col(body)).filter(
         ~sc.is_blank(F.col(key)) & F.col(body).isNotNull()
@@ -201,7 +209,7 @@ def patch(
             key,
             order.alias("_o"),
             F.explode(F.try_variant_get(doc, m.path, "map<string,variant>")).alias("_k", "_e"),
-        )
+        ).filter(~F.col("_k").isin(m.skip))
         per_key = entries.groupBy(key, "_k").agg(
             F.max("_o").alias("_seen"), *m.value.aggregates(F.col("_e"), F.col("_o"))
         )
@@ -231,4 +239,8 @@ def patch(
         .select("*", *empty)
         .select(F.col("_key").alias(key), *fields)
     )
-    return updated.select(*base.columns).unionByName(fresh.select(*base.columns))
+    merged_rows = updated.select(*columns).unionByName(fresh.select(*columns))
+    if EXTRA in columns:
+        extra = F.when(F.size(EXTRA) > 0, F.to_variant_object(EXTRA))
+        merged_rows = merged_rows.withColumn(EXTRA, extra)
+    return merged_rows

@@ -7,8 +7,9 @@ Fields without a kind get the one that dynamic inference would give them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ BOOLEAN = "boolean"
 OBJECT = "object"
 UNMAPPED = "unmapped"
 
+# Column that keeps the undeclared fields of a document, as one variant object.
+EXTRA = "_extra"
+
 NUMERIC = (INTEGER, LONG, FLOAT, DOUBLE)
 IGNORE_ABOVE = 256
 
@@ -248,17 +252,25 @@ class CatalogSchema:
                 fields.append(T.StructField(f.name, _with_kinds(f.dataType, d.dataType), True, d.metadata))
         return cls(T.StructType(fields))
 
-    def resolve(self, path: str, honor_kinds: bool = True) -> Path:
-        """Resolve ``A.B``, ``Map.key.leaf`` or ``Array.leaf`` to a column."""
+    def resolve(self, path: str, honor_kinds: bool = True, like: Any = None) -> Path:
+        """Resolve ``A.B``, ``Map.key.leaf`` or ``Array.leaf`` to a column.
+
+        An undeclared field is looked up in ``_extra``, where it has the type of
+        the value it is compared ``like``.
+        """
         exact = False
         parts = path.split(".")
-        if len(parts) > 1 and parts[-1] == "keyword":
+        if len(parts) > 1 and parts[-1] == "keyword" and self._declared(parts[0]):
             parent = self.resolve(".".join(parts[:-1]), honor_kinds)
             if parent.kind == TEXT_KEYWORD:
                 exact, parts = True, parts[:-1]
         by_name = {f.name: f for f in self.struct.fields}
         if parts[0] not in by_name:
-            return Path(path, UNMAPPED)
+            if EXTRA not in by_name:
+                return Path(path, UNMAPPED)
+            if parts[-1] == "keyword" and len(parts) > 1:
+                exact, parts = True, parts[:-1]
+            return _undeclared(path, parts, KEYWORD if exact else _kind_like(like))
         f = by_name[parts[0]]
         col, dtype, meta, many = F.col(f"`{f.name}`"), f.dataType, f.metadata, False
         off = meta.get("kind") == DISABLED
@@ -299,6 +311,9 @@ class CatalogSchema:
             kind = KEYWORD
         return Path(path, kind, col, dtype, many, meta.get("ignore_above", IGNORE_ABOVE))
 
+    def _declared(self, name: str) -> bool:
+        return any(f.name == name for f in self.struct.fields)
+
     def leaves(self) -> Iterable[tuple[str, T.DataType, str]]:
         """Every (path, type, kind); map values appear under ``*``."""
         yield from _walk("", self.struct, None)
@@ -312,6 +327,29 @@ class CatalogSchema:
         return out
 
 
+def _kind_like(value: Any) -> str:
+    """The kind that dynamic inference would have given a field with such values."""
+    if isinstance(value, Mapping):
+        value = value.get("range", value)
+        value = next(iter(value.values()), None) if isinstance(value, Mapping) else value
+    if isinstance(value, (list, tuple, set)):
+        value = next(iter(value), None)
+    if isinstance(value, bool):
+        return BOOLEAN
+    return DOUBLE if isinstance(value, (int, float)) else TEXT_KEYWORD
+
+
+def _undeclared(path: str, parts: list[str], kind: str) -> Path:
+    steps = "".join("['" + p.replace("'", "") + "']" for p in parts)
+    dtype: T.DataType = T.StringType()
+    if kind == BOOLEAN:
+        dtype = T.BooleanType()
+    elif kind == DOUBLE:
+        dtype = T.DoubleType()
+    column = F.try_variant_get(EXTRA, f"${steps}", dtype.simpleString())
+    return Path(path, kind, column, dtype, False, IGNORE_ABOVE)
+
+
 def _leaf(name: str) -> Callable[[Column], Column]:
     return lambda x: x[name]
 

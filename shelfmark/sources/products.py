@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shelfmark.plans.numbering import number_rows
 from shelfmark.runtime import computed_once
-from shelfmark.schema import DISABLED, PRODUCT, PROPERTY, kind_of
+from shelfmark.schema import DISABLED, EXTRA, PRODUCT, PROPERTY, kind_of
 
 # How a rejected row is reported.
 PARSE_ERROR = "mapper_parsing_exception"
@@ -134,14 +134,22 @@ def _reason(v: Column, typed: Column, f: T.StructField) -> Column:
     return F.when(given & bad, F.lit(f"failed to parse field [{f.name}] of type [{kind_of(f)}]"))
 
 
+def undeclared(doc: Column, declared: list[str]) -> Column:
+    """The fields of a document outside the schema, as a variant object; null without any."""
+    fields = F.map_filter(
+        F.try_variant_get(doc, "$", "map<string,variant>"), lambda k, _: ~k.isin(declared)
+    )
+    return F.when(F.size(fields) > 0, F.to_variant_object(fields))
+
+
 def parse_lines(
     lines: DataFrame, schema: T.StructType = PRODUCT, value: str = "value"
 ) -> DataFrame:
     """Parse JSON text row by row; a bad row gets an ``error`` and never stops its neighbours.
 
-    Returns the other columns, the declared fields, ``_extra`` (the whole document
-    as a variant, where it has undeclared fields to keep) and
-    ``error`` struct<type, reason, status>.
+    Returns the other columns, the text as ``document``, the declared fields, the
+    undeclared ones as one variant object ``_extra`` (null where there are none)
+    and ``error`` struct<type, reason, status>.
     """
     passed = [c for c in lines.columns if c != value]
     doc = computed_once(lines.select(*passed, value), "_doc", F.try_parse_json(value))
@@ -168,6 +176,6 @@ def parse_lines(
         *passed,
         F.col(value).alias("document"),
         *[f.name for f in schema.fields],
-        F.col("_doc").alias("_extra"),
+        undeclared(F.col("_doc"), [f.name for f in schema.fields]).alias(EXTRA),
         error.alias("error"),
     )

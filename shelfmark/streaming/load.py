@@ -26,7 +26,7 @@ from shelfmark.operators import sessions as ss
 from shelfmark.operators import writes as wr
 from shelfmark.plans.numbering import number_rows
 from shelfmark.plans.publish import AuditFailed, BlueGreenCatalog, DeploymentState
-from shelfmark.schema import PRODUCT
+from shelfmark.schema import EXTRA, PRODUCT
 from shelfmark.sources import products as src
 
 
@@ -109,8 +109,8 @@ class LoadSession:
             )
             fine = keyed.join(repeated, "batch", "left_anti")
             good, bad = ing.split_outcomes(fine)
-            declared = [f.name for f in self.schema.fields]
-            good.select(*declared, "batch", F.col("_n").alias("pos")).write.mode("overwrite").parquet(
+            stored = [f.name for f in self.schema.fields] + [EXTRA]
+            good.select(*stored, "batch", F.col("_n").alias("pos")).write.mode("overwrite").parquet(
                 f"{self.path}/accepted/epoch={epoch}"
             )
             bad.select("batch", F.col("_n").alias("pos"), "document", "error.*").write.mode(
@@ -151,7 +151,8 @@ class LoadSession:
     def accepted(self) -> DataFrame:
         if not self.catalog.files.exists(f"{self.path}/accepted"):
             places = [T.StructField(n, T.LongType()) for n in ("batch", "pos", "epoch")]
-            return self.spark.createDataFrame([], T.StructType(self.schema.fields + places))
+            extra = [T.StructField(EXTRA, T.VariantType())]
+            return self.spark.createDataFrame([], T.StructType(self.schema.fields + extra + places))
         return self.spark.read.parquet(f"{self.path}/accepted")
 
     def rejected(self) -> DataFrame:

@@ -127,3 +127,23 @@ def test_expired_sessions_are_purged_and_active_ones_listed(spark, root):
     later = F.current_timestamp() + F.expr("INTERVAL 2 HOURS")
     assert purge_expired(catalog, "shop", later) == [left.session]
     assert left.accepted().count() == 0 and done.accepted().count() == 1
+
+
+def test_undeclared_fields_are_kept_and_found(spark, root):
+    catalog = BlueGreenCatalog(spark, root)
+    session = LoadSession(catalog, "shop", rg.AUTO_SWAP)
+    rows = [{**product(i), "AdjustedPrice": i * 1.5, "ProductName": f"Red thing {i}", "Nested": {"on": i % 2 == 0}} for i in range(4)]
+    session.process(spark.createDataFrame([(json.dumps(r),) for r in rows + [product(9)]], "value string"))
+    session.complete()
+
+    def ids(criteria):
+        return sorted(r["id"] for r in catalog.search_criteria("shop", criteria).hits.collect())
+
+    assert ids({"AdjustedPrice": {"range": {"gte": 3}}}) == ["p2", "p3"]
+    assert ids({"AdjustedPrice": [1.5, 3]}) == ["p1", "p2"]
+    assert ids({"ProductName": "red", "Nested.on": True}) == ["p0", "p2"]
+    assert ids({"ProductName.keyword": "Red thing 1"}) == ["p1"]
+    assert ids({"ProductName": None}) == ["p9"]
+    # a partial update keeps them too
+    catalog.update("shop", "p1", '{"Price": 5, "AdjustedPrice": 50, "New": "x"}')
+    assert ids({"ProductName.keyword": "Red*", "Price": 5, "AdjustedPrice": 50, "New": "x"}) == ["p1"]
