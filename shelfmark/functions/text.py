@@ -26,6 +26,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_BREAK), lambda x: x != "")
 
 
+def tokens_of_all(values: Column) -> Column:
+    """Tokens of all texts of an array."""
+    return F.flatten(F.transform(F.filter(values, lambda x: x.isNotNull()), tokens))
+
+
 def query_terms(query: str) -> dict[str, int]:
     """Terms of a query string with the number of times each occurs."""
     found: dict[str, int] = {}

@@ -148,7 +148,7 @@ def _tokenised(path: Path, honor: bool) -> bool:
 
 def _tokens(path: Path) -> Column:
     if path.many:
-        return F.flatten(F.transform(path.column, tx.tokens))
+        return tx.tokens_of_all(path.column)
     return tx.tokens(path.column)
 
 

@@ -6,7 +6,7 @@ compared with the whole query.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -103,7 +103,7 @@ def _terms(path: Path) -> Column:
         values = F.transform(c, lambda x: x.cast("string")) if path.many else F.array(c.cast("string"))
         terms = F.filter(values, lambda x: x.isNotNull() & (F.length(x) <= path.ignore_above))
     else:
-        terms = F.flatten(F.transform(c, tx.tokens)) if path.many else tx.tokens(c)
+        terms = tx.tokens_of_all(c) if path.many else tx.tokens(c)
     return F.coalesce(terms, F.array().cast("array<string>"))
 
 
@@ -254,6 +254,15 @@ def mark(c: Column, terms: Column) -> Column:
     return F.regexp_replace(c, pattern, F.lit(f"{OPEN_TAG}$1{CLOSE_TAG}"))
 
 
+def _mark_whole(terms: Column) -> Callable[[Column], Column]:
+    def mark_one(value: Column) -> Column:
+        text = value.cast("string")
+        tagged = F.concat(F.lit(OPEN_TAG), text, F.lit(CLOSE_TAG))
+        return F.when(F.array_contains(terms, text), tagged).otherwise(text)
+
+    return mark_one
+
+
 def highlight(
     page: DataFrame, matched: DataFrame, schema: CatalogSchema, fields: Sequence[str], id_col: str = "id"
 ) -> DataFrame:
@@ -275,8 +284,8 @@ def highlight(
         path = schema.resolve(name)
         terms = F.element_at("_terms", F.lit(name))
         if path.kind == KEYWORD:
-            text = F.concat_ws(",", path.column) if path.many else path.column.cast("string")
-            marked = F.concat(F.lit(OPEN_TAG), text, F.lit(CLOSE_TAG))
+            values = path.column if path.many else F.array(path.column)
+            marked = F.array_join(F.transform(values, _mark_whole(terms)), ",")
         else:
             text = F.concat_ws("\n", path.column) if path.many else path.column
             marked = mark(text, F.array_join(terms, "|"))

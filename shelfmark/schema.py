@@ -319,12 +319,15 @@ class CatalogSchema:
         yield from _walk("", self.struct, None)
 
     def text_fields(self) -> list[str]:
-        """Paths a search without a field list covers: text and keyword kinds."""
-        out = []
-        for path, _, kind in self.leaves():
-            if "*" not in path and kind in (TEXT, KEYWORD, TEXT_KEYWORD):
-                out.append(path)
-        return out
+        """Paths a search without a field list covers: text and keyword kinds.
+
+        A leaf of a map counts as one field with the values of all entries.
+        """
+        return [
+            path.replace(".*", "")
+            for path, _, kind in self.leaves()
+            if kind in (TEXT, KEYWORD, TEXT_KEYWORD)
+        ]
 
 
 def _kind_like(value: Any) -> str:

@@ -320,3 +320,23 @@ def test_hits_carry_their_id(shop):
     hits = criteria_search(shop, {"Price": 30}, sort=[("RecordId", "asc")], limit=2).hits
     assert [(r["_id"], r["_score"]) for r in hits.collect()] == [("d", None), ("e", None)]
     assert pg.hit_projection(shop, ["Price"]).columns == ["Price", "_id"]
+
+
+def test_search_without_fields_covers_the_property_map(spark):
+    rows = [("1", "plain", {"Color": ("Red", "bright red"), "Size": ("L", None)}), ("2", "other", {"Size": ("Red", None)}), ("3", "x", None)]
+    df = spark.createDataFrame(
+        rows, "id string, SearchName string, DefaultProductProperties map<string, struct<KeyName: string, ValueString: string>>"
+    )
+    found = {r["id"]: r["_highlight"] for r in text_search(df, "Red", fuzziness=0, highlight=True).hits.collect()}
+    assert set(found) == {"1", "2"}
+    assert set(found["1"]) == {"DefaultProductProperties.KeyName", "DefaultProductProperties.ValueString"}
+    assert found["1"]["DefaultProductProperties.ValueString"] == "bright <em>red</em>"
+    assert found["2"] == {"DefaultProductProperties.KeyName": "<em>Red</em>"}
+    assert set(found["1"]["DefaultProductProperties.KeyName"].split(",")) == {"<em>Red</em>", "L"}
+
+
+def test_texts_in_an_array_with_nulls(spark):
+    df = spark.createDataFrame([("1", ["Red thing", None]), ("2", [None]), ("3", None)], "id string, tags array<string>")
+    assert ids(cr.criteria_filter(df, {"tags": "red"})) == ["1"]
+    assert ids(cr.criteria_filter(df, {"tags": None})) == ["2", "3"]
+    assert {r["id"] for r in text_search(df, "thing", ["tags"]).hits.collect()} == {"1"}
