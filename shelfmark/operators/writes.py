@@ -25,13 +25,15 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def latest(changes: DataFrame, order_by: Sequence[str], key: str = "id") -> DataFrame:
-    """The last row of each key.
+def latest(
+    changes: DataFrame, order_by: Sequence[str], key: str = "id", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """The last row of each key, with the given columns or all.
 
     An aggregation, not a window: copies of a key combine in every task before
     the shuffle, so a key with very many copies reaches its task as a few rows.
     """
-    row = F.struct(*[F.col(c) for c in changes.columns])
+    row = F.struct(*[F.col(c) for c in (columns or changes.columns)])
     last = changes.groupBy(key).agg(F.max_by(row, F.struct(*order_by)).alias("_row"))
     return last.select("_row.*")
 
@@ -41,8 +43,7 @@ def upsert(
 ) -> DataFrame:
     """``base`` with the last change of each key in place of the old row."""
     replaced = base.join(changes.select(key).distinct(), key, "left_anti")
-    newest = latest(changes, order_by, key).select(*base.columns)
-    return replaced.unionByName(newest)
+    return replaced.unionByName(latest(changes, order_by, key, base.columns))
 
 
 def write_results(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

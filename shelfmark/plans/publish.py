@@ -191,7 +191,7 @@ class BlueGreenCatalog:
         if order_by:
             return wr.latest(df, order_by, self.key)
         placed = df.withColumn("_place", F.monotonically_increasing_id())
-        return wr.latest(placed, ["_place"], self.key).drop("_place")
+        return wr.latest(placed, ["_place"], self.key, df.columns)
 
     def _write(self, alias: str, rows: DataFrame) -> str:
         version = self.files.new_version()

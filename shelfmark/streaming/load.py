@@ -165,7 +165,8 @@ class LoadSession:
         self._require_active()
         rows = self.accepted()
         expected = rows.agg(F.count_distinct("id")).first()[0]
-        last = wr.latest(rows, ["epoch", "pos"]).drop("epoch", "batch", "pos")
+        kept = [c for c in rows.columns if c not in ("epoch", "batch", "pos")]
+        last = wr.latest(rows, ["epoch", "pos"], columns=kept)
         try:
             state = self.catalog.deploy(self.alias, last, self.strategy, expected=expected, unique=True)
         except AuditFailed as e:
