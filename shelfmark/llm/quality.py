@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed words and of its hashed
+A document is the mean of learned vectors of its hashed words, word pairs and
 character n-grams (3 and 4 bytes); a softmax layer over the mean gives the class.
 Vectors and layer are trained together by numpy stochastic gradient descent.
 
@@ -38,7 +38,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         return
     start, end, doc = H.words(data, offsets)
     bits = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    yield doc, (H.word_hashes(data, start, end) >> bits).astype(np.int64)
+    word = H.word_hashes(data, start, end)
+    yield doc, (word >> bits).astype(np.int64)
+    # a pair of words is hashed by their difference: every doubled word is the same feature
+    same = doc[1:] == doc[:-1]
+    yield doc[1:][same], (H.mix((word[1:] - word[:-1])[same] + np.uint64(2)) >> bits).astype(np.int64)
     step = 4 * H.SLAB
     widest = max(SIZES)
     for lo in range(0, len(data), step):
