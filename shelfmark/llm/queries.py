@@ -79,3 +79,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte of a 100-byte string that also starts earlier."""
+    from shelfmark.llm.repeats import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
