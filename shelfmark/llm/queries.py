@@ -88,3 +88,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(table(spark, sf_dir, "documents"), window=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every word of a 13-word window that also starts in a document with a smaller id."""
+    from shelfmark.llm.phrases import remove_phrases
+
+    found = remove_phrases(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
