@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,3 +77,13 @@ def sorted_group(tab: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     offsets, data = text_bytes(tab.column("text"))
     keys = pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy().astype(np.int64)
     return keys, offsets, data, ids.to_pylist()
+
+
+def row_slabs(column: pa.Array, size: int = 2 << 20, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``size`` bytes of text, or one longer text."""
+    offsets, _ = text_bytes(column)
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = min(n, a + most, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1))
+        yield a, b
+        a = b

@@ -97,3 +97,11 @@ def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_phrases(table(spark, sf_dir, "documents"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents at a Jaccard similarity of 85 percent."""
+    from shelfmark.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
