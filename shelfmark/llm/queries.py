@@ -105,3 +105,11 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.near_dups import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal label linked at a cosine of 0.98 or more."""
+    from shelfmark.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
