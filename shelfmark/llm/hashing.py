@@ -12,6 +12,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII that is neither letter nor digit.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Bytes or words that are handled at once; keeps arrays in the cache.
 SLAB = 1 << 18
 
@@ -37,12 +39,12 @@ def inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word (a run without white space), and its document."""
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (a run without ``blank`` bytes), and its document."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~SPACE[data]
+    solid = ~blank[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

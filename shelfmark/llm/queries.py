@@ -113,3 +113,11 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a test item, exact or edited, with the item and the alignment's score."""
+    from shelfmark.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
