@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and text alone, as ``doc`` and ``text``; other columns cannot clash with ours."""
-    return docs.select(
-        F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")
-    )
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The id and text alone, as ``doc`` and ``text``; other columns cannot clash with ours.
+
+    With ``carry`` the whole row but its text comes along as the struct ``rest``.
+    """
+    own = [F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(*own, *([F.struct(*rest).alias("rest")] if carry else []))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +51,7 @@ def grouped(df: DataFrame, size: int, group_bytes: int = GROUP_BYTES) -> tuple[D
     """
     groups = max(1, -(-size // group_bytes))
     grp: Column = F.pmod(F.xxhash64("doc", "text"), F.lit(groups))
-    return df.select("doc", "text", grp.alias("grp")), groups
+    return df.withColumn("grp", grp), groups
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +67,8 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def sorted_group(tab: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """A group's documents in the order (id, text), nulls last: order ids, offsets, bytes, ids as stored.
+def sorted_group(tab: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """A group's documents in the order (id, text), nulls last: order ids, offsets, bytes, rows in that order.
 
     The order is a function of the rows alone, so that a task that runs again
     numbers everything alike.
@@ -76,7 +79,7 @@ def sorted_group(tab: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     ids = tab.column("doc")
     offsets, data = text_bytes(tab.column("text"))
     keys = pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy().astype(np.int64)
-    return keys, offsets, data, ids.to_pylist()
+    return keys, offsets, data, tab
 
 
 def row_slabs(column: pa.Array, size: int = 2 << 20, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -18,8 +18,9 @@ and the neighbours across such regions keep the crowd connected.
 4. Classes: connected components over the links, and of equal sets.
 
 Every pair of a family is compared, so a link is lost only if no chain in any tree
-joins its ends: at similarity 0.85 with 16 trees and depth 4, below 1e-5 for a lone
-pair and less the more members a family has.
+joins its ends: with 16 trees the depth is chosen so that this chance is below 2e-5 for
+a lone pair just at the threshold (depth 4 at 0.85, 3 at 0.8), and less above it or the
+more members a family has.
 
 Defined results: texts with fewer words than a shingle are one shingle of all their
 words; null, empty and blank texts have an empty set and stand alone; rows that repeat
@@ -39,7 +40,9 @@ from shelfmark.llm import hashing as H
 from shelfmark.llm.components import components
 from shelfmark.llm.frames import row_slabs, stored, text_bytes, texts
 
-TREES, DEPTH, MIN_DEPTH = 16, 8, 4
+TREES, DEPTH = 16, 8
+#: Chance to lose a lone pair that is just similar enough.
+MISS = 2e-5
 #: Sets that one block of a family holds.
 BLOCK = 1500
 _RNG = np.random.default_rng(97)
@@ -147,7 +150,7 @@ def _paths(min_depth: int):
     return fn
 
 
-def forest_neighbours(sets: DataFrame, min_depth: int = MIN_DEPTH) -> DataFrame:
+def forest_neighbours(sets: DataFrame, min_depth: int) -> DataFrame:
     """Pairs ``a, b`` of neighbours in the trees' orders, as a chain through each region.
 
     A region's chain follows the deeper path values, so that the members of a deeper
@@ -173,6 +176,12 @@ def forest_neighbours(sets: DataFrame, min_depth: int = MIN_DEPTH) -> DataFrame:
     return pairs.distinct()
 
 
+def depth_for(percent: int) -> int:
+    """The longest common prefix that may be asked for without missing more than ``MISS``."""
+    fits = [d for d in range(1, DEPTH) if (1 - (percent / 100) ** d) ** TREES <= MISS]
+    return max(fits, default=1)
+
+
 class _Joined:
     """Union-find over local numbers."""
 
@@ -281,7 +290,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
-    min_depth: int = MIN_DEPTH,
+    min_depth: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: classes of documents linked at ``percent`` Jaccard or more."""
@@ -293,7 +302,7 @@ def near_duplicates(
     members = stored(full.select("doc", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc", "node"), "members")
     nodes = full.join(members.filter("doc = node").select("doc").distinct(), "doc")
     nodes = nodes.groupBy(F.col("doc").alias("node")).agg(F.first("signature").alias("signature"))
-    families = stored(components(forest_neighbours(nodes, min_depth)).withColumnRenamed("component", "family"), "families")
+    families = stored(components(forest_neighbours(nodes, min_depth or depth_for(percent))).withColumnRenamed("component", "family"), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     placed = families.join(sizes, "family").select(
         F.col("node").alias("doc"),

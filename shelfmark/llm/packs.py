@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 PACK = "bucket long, grp long, tag int, body binary"
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("tag", pa.int32()), ("body", pa.binary())])
@@ -63,12 +64,11 @@ def meet(packs: DataFrame, fn: Callable[[list[Row]], Iterator[Row]]) -> DataFram
     return packs.groupBy("bucket").applyInArrow(reduce, PACK)
 
 
-def finish(docs: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, list[Row]], pa.Table], schema: str) -> DataFrame:
+def finish(docs: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, list[Row]], pa.Table], schema: StructType) -> DataFrame:
     """The last visit: each group's documents beside its answers give the result rows."""
-    like = fn(pa.table({"doc": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "grp": pa.array([], pa.int64())}), []).schema
 
     def last(tab: pa.Table, got: pa.Table) -> pa.Table:
-        return fn(tab, pack_rows(got)) if len(tab) else like.empty_table()
+        return fn(tab, pack_rows(got))
 
     return docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(last, schema)
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from shelfmark.llm import hashing as H
 from shelfmark.llm.frames import grouped, sorted_group, texts, total_bytes
@@ -53,7 +54,7 @@ class _Words:
 
     def __init__(self, tab: pa.Table, window: int):
         self.window = window
-        self.docs, self.offsets, self.data, self.ids = sorted_group(tab.select(["doc", "text"]))
+        self.docs, self.offsets, self.data, self.rows = sorted_group(tab)
         self.start, self.end, self.doc = H.words(self.data, self.offsets)
         self.hash = H.word_hashes(self.data, self.start, self.end)
         count = max(0, len(self.start) - window + 1)
@@ -169,9 +170,6 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _remove(window: int, buckets: int):
     def fn(tab: pa.Table, got: list[Row]) -> pa.Table:
-        if not len(tab):
-            tab = pa.table({"doc": pa.array([None], pa.int64()), "text": pa.array([None], pa.string())})
-            return fn(tab, []).slice(0, 0)
         words = _revived(tab, got, window)
         which, one, _, least = words.full()
         later = words.docs[words.doc[words.alive]] > least[which] if len(which) else np.zeros(0, bool)
@@ -212,7 +210,7 @@ def _remove(window: int, buckets: int):
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(spans))), pa.int32()), pairs)
         return pa.table(
             {
-                "doc_id": pa.array(words.ids, pa.int64()),
+                "doc_id": words.rows.column("doc"),
                 "n_words": pa.array(np.bincount(words.doc, minlength=docs), pa.int64()),
                 "n_removed": pa.array(np.bincount(words.doc[gone], minlength=docs), pa.int64()),
                 "spans": lists.cast(_SPAN),
@@ -242,5 +240,5 @@ def remove_phrases(
     answers = None
     for level in range(len(lengths)):
         answers = meet(send(rows, _visit(window, lengths, level, buckets), answers), _answer)
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
     return finish(rows, answers, _remove(window, buckets), schema)

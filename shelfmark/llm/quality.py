@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import hashing as H
-from shelfmark.llm.frames import text_bytes
+from shelfmark.llm.frames import row_slabs, text_bytes
 
 #: Rows of the vector table: words and n-grams share it.
 BUCKETS = 1 << 17
@@ -126,11 +126,12 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = text_bytes(batch.column(1))
             total, count = np.zeros(len(batch)), np.zeros(len(batch))
-            for doc, bucket in features(data, offsets):
-                total += np.bincount(doc, odds[bucket], minlength=len(batch))
-                count += np.bincount(doc, minlength=len(batch))
+            for a, b in row_slabs(batch.column(1)):
+                offsets, data = text_bytes(batch.column(1).slice(a, b - a))
+                for doc, bucket in features(data, offsets):
+                    total[a:b] += np.bincount(doc, odds[bucket], minlength=b - a)
+                    count[a:b] += np.bincount(doc, minlength=b - a)
             z = total / np.maximum(count, 1) + bias
             yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "score"])
 

@@ -23,8 +23,8 @@ The three steps are stages of one plan that shuffles the documents once.
 
 Defined results: null text is empty; texts shorter than the window stay; rows that
 repeat an id are documents of their own, the first in text order (or group) counting
-as the earlier; a null id counts as the largest. Other columns are
-not read.
+as the earlier; a null id counts as the largest. Other columns
+come along as ``rest`` if ``carry``, else they are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from shelfmark.llm import hashing as H
 from shelfmark.llm.frames import grouped, sorted_group, texts, total_bytes
@@ -108,7 +109,7 @@ class _Group:
 
     def __init__(self, tab: pa.Table, window: int, gram: int):
         self.grp = tab.column("grp")[0].as_py()
-        self.docs, self.offsets, self.data, _ = sorted_group(tab.select(["doc", "text"]))
+        self.docs, self.offsets, self.data, _ = sorted_group(tab)
         self.lo, self.hi, self.key, self.stretch = anchors(self.data, self.offsets, window, gram)
         order = np.lexsort((self.stretch, self.key))  # stable: the earliest of equals comes first
         key, stretch = self.key[order], self.stretch[order]
@@ -265,10 +266,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _remove(tab: pa.Table, got: list[Row]) -> pa.Table:
-    if not len(tab):
-        docs, offsets, data, ids = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8), []
-    else:
-        docs, offsets, data, ids = sorted_group(tab.select(["doc", "text"]))
+    docs, offsets, data, rows = sorted_group(tab)
     edge = np.zeros(len(data) + 1, np.int32)
     for row in got:
         begin, end = np.frombuffer(row[3], np.int64).reshape(2, -1)
@@ -296,9 +294,11 @@ def _remove(tab: pa.Table, got: list[Row]) -> pa.Table:
         pa.binary(), len(docs), [None, pa.py_buffer(kept[offsets].astype(np.int32)), pa.py_buffer(data[~gone])]
     )
     columns = {
-        "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+        "doc_id": rows.column("doc"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
         "n_spans": pa.array(spans, pa.int64()), "spans": lists.cast(_SPAN), "kept": body,
     }
+    if "rest" in rows.column_names:
+        columns["rest"] = rows.column("rest")
     return pa.table(columns)
 
 
@@ -310,15 +310,20 @@ def remove_repeats(
     gram: int = GRAM,
     most: int = MOST_STRETCHES,
     group_bytes: int | None = None,
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, spans, kept`` (bytes)."""
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, spans, kept`` (bytes), and ``rest`` if asked."""
     if window < gram:
         raise ValueError("the window must hold the anchor's string")
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col, carry)
     size = total_bytes(rows)
     rows, _ = grouped(rows, size, **({"group_bytes": group_bytes} if group_bytes else {}))
     buckets = max(1, -(-size // BUCKET_BYTES))
     codes = meet(send(rows, _announce(window, gram, buckets)), _decide(most))
     gone = meet(send(rows, _submit(window, gram, buckets), codes), _compare(window))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
+    schema = StructType.fromDDL(
+        "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
+    )
+    if carry:
+        schema.add(rows.schema["rest"])
     return finish(rows, gone, _remove, schema)
