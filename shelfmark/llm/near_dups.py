@@ -2,25 +2,24 @@
 
 A document's set is its distinct word shingles (ASCII lower case). Its signature has
 ``trees * depth`` MinHash values; each tree sorts all signatures by its own ``depth``
-values. Neighbours in that order whose common prefix is long enough are candidates.
-How long it has to be adapts to the region: ``min_depth`` where few share it; where
-more than ``crowd`` do, members are compared with those of the deeper regions first,
-and the neighbours across such regions keep the crowd connected.
+values. Sets whose paths share a long enough prefix stand together there, in a region,
+and are candidates. How long adapts to the region: ``min_depth`` values where few share
+them, deeper ones where many do.
 
 1. Sets: one pass gives set size, a 128-bit hash of the set, and the signature. Equal
    sets are merged (a partial aggregation), so copies count once from here on.
-2. Candidates: the chain of neighbours in each tree joins sets to families.
-3. Links: each family's full sets meet, and every pair that could reach the
-   similarity by its sizes is counted exactly over an inverted list, block by block;
-   a family of more than ``block`` sets is spread over pairs of blocks, so no task
-   holds more than two. Pairs already joined by links are not emitted again: what
-   leaves a task are spanning links only.
+2. Regions: the sets that share the first ``min_depth`` values of a tree. Most sets
+   share none and are done. Regions of the same members are one.
+3. Links: the full sets of a region meet, and every pair is counted exactly over an
+   inverted list. A region adapts its depth to its crowd: one of more than ``block``
+   sets is cut by the deeper values of its tree, so that neighbours in the sorted order
+   meet in the same task, and the cut parts then meet in pairs; no task holds more than
+   two parts. What leaves a task are spanning links only, never all pairs.
 4. Classes: connected components over the links, and of equal sets.
 
-Every pair of a family is compared, so a link is lost only if no chain in any tree
-joins its ends: with 16 trees the depth is chosen so that this chance is below 2e-5 for
-a lone pair just at the threshold (depth 4 at 0.85, 3 at 0.8), and less above it or the
-more members a family has.
+A link is lost only if its ends share no region in any tree and no chain of other links
+joins them: with 16 trees the depth is chosen so that this chance is below 2e-5 for a
+lone pair just at the threshold (depth 4 at 0.85, 3 at 0.8), and less above it.
 
 Defined results: texts with fewer words than a shingle are one shingle of all their
 words; null, empty and blank texts have an empty set and stand alone; rows that repeat
@@ -38,12 +37,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import hashing as H
 from shelfmark.llm.components import components
-from shelfmark.llm.frames import row_slabs, stored, text_bytes, texts
+from shelfmark.llm.frames import GROUP_BYTES, row_slabs, stored, text_bytes, texts, total_bytes
 
 TREES, DEPTH = 16, 8
 #: Chance to lose a lone pair that is just similar enough.
 MISS = 2e-5
-#: Sets that one block of a family holds.
+#: Sets that one block of a region holds, about.
 BLOCK = 1500
 _RNG = np.random.default_rng(97)
 _A = (_RNG.integers(1, 1 << 32, TREES * DEPTH, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -150,30 +149,17 @@ def _paths(min_depth: int):
     return fn
 
 
-def forest_neighbours(sets: DataFrame, min_depth: int) -> DataFrame:
-    """Pairs ``a, b`` of neighbours in the trees' orders, as a chain through each region.
-
-    A region's chain follows the deeper path values, so that the members of a deeper
-    region stand together. Only the least members of its deeper regions go on to the
-    region's own chain: a region however crowded is one partial aggregation per level.
-    """
-    paths = sets.select("node", "signature").mapInArrow(_paths(min_depth), "node long, region long, path binary")
-    pairs = None
-    level = paths
-    for depth in range(DEPTH - min_depth, -1, -1):
-        key = ["region", F.substring("path", 1, 4 * depth).alias("path")] if depth else ["region"]
-        least = level.groupBy(*key).agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("members"))
-        if depth == DEPTH - min_depth:
-            # regions of one member on every level have no neighbour at all
-            crowded = paths.groupBy("region").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("region")
-            level = stored(paths.join(crowded, "region"), "paths")
-            least = level.groupBy(*key).agg(F.min("node").alias("least"))
-        names = ["region", "path"] if depth else ["region"]
-        heads = level.select(*key, "node").join(least.select(*names, "least"), names)
-        found = heads.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        level = heads.filter("node = least").select(*names, "node")
-    return pairs.distinct()
+def forest_regions(nodes: DataFrame, min_depth: int) -> DataFrame:
+    """``node, region, path, members`` of every region with two sets at least, once for equal members."""
+    paths = nodes.select("node", "signature").mapInArrow(_paths(min_depth), "node long, region long, path binary")
+    paths = stored(paths, "paths")
+    crowd = paths.groupBy("region").agg(
+        F.count("*").alias("members"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("one"),
+        F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("two"),
+    )
+    crowd = crowd.filter("members > 1").groupBy("members", "one", "two").agg(F.min("region").alias("region"))
+    return paths.join(crowd.select("region", "members"), "region")
 
 
 def depth_for(percent: int) -> int:
@@ -239,22 +225,29 @@ def spanning_links(sets: list[np.ndarray], split: int, part: int, whole: int) ->
     return links
 
 
+_ITEM = "task long, low long, high long, node long, region long, block long, items binary"
+
+
 def _members(shingle: int):
-    """Full sets of family members, one row for each task that needs them."""
+    """Full sets of region members, one row for each task that needs them."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in row_slabs(batch.column(1)):
                 offsets, h = shingle_sets(batch.column(1).slice(a, b - a), shingle)
+                out: list[list] = [[] for _ in range(7)]
+                node, places = batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist()
+                for i in range(b - a):
+                    items = h[offsets[i] : offsets[i + 1]].tobytes()
+                    for place in places[i]:
+                        own = place["block"]
+                        for other in range(place["blocks"]):
+                            row = (place["task"], min(own, other), max(own, other), node[i], place["region"], own, items)
+                            for column, value in zip(out, row):
+                                column.append(value)
                 yield pa.record_batch(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array([h[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary()),
-                        batch.column(2).slice(a, b - a),
-                        batch.column(3).slice(a, b - a),
-                        batch.column(4).slice(a, b - a),
-                    ],
-                    names=["node", "items", "family", "block", "blocks"],
+                    [*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())],
+                    names=["task", "low", "high", "node", "region", "block", "items"],
                 )
 
     return fn
@@ -265,7 +258,7 @@ def _link(part: int, whole: int):
 
     def fn(tab: pa.Table) -> pa.Table:
         node, items = tab.column("node").to_pylist(), tab.column("items").to_pylist()
-        block, family = tab.column("block").to_pylist(), tab.column("family").to_pylist()
+        block, family = tab.column("block").to_pylist(), tab.column("region").to_pylist()
         left = tab.column("low")[0].as_py()
         order = sorted(range(len(node)), key=lambda i: (family[i], block[i] != left, node[i]))
         a, b, at = [], [], 0
@@ -302,25 +295,23 @@ def near_duplicates(
     members = stored(full.select("doc", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc", "node"), "members")
     nodes = full.join(members.filter("doc = node").select("doc").distinct(), "doc")
     nodes = nodes.groupBy(F.col("doc").alias("node")).agg(F.first("signature").alias("signature"))
-    families = stored(components(forest_neighbours(nodes, min_depth or depth_for(percent))).withColumnRenamed("component", "family"), "families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
-    placed = families.join(sizes, "family").select(
+    regions = forest_regions(nodes, min_depth or depth_for(percent))
+    blocks = F.ceil(F.col("members") / block)
+    # small regions share tasks; a crowded one has tasks of its own
+    pools = max(1, total_bytes(rows) // GROUP_BYTES)
+    placed = regions.select(
         F.col("node").alias("doc"),
-        "family",
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).alias("block"),
-        F.ceil(F.col("members") / block).alias("blocks"),
+        F.struct(
+            "region",
+            F.when(blocks == 1, F.pmod(F.xxhash64("region"), F.lit(pools))).otherwise(pools + F.abs(F.col("region") % (1 << 40))).alias("task"),
+            F.pmod(F.xxhash64(F.substring("path", 1, 4)), blocks).alias("block"),
+            blocks.alias("blocks"),
+        ).alias("place"),
     )
-    # a document that repeats its id has one set here, as its node has one signature
-    own = rows.join(placed, "doc").groupBy("doc", "family", "block", "blocks").agg(F.max("text").alias("text"))
-    own = own.select("doc", "text", "family", "block", "blocks")
-    items = own.mapInArrow(_members(shingle), "node long, items binary, family long, block long, blocks long")
-    # block i meets block j in the task (i, j), i <= j; small families share tasks
-    met = items.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    met = met.select(
-        "node", "items", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(1 << 20))).otherwise(-1 - F.col("family")).alias("task"),
-    )
-    links = met.groupBy("task", "low", "high").applyInArrow(_link(percent, 100), "a long, b long")
+    placed = placed.groupBy("doc").agg(F.collect_list("place").alias("places"))  # at most one per tree
+    # merge: the same plan whatever the size of the smaller side
+    items = rows.join(placed.hint("merge"), "doc").select("doc", "text", "places").mapInArrow(_members(shingle), _ITEM)
+    links = items.groupBy("task", "low", "high").applyInArrow(_link(percent, 100), "a long, b long")
     classes = components(links)
     joined = members.join(classes.withColumnRenamed("component", "least"), "node", "left")
     joined = joined.select("doc", F.coalesce("least", "node").alias("component_id")).distinct()
