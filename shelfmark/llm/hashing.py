@@ -68,8 +68,8 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
         if stop <= at:
             for a in range(lo, int(end[at]), SLAB):
                 part = data[a : min(int(end[at]), a + SLAB)]
-                scale = np.uint64(pow(int(base), a - lo, 1 << 64))
-                out[at] += np.sum(table[part] * power[: len(part)], dtype=np.uint64) * scale
+                scale = np.full(1, pow(int(base), a - lo, 1 << 64), np.uint64)
+                out[at : at + 1] += np.sum(table[part] * power[: len(part)], dtype=np.uint64, keepdims=True) * scale
             at += 1
             continue
         part = data[lo : int(end[stop - 1])]
