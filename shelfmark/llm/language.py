@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.frames import text_bytes
+from shelfmark.llm.frames import row_slabs, text_bytes
 
 ORDER = 3
 #: Languages a model may have; more means that the label column is something else.
@@ -51,11 +51,11 @@ def _grams(batch_texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]
     offsets, data = text_bytes(pc.utf8_lower(pc.fill_null(batch_texts.cast(pa.large_string()), "")))
     b = _PLAIN[data].astype(np.uint32)
     if len(b) < ORDER:
-        return offsets, np.zeros(0, np.int64)
+        return offsets, np.zeros(0, np.int32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     blank = code == np.uint32(0x202020)
     code = (code * np.uint32(2654435761)) >> np.uint32(32 - (buckets.bit_length() - 1))
-    out = code.astype(np.int64)
+    out = code.astype(np.int32)
     out[blank] = -1  # only spaces say nothing
     return offsets, out
 
@@ -76,14 +76,6 @@ def _counts(offsets: np.ndarray, grams: np.ndarray, a: int, b: int, buckets: int
     return out
 
 
-def _chunks(offsets: np.ndarray, most: int = 128, size: int = _SLAB) -> Iterator[tuple[int, int]]:
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        b = min(n, a + most, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1))
-        yield a, b
-        a = b
-
-
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = 4096) -> LanguageModel:
     """Learn from every document with a text and a label."""
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
@@ -92,16 +84,17 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            lang = np.array(batch.column(1).to_pylist(), object)
-            offsets, grams = _grams(batch.column(0), buckets)
-            place = np.flatnonzero(grams >= 0)
-            doc = np.searchsorted(offsets, place, "right") - 1
-            ok = place + ORDER <= offsets[doc + 1]
-            place, doc = place[ok], doc[ok]
-            names, which = np.unique(lang.astype(str), return_inverse=True)
-            both = np.bincount(which[doc] * buckets + grams[place], minlength=len(names) * buckets)
-            for name, c in zip(names, both.reshape(len(names), buckets)):
-                total[str(name)] = total.get(str(name), 0) + c
+            lang = np.array(batch.column(1).to_pylist(), object).astype(str)
+            for a, b in row_slabs(batch.column(0)):
+                offsets, grams = _grams(batch.column(0).slice(a, b - a), buckets)
+                place = np.flatnonzero(grams >= 0)
+                doc = np.searchsorted(offsets, place, "right") - 1
+                ok = place + ORDER <= offsets[doc + 1]
+                place, doc = place[ok], doc[ok]
+                names, which = np.unique(lang[a:b], return_inverse=True)
+                both = np.bincount(which[doc] * buckets + grams[place], minlength=len(names) * buckets)
+                for name, c in zip(names, both.reshape(len(names), buckets)):
+                    total[str(name)] = total.get(str(name), 0) + c
         for name, c in total.items():
             seen = np.flatnonzero(c)
             yield pa.record_batch(
@@ -170,6 +163,26 @@ def infer(counts: np.ndarray, model: LanguageModel, penalty: float, most: int) -
     return share
 
 
+def judged(texts: pa.Array, letters: list[bool], model: LanguageModel, penalty: float, most: int) -> tuple[list, list, list]:
+    """Main language, score and shares of each text; ``und`` where there is no letter."""
+    k, names, buckets = len(model.languages), model.languages, model.log_p.shape[1]
+    lang, score, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in range(len(texts))]
+    if not k:
+        return lang, score, shares
+    for a, b in row_slabs(texts, most=128):
+        offsets, grams = _grams(texts.slice(a, b - a), buckets)
+        counts = _counts(offsets, grams, 0, b - a, buckets)
+        share = infer(counts, model, penalty, most)
+        size = counts.sum(axis=1) / ORDER
+        for i in range(b - a):
+            if letters[a + i]:
+                top = int(np.argmax(share[i]))
+                lang[a + i] = names[top]
+                score[a + i] = float((size[i] * share[i, top] + 1 / k) / (size[i] + 1))
+                shares[a + i] = [{"lang": names[j], "share": float(share[i, j])} for j in np.flatnonzero(share[i] > 0.005)]
+    return lang, score, shares
+
+
 def identify(
     docs: DataFrame,
     model: LanguageModel,
@@ -182,8 +195,6 @@ def identify(
 
     ``score`` is the main language's share, drawn to 1 / languages for short texts.
     """
-    k, names = len(model.languages), model.languages
-    buckets = model.log_p.shape[1]
     rows = docs.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
@@ -193,23 +204,26 @@ def identify(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column(2).to_pylist()
-            lang, score, shares = ["und"] * len(batch), [0.0] * len(batch), [[] for _ in range(len(batch))]
-            if k:
-                offsets, grams = _grams(batch.column(1), buckets)
-                for a, b in _chunks(offsets):
-                    counts = _counts(offsets, grams, a, b, buckets)
-                    share = infer(counts, model, penalty, max_languages)
-                    size = counts.sum(axis=1) / ORDER
-                    for i in range(b - a):
-                        if letters[a + i]:
-                            top = int(np.argmax(share[i]))
-                            lang[a + i] = names[top]
-                            score[a + i] = float((size[i] * share[i, top] + 1 / k) / (size[i] + 1))
-                            shares[a + i] = [{"lang": names[j], "share": float(share[i, j])} for j in np.flatnonzero(share[i] > 0.005)]
+            lang, score, shares = judged(batch.column(1), batch.column(2).to_pylist(), model, penalty, max_languages)
             yield pa.record_batch(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)],
                 names=["doc_id", "lang_pred", "score", "shares"],
             )
 
     return rows.mapInArrow(judge, "doc_id long, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
+
+
+def with_known_language(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5, penalty: float = 2.0, max_languages: int = 4
+) -> DataFrame:
+    """``docs`` with all its columns, less those without a language or with a score below ``least``."""
+    letters = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
+    own = docs.filter(letters)
+    at = own.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, score, _ = judged(batch.column(at).cast(pa.string()), [True] * len(batch), model, penalty, max_languages)
+            yield batch.filter(pa.array(np.array(score) >= least, pa.bool_()))
+
+    return own.mapInArrow(keep, own.schema)
