@@ -14,6 +14,8 @@ from shelfmark.schema import TEXT, TEXT_KEYWORD, CatalogSchema
 DEFAULT_LIMIT = 20
 MAX_LIMIT = 100
 TRACKED_TOTAL = 10_000
+#: Rows that a task may have to hold for one page.
+MAX_WINDOW = 10_000
 
 
 def validate_limit(limit: int) -> None:
@@ -26,6 +28,11 @@ def sort_columns(sort: Sequence[Any], schema: CatalogSchema) -> list[Column]:
 
     An array sorts by its smallest element when ascending, by its largest when descending.
     """
+    return [c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in sort_keys(sort, schema)]
+
+
+def sort_keys(sort: Sequence[Any], schema: CatalogSchema) -> list[tuple[Column, bool]]:
+    """The value of each sort key, and whether it ascends."""
     keys = []
     for item in sort:
         name, order = (item["field"], item["order"]) if isinstance(item, dict) else item
@@ -39,7 +46,7 @@ def sort_columns(sort: Sequence[Any], schema: CatalogSchema) -> list[Column]:
         c = path.column
         if path.many:
             c = F.array_min(c) if order == "asc" else F.array_max(c)
-        keys.append(c.asc_nulls_last() if order == "asc" else c.desc_nulls_last())
+        keys.append((c, order == "asc"))
     return keys
 
 
@@ -51,8 +58,13 @@ def page(
     schema: CatalogSchema | None = None,
     id_col: str = "id",
 ) -> DataFrame:
-    """One page, by the given keys or else by ``_score``; the id breaks ties."""
+    """One page, by the given keys or else by ``_score``; the id breaks ties.
+
+    Offset and limit together end at ``MAX_WINDOW``; ``page_after`` goes further.
+    """
     validate_limit(limit)
+    if offset + limit > MAX_WINDOW:
+        raise ValueError(f"Offset and limit cannot exceed {MAX_WINDOW} together; use page_after")
     if sort:
         keys = sort_columns(sort, schema or CatalogSchema.of(df))
         df = df.withColumn("_score", F.lit(None).cast("double")) if "_score" in df.columns else df
@@ -62,6 +74,34 @@ def page(
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def page_after(
+    df: DataFrame,
+    after: Sequence[Any],
+    sort: Sequence[Any] = (),
+    limit: int = DEFAULT_LIMIT,
+    schema: CatalogSchema | None = None,
+    id_col: str = "id",
+) -> DataFrame:
+    """The page behind a row, given by its sort values and its id: as cheap at any depth as the first.
+
+    The row's place is a filter, so no task keeps the rows before it.
+    """
+    validate_limit(limit)
+    schema = schema or CatalogSchema.of(df)
+    keys = [*sort_keys(sort, schema), (F.col(id_col), True)]
+    if len(after) != len(keys):
+        raise ValueError("Give one value for each sort key, and the id")
+    behind, equal = F.lit(False), F.lit(True)
+    for (key, up), value in zip(keys, after):
+        if value is None:  # missing values are last: nothing of this key lies behind
+            beyond = F.lit(False)
+        else:
+            beyond = ((key > F.lit(value)) if up else (key < F.lit(value))) | key.isNull()
+        behind = behind | (equal & F.coalesce(beyond, F.lit(False)))
+        equal = equal & key.eqNullSafe(F.lit(value))
+    return df.filter(behind).orderBy(*sort_columns(sort, schema), F.col(id_col).asc()).limit(limit)
+
+
 def hit_projection(df: DataFrame, fields: Sequence[str] | None = None, id_col: str = "id") -> DataFrame:
     """Rows as hits: the source or the listed fields of it, then ``_id`` and what the search added."""
     added = [c for c in ("_score", "_highlight") if c in df.columns]

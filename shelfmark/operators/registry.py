@@ -117,10 +117,14 @@ def audit(
     minimum: int | None = None,
     columns: list[str] | None = None,
     key: str = "id",
+    types: T.StructType | None = None,
+    written: int | None = None,
 ) -> DataFrame:
     """One row per check of a staged version: check, severity, passed, observed, wanted.
 
-    More documents than expected pass. Everything but the schema comes from one aggregation.
+    ``columns`` have to be there; fields that ``types`` declares have to be of its
+    types, at every depth; ``written`` is the exact number of rows. More documents than
+    expected pass. Everything but the schema comes from one aggregation.
     """
     seen = version.agg(
         F.count(F.lit(1)).alias("n"),
@@ -129,6 +133,7 @@ def audit(
     )
     n, spare = F.col("n"), F.col("n") - F.col("without_id") - F.col("ids")
     missing = sorted(set(columns or []) - set(version.columns))
+    wrong = mistyped(version.schema, types) if types is not None else []
 
     def check(name: str, severity: str, passed: Column, observed: Column, wanted: int | None) -> Column:
         return F.struct(
@@ -144,7 +149,10 @@ def audit(
         check("null_id", "fail", F.col("without_id") == 0, F.col("without_id"), 0),
         check("duplicate_id", "fail", spare == 0, spare, 0),
         check("schema", "fail", F.lit(not missing), F.lit(len(missing)), 0),
+        check("types", "fail", F.lit(not wrong), F.lit(len(wrong)), 0),
     ]
+    if written is not None:
+        checks.append(check("written", "fail", n == written, n, written))
     if expected is not None:
         checks.append(check("expected_count", "fail", n >= expected, n, expected))
         checks.append(check("surplus", "warn", n <= expected, n, expected))
@@ -153,6 +161,20 @@ def audit(
     return seen.select(F.inline(F.array(*checks)))
 
 
+def mistyped(actual: T.DataType, declared: T.DataType, path: str = "") -> list[str]:
+    """Paths that both have and whose types differ; fields only one side has do not count."""
+    if isinstance(actual, T.StructType) and isinstance(declared, T.StructType):
+        known = {f.name: f.dataType for f in declared.fields}
+        return [
+            p for f in actual.fields if f.name in known for p in mistyped(f.dataType, known[f.name], f"{path}.{f.name}".lstrip("."))
+        ]
+    if isinstance(actual, T.ArrayType) and isinstance(declared, T.ArrayType):
+        return mistyped(actual.elementType, declared.elementType, f"{path}[]")
+    if isinstance(actual, T.MapType) and isinstance(declared, T.MapType):
+        return mistyped(actual.keyType, declared.keyType, path) + mistyped(actual.valueType, declared.valueType, f"{path}.*")
+    return [] if actual == declared else [path]
+
+
 def passed(report: DataFrame) -> bool:
     """Whether no failing check is left in an audit of a few rows."""
     return report.filter("severity = 'fail' and not passed").isEmpty()

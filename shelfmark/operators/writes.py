@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
 from shelfmark.runtime import computed_once
-from shelfmark.schema import EXTRA, nullable
+from shelfmark.schema import EXTRA, PRODUCT, kind_of, nullable
+from shelfmark.sources.products import mismatch
 
 Enrich = Callable[[DataFrame], DataFrame]
 
@@ -41,9 +42,23 @@ def latest(
 def upsert(
     base: DataFrame, changes: DataFrame, order_by: Sequence[str], key: str = "id"
 ) -> DataFrame:
-    """``base`` with the last change of each key in place of the old row."""
+    """``base`` with the last change of each key in place of the old row.
+
+    Columns that changes lack are null in their rows. Columns that ``base`` lacks go to
+    its ``_extra``, or where it has none they are added.
+    """
     replaced = base.join(changes.select(key).distinct(), key, "left_anti")
-    return replaced.unionByName(latest(changes, order_by, key, base.columns))
+    named = [c for c in changes.columns if c in base.columns]
+    other = [c for c in changes.columns if c not in base.columns and c not in order_by]
+    kept = latest(changes, order_by, key, named + other)
+    if other and EXTRA in base.columns:
+        own = F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in other]))
+        fields = F.map_filter(F.try_variant_get(own, "$", "map<string,variant>"), lambda _, v: ~F.is_variant_null(v))
+        if EXTRA in named:
+            had = F.coalesce(F.try_variant_get(EXTRA, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+            fields = F.map_concat(F.map_filter(had, lambda k, _: ~k.isin(other)), fields)
+        kept = kept.withColumn(EXTRA, F.when(F.size(fields) > 0, F.to_variant_object(fields))).drop(*other)
+    return replaced.unionByName(kept, allowMissingColumns=True)
 
 
 def write_results(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -81,12 +96,28 @@ def load_filtered(
     return products.filter(keep(products)).observe(seen, F.count(F.lit(1)).alias("loaded")), seen
 
 
-def patch_errors(patches: DataFrame, key: str = "id", body: str = "patch") -> DataFrame:
-    """Patches that cannot be applied: a blank id or no document."""
-    reason = F.when(sc.is_blank(F.col(key)), F.lit("Document ID must be specified")).when(
-        F.col(body).isNull(), F.lit("Document is required")
+def _patch_fault(schema: T.StructType, key: str, body: str) -> Column:
+    """Why a patch cannot be applied: a blank id, no document, or a value of a wrong type at any depth."""
+    doc = F.col(body)
+    fields = [
+        mismatch(F.try_variant_get(doc, f"$.{f.name}", "variant"), f.dataType, f.name, kind_of(f))
+        for f in schema.fields
+        if f.name not in (key, EXTRA)
+    ]
+    whole = F.schema_of_variant(doc).startswith("OBJECT")
+    return (
+        F.when(sc.is_blank(F.col(key)), F.lit("Document ID must be specified"))
+        .when(doc.isNull(), F.lit("Document is required"))
+        .when(~whole, F.lit("a partial document has to be an object"))
+        .otherwise(F.coalesce(F.lit(None).cast("string"), *fields))
     )
-    return patches.withColumn("reason", reason).filter("reason is not null")
+
+
+def patch_errors(
+    patches: DataFrame, schema: T.StructType = PRODUCT, key: str = "id", body: str = "patch"
+) -> DataFrame:
+    """Patches that cannot be applied, each with its ``reason``; ``patch`` leaves their rows alone."""
+    return computed_once(patches, "reason", _patch_fault(schema, key, body)).filter("reason is not null")
 
 
 class _Node:
@@ -184,6 +215,7 @@ def patch(
 ) -> DataFrame:
     """Apply partial documents, in order, and insert those whose id is new.
 
+    A patch with a value of a wrong type is left out as a whole (see ``patch_errors``).
     ``body`` is a variant: an absent field keeps the old value, an explicit null
     sets null, objects and map entries merge, arrays and scalars replace. Fields
     without a column go to ``_extra``, each as a whole, where the table has it. All
@@ -199,9 +231,7 @@ def patch(
         # undeclared fields are entries of the document itself
         root.children[EXTRA].path, root.children[EXTRA].skip = "$", columns
     order = F.struct(*order_by)
-    usable = computed_once(patches, body, F.col(body)).filter(
-        ~sc.is_blank(F.col(key)) & F.col(body).isNotNull()
-    )
+    usable = computed_once(patches, "_fault", _patch_fault(schema, key, body)).filter("_fault is null").drop("_fault")
     doc = F.col(body)
     aggs = [a for c in root.children.values() for a in c.aggregates(doc, order)]
     condensed = usable.groupBy(key).agg(*aggs)

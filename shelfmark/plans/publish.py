@@ -7,23 +7,26 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark.functions import scalar as sc
 from shelfmark.functions.scalar import BLUE, GREEN
 from shelfmark.operators import ingest as ing
 from shelfmark.operators import registry as rg
 from shelfmark.operators import reports as rp
 from shelfmark.operators import writes as wr
-from shelfmark.operators.lookup import lookup
 from shelfmark.operators.relevance import search_fields
 from shelfmark.plans import side_tables as st
 from shelfmark.plans.search import SearchResult, criteria_search, text_search
 from shelfmark.plans.store import CatalogFiles, ConcurrentPublish
 from shelfmark.schema import PRODUCT, CatalogSchema, describe
+from shelfmark.sources import products as src
 
 WARMING = "warming"
 STAGE_ATTEMPTS = 5
+CHANGE_ATTEMPTS = 5
 
 
 class AuditFailed(RuntimeError):
@@ -135,9 +138,17 @@ class BlueGreenCatalog:
         return text_search(rows, query, fields, highlight=highlight, index=index, **options)
 
     def get(self, alias: str, product_id: str | int) -> Row | None:
-        """One product by id, else by record number, else nothing."""
-        keys = self.spark.createDataFrame([(str(product_id),)], "key string")
-        return lookup(self.table(alias), keys).first()["product"]
+        """One product by id, else by record number, else nothing.
+
+        The id is a literal in the filter, so files and row groups of other ids are skipped.
+        """
+        rows, asked = self.table(alias), str(product_id)
+        found = rows.filter(F.col(self.key) == asked).first()
+        number = sc.numeric_key(F.lit(asked))
+        if found is None and "RecordId" in rows.columns:
+            value = self.spark.range(1).select(number.alias("n")).first()["n"]
+            found = None if value is None else rows.filter(F.col("RecordId") == value).sort(self.key).first()
+        return found
 
     def schema_of(self, alias: str) -> DataFrame:
         """Path, type and kind of every field of the active version."""
@@ -179,8 +190,9 @@ class BlueGreenCatalog:
     ) -> DataFrame:
         """Products with their id, the last of each id kept.
 
-        Without an order the place of a row in its frame decides. ``unique`` says
-        that no id repeats, which the audit will check.
+        Rows read from files count in the order of their place there. A frame without
+        such a place has no last row: name ``order_by``, or its ids must not repeat.
+        ``unique`` says that no id repeats. The audit checks both.
         """
         given = F.col(self.key) if self.key in products.columns else F.lit(None).cast("string")
         number = F.col("RecordId") if "RecordId" in products.columns else F.lit(None).cast("bigint")
@@ -190,19 +202,35 @@ class BlueGreenCatalog:
             return df
         if order_by:
             return wr.latest(df, order_by, self.key)
-        placed = df.withColumn("_place", F.monotonically_increasing_id())
-        return wr.latest(placed, ["_place"], self.key, df.columns)
+        if src.SOURCE in df.columns:
+            kept = [c for c in df.columns if c != src.SOURCE]
+            return wr.latest(src.placed(df), src.PLACE, self.key, kept)
+        return df
 
-    def _write(self, alias: str, rows: DataFrame) -> str:
-        version = self.files.new_version()
-        rows.write.mode("errorifexists").parquet(self.files.data_path(alias, version))
-        return version
+    def _write(self, alias: str, rows: DataFrame) -> tuple[str, int]:
+        """Write a version in the order of its key, and count what was written.
+
+        Files that hold a range of keys each let a read of one key skip all others.
+        """
+        version, seen = self.files.new_version(), Observation()
+        # counted behind the sort: finding the ranges reads the rows once more
+        ordered = rows.repartitionByRange(self.key).sortWithinPartitions(self.key)
+        ordered.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(
+            self.files.data_path(alias, version)
+        )
+        return version, seen.get["n"]
 
-    def _audit(self, alias: str, version: str, expected: int | None, minimum: int | None) -> DataFrame:
+    def _audit(
+        self, alias: str, version: str, written: int, expected: int | None, minimum: int | None, schema: T.StructType | None
+    ) -> DataFrame:
+        """What is stored has to be what was written, of the declared types, and enough of it."""
         stored = self.spark.read.parquet(self.files.data_path(alias, version))
-        report = rg.audit(stored, expected, minimum, key=self.key)
+        report = rg.audit(
+            stored, expected, minimum, [f.name for f in schema.fields] if schema else None, self.key, schema or PRODUCT, written
+        )
         if not rg.passed(report):
-            raise AuditFailed(f"Version {version} of '{alias}' failed validation")
+            failed = [r["check"] for r in report.filter("severity = 'fail' and not passed").collect()]
+            raise AuditFailed(f"Version {version} of '{alias}' failed validation: {', '.join(failed)}")
         return report
 
     def deploy(
@@ -218,12 +246,16 @@ class BlueGreenCatalog:
         color: str | None = None,
         unique: bool = False,
         text_fields: Sequence[str] | None = None,
+        schema: T.StructType | None = None,
+        base: str | None = None,
     ) -> DeploymentState:
         """Stage a new version; with ``auto-swap`` also publish it.
 
-        The audit runs on the written files before anything points at them. The
-        property map is also stored in long form; ``text_fields`` asks for a text
-        index of those fields.
+        The audit runs on the written files before anything points at them: declared
+        fields must have their declared types, and with ``schema`` all its fields must
+        be there. The property map is also stored in long form; ``text_fields`` asks
+        for a text index of those fields. ``base`` is the version the rows were made
+        from; if another one is active by then, ``ConcurrentPublish`` is raised.
         """
         _named(alias)
         if products is None:
@@ -232,9 +264,9 @@ class BlueGreenCatalog:
             raise ValueError(f"Unknown strategy {strategy!r}; use one of {', '.join(rg.STRATEGIES)}")
         rows = products.filter(keep(products)) if keep else products
         rows = wr.load_enriched(rows, enrich)
-        version = self._write(alias, self.keyed(rows, order_by, unique))
+        version, written = self._write(alias, self.keyed(rows, order_by, unique))
         try:
-            self._audit(alias, version, expected, minimum)
+            self._audit(alias, version, written, expected, minimum, schema)
         except AuditFailed:
             self.files.delete(self.files.version_path(alias, version))
             raise
@@ -244,9 +276,19 @@ class BlueGreenCatalog:
         if text_fields:
             stored = self.spark.read.parquet(self.files.data_path(alias, version))
             st.write_text_index(stored, f"{self.files.version_path(alias, version)}/text", text_fields)
-        before, target, seq = self._stage(alias, version, color, strategy)
+        try:
+            before, target, seq = self._stage(alias, version, color, strategy, base)
+        except ConcurrentPublish:
+            self.files.delete(self.files.version_path(alias, version))
+            raise
         if strategy == rg.AUTO_SWAP:
-            self.files.record(alias, rg.PUBLISH, version, target, strategy, seen=seq)
+            try:
+                self.files.record(alias, rg.PUBLISH, version, target, strategy, seen=seq)
+            except ConcurrentPublish:
+                # another writer came between: the version was never published, take it back
+                self.files.record(alias, rg.DROP, version, target)
+                self.files.delete(self.files.version_path(alias, version))
+                raise
             return DeploymentState(
                 alias, target, version, None, None, rg.DONE, dt.datetime.now(dt.timezone.utc), strategy
             )
@@ -259,12 +301,17 @@ class BlueGreenCatalog:
         )
 
     def _stage(
-        self, alias: str, version: str, color: str | None, strategy: str
+        self, alias: str, version: str, color: str | None, strategy: str, base: str | None = None
     ) -> tuple[DeploymentState, str, int]:
-        """Enter a written version; a writer that came between is looked at, then it is tried again."""
+        """Enter a written version; a writer that came between is looked at, then it is tried again.
+
+        With a ``base`` the version is entered only while that one is active.
+        """
         for attempt in range(STAGE_ATTEMPTS):
             seen = self.files.last_seq(alias)
             before = self.status(alias)
+            if base is not None and before.active_version != base:
+                raise ConcurrentPublish(f"'{alias}' no longer points at {base}")
             target = color or self._next_color(before, strategy)
             try:
                 seq = self.files.record(alias, rg.STAGE, version, target, strategy, seen=seen)
@@ -292,7 +339,7 @@ class BlueGreenCatalog:
         """First version of a new alias: staged, audited, then published."""
         if self.alias_exists(alias):
             raise ValueError(
-                f"Alias '{alias}' already exists. Use the deploy endpoint for existing aliases."
+                f"Alias '{alias}' already exists; deploy adds a version to it"
             )
         staged = self.deploy(alias, products, color=color, **options)
         self.swap(alias, color)
@@ -345,8 +392,10 @@ class BlueGreenCatalog:
             raise LookupError(f"Index '{version}' does not exist")
         self.files.record(alias, rg.PUBLISH, version, known["color"], seen=seen)
         if delete_old:
+            waiting = self.status(alias).staging_version
             for row in self.versions(alias).filter(F.col("version") != version).collect():
-                self.drop_version(alias, row["version"])
+                if row["version"] != waiting:
+                    self.drop_version(alias, row["version"])
         return self.status(alias)
 
     create_alias = publish_version
@@ -373,13 +422,17 @@ class BlueGreenCatalog:
         return gone
 
     def drop_version(self, alias: str, version: str) -> None:
-        """Take a version out of the registry, then delete its files."""
+        """Take a version out of the registry, then delete its files.
+
+        The entry is only made if nobody published since the version was found idle.
+        """
+        seen = self.files.last_seq(alias)
         if self.status(alias).active_version == version:
             raise ValueError(f"Version {version} is active and cannot be dropped")
         known = self.versions(alias).filter(F.col("version") == version).first()
         if known is None:
             raise LookupError(f"Index '{version}' does not exist")
-        self.files.record(alias, rg.DROP, version, known["color"])
+        self.files.record(alias, rg.DROP, version, known["color"], seen=seen)
         self.files.delete(self.files.version_path(alias, version))
 
     # --- health ------------------------------------------------------------------------------
@@ -400,18 +453,40 @@ class BlueGreenCatalog:
     def change(
         self, alias: str, how: Callable[[DataFrame], DataFrame], strategy: str = rg.AUTO_SWAP
     ) -> DeploymentState:
-        """A new version from the active one: ``how`` is an upsert, a patch or a delete."""
-        return self.deploy(alias, how(self.table(alias)), strategy, unique=True)
+        """A new version from the active one: ``how`` is an upsert, a patch or a delete.
+
+        If another writer publishes meanwhile, ``how`` is applied to its version
+        instead, so no change is lost. The text index keeps its fields.
+        """
+        for attempt in range(CHANGE_ATTEMPTS):
+            base = self.resolve(alias)
+            try:
+                return self.deploy(
+                    alias,
+                    how(self.table(alias, base)),
+                    strategy,
+                    unique=True,
+                    base=base,
+                    text_fields=self._indexed_fields(alias, base),
+                )
+            except ConcurrentPublish:
+                if attempt == CHANGE_ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
+    def _indexed_fields(self, alias: str, version: str) -> list[str] | None:
+        path = f"{self.files.version_path(alias, version)}/text/stats"
+        if not self.files.exists(path):
+            return None
+        return sorted(r["field"] for r in self.spark.read.parquet(path).select("field").distinct().collect())
 
     def index_one(self, alias: str, document: DataFrame) -> str:
         """Store one document under its id; says whether it was created or updated."""
         if document is None:
             raise ValueError("Document is required")
         keyed = self.keyed(document)
-        base = self.table(alias)
-        row = wr.write_results(base, keyed, self.key).first()
-        full = base.limit(0).unionByName(keyed, allowMissingColumns=True).select(*base.columns)
-        self.change(alias, lambda d: wr.upsert(d, full, [self.key], self.key))
+        row = wr.write_results(self.table(alias), keyed, self.key).first()
+        self.change(alias, lambda d: wr.upsert(d, keyed, [self.key], self.key))
         return row["result"]
 
     def update(self, alias: str, document_id: str | int, patch_json: str) -> str:
@@ -421,7 +496,11 @@ class BlueGreenCatalog:
             raise ValueError("Document is required")
         one = self.spark.createDataFrame([(found, patch_json)], "_k string, _t string")
         patches = one.select(F.col("_k").alias(self.key), F.parse_json("_t").alias("patch"), F.lit(0).alias("_o"))
-        row = wr.write_results(self.table(alias), patches, self.key).first()
+        table = self.table(alias)
+        fault = wr.patch_errors(patches, table.schema, self.key).first()
+        if fault is not None:
+            raise ValueError(fault["reason"])
+        row = wr.write_results(table, patches, self.key).first()
         self.change(alias, lambda d: wr.patch(d, patches, ["_o"], self.key))
         return row["result"]
 

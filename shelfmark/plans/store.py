@@ -1,7 +1,7 @@
 """Files of a catalog: version folders and the registry log.
 
-    {root}/{alias}/version={v}/data        rows of one version (Parquet)
-    {root}/{alias}/version={v}/facets      long facet rows, one folder per facet
+    {root}/{alias}/version={v}/data        rows of one version (Parquet), in ranges of ids
+    {root}/{alias}/version={v}/facets      long facet rows, sorted by facet
     {root}/{alias}/registry/{seq}.json     one publish event per file
 
 The log is the truth. Each entry takes the next number with an exclusive create,
@@ -15,6 +15,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.operators.registry import REGISTRY
 
@@ -63,15 +64,17 @@ class CatalogFiles:
         return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
 
     def registry(self, alias: str) -> DataFrame:
-        """All events of an alias; an entry cut off while being written is left out.
+        """All events of an alias; an entry that was cut off while being written raises when read.
 
         One row per publish action of one alias: a single partition saves the shuffles.
         """
         log = self._log(alias)
         if not self.exists(log):
             return self.spark.createDataFrame([], REGISTRY)
-        rows = self.spark.read.schema(REGISTRY).option("mode", "DROPMALFORMED").json(log)
-        return rows.filter("seq is not null").coalesce(1)
+        rows = self.spark.read.schema(REGISTRY).option("mode", "FAILFAST").json(log).coalesce(1)
+        return rows.withColumn(
+            "seq", F.coalesce("seq", F.raise_error(F.lit(f"Registry of '{alias}' holds a broken entry")).cast("bigint"))
+        )
 
     def record(
         self,

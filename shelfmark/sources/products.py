@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.plans.numbering import number_rows
 from shelfmark.runtime import computed_once
-from shelfmark.schema import DISABLED, EXTRA, PRODUCT, PROPERTY, kind_of
+from shelfmark.schema import DISABLED, EXTRA, PRODUCT, PROPERTY, inferred_kind, kind_of
 
 # How a rejected row is reported.
 PARSE_ERROR = "mapper_parsing_exception"
@@ -20,14 +22,48 @@ PROPERTIES = "DefaultProductProperties"
 def read_products(
     spark: SparkSession, path: str, schema: T.StructType = PRODUCT, strict: bool = False
 ) -> DataFrame:
-    """JSON Lines with a declared schema; ``strict`` fails on the first bad line."""
-    mode = "FAILFAST" if strict else "PERMISSIVE"
-    return spark.read.schema(schema).option("mode", mode).json(path)
+    """JSON Lines with a declared schema, and the place of each row.
+
+    Nothing is lost on the way: undeclared fields are in ``_extra``, properties may be
+    in list form, and a line that cannot be stored as it is keeps its text and reason in
+    ``document`` and ``error``. ``strict`` fails on the first such line instead.
+    """
+    if strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return parse_lines(read_lines(spark, path), schema)
+
+
+#: Where a row was read: file time, file, and start of the block.
+SOURCE = "_source"
+#: The order of rows by their place: files by time and name, blocks, rows.
+PLACE = ["_file_time", "_file", "_block", "_row"]
+
+
+def with_source(df: DataFrame) -> DataFrame:
+    """Rows of a file source with their place, so that a later write can tell which came last."""
+    place = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    return df.select("*", place.alias(SOURCE))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The place as sortable columns; rows of a block keep the order in which they were read."""
+    time, file, block, row = PLACE
+    return df.select(
+        *[F.col(f"`{c}`") for c in df.columns if c != SOURCE],
+        F.col(f"{SOURCE}.time").alias(time),
+        F.col(f"{SOURCE}.file").alias(file),
+        F.col(f"{SOURCE}.block").alias(block),
+        F.monotonically_increasing_id().alias(row),
+    )
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines, for ``parse_lines``."""
-    return spark.read.text(path)
+    """Raw lines with their place, for ``parse_lines``."""
+    return with_source(spark.read.text(path))
 
 
 def stream_products(
@@ -38,7 +74,8 @@ def stream_products(
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    """A stream of raw lines with their place."""
+    return with_source(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
 
 
 def read_array_files(spark: SparkSession, path: str, fields: list[str], partitions: int) -> DataFrame:
@@ -124,22 +161,103 @@ def _field(v: Column, f: T.StructField) -> Column:
     return F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString())
 
 
-def _reason(v: Column, typed: Column, f: T.StructField) -> Column:
-    """Why a field cannot be stored, else null. A disabled field takes any value."""
+def _nothing() -> Column:
+    return F.lit(None).cast("string")
+
+
+def mismatch(v: Column, dtype: T.DataType, name: str, kind: str | None = None) -> Column:
+    """Why a variant cannot be stored as ``dtype``, at the first place where it cannot; null if it can.
+
+    Nulls and absent fields always can. Text takes numbers and booleans, but no
+    objects or lists. A property map may be in list form.
+    """
+    given = v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(False))
+    wrong = F.lit(f"failed to parse field [{name}] of type [{kind or inferred_kind(dtype)}]")
+    if isinstance(dtype, T.VariantType):
+        return _nothing()
+    if isinstance(dtype, T.StructType):
+        whole = F.schema_of_variant(v).startswith("OBJECT")
+        below = [
+            mismatch(F.try_variant_get(v, f"$.{f.name}", "variant"), f.dataType, f"{name}.{f.name}", kind_of(f))
+            for f in dtype.fields
+        ]
+        return F.coalesce(F.when(given & ~whole, wrong), *below)
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        entries = F.try_variant_get(v, "$", "array<variant>")
+        inner = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype.valueType
+        if isinstance(dtype, T.MapType):
+            entries = F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), entries)
+        return F.coalesce(F.when(given & entries.isNull(), wrong), _first(entries, lambda e: mismatch(e, inner, name, kind)))
+    if isinstance(dtype, T.StringType):
+        return F.when(given & F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), wrong)
+    return F.when(given & F.try_variant_get(v, "$", dtype.simpleString()).isNull(), wrong)
+
+
+def _first(entries: Column, of: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(F.transform(entries, of), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _reason(v: Column, f: T.StructField) -> Column:
+    """Why a field cannot be stored, else null."""
+    return mismatch(F.try_variant_get(v, f"$.{f.name}", "variant"), f.dataType, f.name, kind_of(f))
+
+
+def undeclared(v: Column, dtype: T.DataType) -> Column:
+    """What a variant holds beside its declared fields, at every depth, in the same shape; null without any.
+
+    Entries of a list appear under their place. The short form of a property fills two
+    declared fields.
+    """
+    entries = F.try_variant_get(v, "$", "map<string,variant>")
+    if isinstance(dtype, T.StructType):
+        declared = [f.name for f in dtype.fields] + (["Name", "Value"] if dtype == PROPERTY else [])
+        own = F.map_filter(entries, lambda k, _: ~k.isin(declared))
+        below = [
+            F.struct(F.lit(f.name).alias("col1"), undeclared(F.try_variant_get(v, f"$.{f.name}", "variant"), f.dataType).alias("col2"))
+            for f in dtype.fields
+            if _has_fields(f.dataType)
+        ]
+        found = F.map_concat(own, _given(F.array(*below))) if below else own
+    elif isinstance(dtype, T.MapType):
+        by_key = F.map_filter(F.transform_values(entries, lambda _, e: undeclared(e, dtype.valueType)), lambda _, x: x.isNotNull())
+        found = F.coalesce(by_key, _by_place(v, dtype.valueType))
+    else:
+        found = _by_place(v, dtype.elementType)
+    return F.when(F.size(found) > 0, F.to_variant_object(found))
+
+
+def _has_fields(dtype: T.DataType) -> bool:
+    inner = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype.valueType if isinstance(dtype, T.MapType) else dtype
+    return isinstance(inner, T.StructType)
+
+
+def _given(pairs: Column) -> Column:
+    return F.map_from_entries(F.filter(pairs, lambda p: p["col2"].isNotNull()))
+
+
+def _by_place(v: Column, inner: T.DataType) -> Column:
+    entries = F.try_variant_get(v, "$", "array<variant>")
+    pairs = F.transform(entries, lambda e, i: F.struct(i.cast("string").alias("col1"), undeclared(e, inner).alias("col2")))
+    return _given(pairs)
+
+
+def _unstorable(v: Column, f: T.StructField) -> Column:
+    """A disabled field takes any value: what its column cannot hold is kept beside it."""
     raw = F.try_variant_get(v, f"$.{f.name}", "variant")
-    given = raw.isNotNull() & ~F.coalesce(F.is_variant_null(raw), F.lit(False))
-    bad = typed.isNull()
-    if isinstance(f.dataType, T.StringType):
-        bad = bad | F.schema_of_variant(raw).rlike("^(OBJECT|ARRAY)")
-    return F.when(given & bad, F.lit(f"failed to parse field [{f.name}] of type [{kind_of(f)}]"))
+    lost = mismatch(raw, f.dataType, f.name).isNotNull() & ~F.lit(isinstance(f.dataType, T.StringType))
+    return F.struct(F.lit(f.name).alias("col1"), F.when(lost, raw).alias("col2"))
 
 
-def undeclared(doc: Column, declared: list[str]) -> Column:
-    """The fields of a document outside the schema, as a variant object; null without any."""
-    fields = F.map_filter(
-        F.try_variant_get(doc, "$", "map<string,variant>"), lambda k, _: ~k.isin(declared)
-    )
-    return F.when(F.size(fields) > 0, F.to_variant_object(fields))
+def _beside(doc: Column, schema: T.StructType) -> Column:
+    """``_extra``: undeclared fields, and values that disabled columns cannot hold."""
+    extra = F.try_variant_get(undeclared(doc, schema), "$", "map<string,variant>")
+    off = [f for f in schema.fields if kind_of(f) == DISABLED and not isinstance(f.dataType, (T.StringType, T.VariantType))]
+    if not off:
+        return F.when(F.size(extra) > 0, F.to_variant_object(extra))
+    kept = _given(F.array(*[_unstorable(doc, f) for f in off]))
+    extra = F.coalesce(extra, F.create_map().cast("map<string,variant>"))
+    both = F.map_concat(F.map_filter(extra, lambda k, _: ~F.map_contains_key(kept, k)), kept)
+    return F.when(F.size(both) > 0, F.to_variant_object(both))
 
 
 def parse_lines(
@@ -147,9 +265,9 @@ def parse_lines(
 ) -> DataFrame:
     """Parse JSON text row by row; a bad row gets an ``error`` and never stops its neighbours.
 
-    Returns the other columns, the text as ``document``, the declared fields, the
-    undeclared ones as one variant object ``_extra`` (null where there are none)
-    and ``error`` struct<type, reason, status>.
+    A value of a wrong type counts at any depth. Returns the other columns, the text as
+    ``document``, the declared fields, the undeclared ones of every depth as one variant
+    object ``_extra`` (null where there are none) and ``error`` struct<type, reason, status>.
     """
     passed = [c for c in lines.columns if c != value]
     doc = computed_once(lines.select(*passed, value), "_doc", F.try_parse_json(value))
@@ -160,7 +278,7 @@ def parse_lines(
         *[_field(F.col("_doc"), f).alias(f.name, metadata=f.metadata) for f in schema.fields],
     )
     reasons = [
-        _reason(F.col("_doc"), F.col(f.name), f) for f in schema.fields if kind_of(f) != DISABLED
+        _reason(F.col("_doc"), f) for f in schema.fields if kind_of(f) != DISABLED
     ]
     malformed = F.col("_doc").isNull() | ~F.coalesce(
         F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False)
@@ -176,6 +294,6 @@ def parse_lines(
         *passed,
         F.col(value).alias("document"),
         *[f.name for f in schema.fields],
-        undeclared(F.col("_doc"), [f.name for f in schema.fields]).alias(EXTRA),
+        _beside(F.col("_doc"), schema).alias(EXTRA),
         error.alias("error"),
     )

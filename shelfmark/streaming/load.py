@@ -79,8 +79,14 @@ class LoadSession:
     def status(self, idle_check: bool = True) -> DataFrame:
         return ss.session_status(self.ledger(), F.current_timestamp() if idle_check else None)
 
-    def _require_active(self) -> None:
-        row = self.status().select("status").first()
+    def _recent(self, epoch: int) -> DataFrame:
+        """Of the ledger what decides whether the session is open: its ends and the epoch before."""
+        names = [e for e in ("start", "complete", "fail", "cancel", str(epoch - 1)) if self.catalog.files.exists(f"{self.path}/ledger/epoch={e}")]
+        return self.spark.read.schema(ss.LEDGER).json([f"{self.path}/ledger/epoch={e}" for e in names])
+
+    def _require_active(self, epoch: int | None = None) -> None:
+        ledger = self.ledger() if epoch is None else self._recent(epoch)
+        row = ss.session_status(ledger, F.current_timestamp()).select("status").first()
         if row is None or row["status"] == ss.EXPIRED:
             raise LookupError(f"Session {self.session} not found or expired")
         if row["status"] != ss.ACTIVE:
@@ -94,8 +100,11 @@ class LoadSession:
         Rows are numbered and cut into batches. A batch in which an id occurs twice
         is refused as a whole; a row that cannot be parsed is set aside alone.
         """
-        self._require_active()
-        numbered = number_rows(lines.select("value"), name="_n").withColumn(
+        self._require_active(epoch)
+        # files count in the order of their time and name, whatever their size
+        order = src.PLACE if src.SOURCE in lines.columns else ()
+        placed = src.placed(lines) if order else lines
+        numbered = number_rows(placed.select("value", *order), order, name="_n").drop(*order).withColumn(
             "batch", F.floor((F.col("_n") - 1) / self.batch_size) + 1
         )
         parsed = src.parse_lines(numbered, self.schema)
@@ -104,9 +113,10 @@ class LoadSession:
             ing.derive_id(F.col("id"), F.col("RecordId"), F.lit(self.session), F.lit(epoch), "batch", "_n"),
         ).persist()
         try:
-            repeated = ing.duplicate_ids(keyed.filter("error is null"), ["batch"]).groupBy("batch").agg(
-                F.sum("copies").alias("copies")
-            )
+            # every id counts, also that of a row with an error in another field
+            twice = ing.duplicate_ids(keyed, ["batch"])
+            twice.write.mode("overwrite").parquet(f"{self.path}/duplicates/epoch={epoch}")
+            repeated = twice.groupBy("batch").agg(F.sum("copies").alias("copies"))
             fine = keyed.join(repeated, "batch", "left_anti")
             good, bad = ing.split_outcomes(fine)
             stored = [f.name for f in self.schema.fields] + [EXTRA]
@@ -155,6 +165,10 @@ class LoadSession:
             return self.spark.createDataFrame([], T.StructType(self.schema.fields + extra + places))
         return self.spark.read.parquet(f"{self.path}/accepted")
 
+    def duplicates(self) -> DataFrame:
+        """The repeated ids of refused batches: ``batch, id, copies, epoch``."""
+        return self.spark.read.schema("batch long, id string, copies long, epoch long").parquet(f"{self.path}/duplicates")
+
     def rejected(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rejected")
 
@@ -168,7 +182,9 @@ class LoadSession:
         kept = [c for c in rows.columns if c not in ("epoch", "batch", "pos")]
         last = wr.latest(rows, ["epoch", "pos"], columns=kept)
         try:
-            state = self.catalog.deploy(self.alias, last, self.strategy, expected=expected, unique=True)
+            state = self.catalog.deploy(
+                self.alias, last, self.strategy, expected=expected, unique=True, schema=self.schema
+            )
         except AuditFailed as e:
             self._note("fail", message=str(e))
             raise
@@ -176,10 +192,10 @@ class LoadSession:
         return state
 
     def cancel(self) -> None:
-        """Give the load up: its rows are deleted, its ledger stays."""
+        """Give an active load up: its accepted rows are deleted, its ledger and rejects stay."""
+        self._require_active()
         self._note("cancel")
-        for part in ("accepted", "rejected"):
-            self.catalog.files.delete(f"{self.path}/{part}")
+        self.catalog.files.delete(f"{self.path}/accepted")
 
 
 def load_and_publish(
@@ -192,18 +208,23 @@ def load_and_publish(
     estimated_total: int | None = None,
     schema: T.StructType = PRODUCT,
 ) -> tuple[LoadSession, DeploymentState]:
-    """Start, load all files of a folder, complete, and promote; a failure cancels the session."""
+    """Start, load all files of a folder, complete, and promote.
+
+    A failure before completion cancels the session; one after it leaves the staged version.
+    """
     session = LoadSession(catalog, alias, strategy, estimated_total, batch_size, schema)
     try:
         lines = src.stream_lines(catalog.spark, folder, files_per_batch)
         session.run(lines).awaitTermination()
         state = session.complete()
-        if strategy != rg.AUTO_SWAP and state.staging_color:
-            state = catalog.swap(alias, state.staging_color)
-        return session, state
     except Exception:
-        session.cancel()
+        # a load that failed its audit is closed already; what it stored is evidence
+        if session.status().select("status").first()["status"] == ss.ACTIVE:
+            session.cancel()
         raise
+    if strategy != rg.AUTO_SWAP and state.staging_color:
+        state = catalog.swap(alias, state.staging_color)
+    return session, state
 
 
 def all_sessions(catalog: BlueGreenCatalog, alias: str) -> DataFrame:
@@ -222,13 +243,17 @@ def purge_expired(catalog: BlueGreenCatalog, alias: str, now: Column | None = No
     idle = ss.session_status(ledger, moment).filter(F.col("status") == ss.EXPIRED)
     gone = [r["session"] for r in idle.join(open_ones, "session", "left_semi").select("session").collect()]
     for session in gone:
-        for part in ("accepted", "rejected"):
-            catalog.files.delete(f"{catalog.files.root}/{alias}/sessions/{session}/{part}")
+        catalog.files.delete(f"{catalog.files.root}/{alias}/sessions/{session}/accepted")
     return gone
 
 
 def closed_sessions(batches: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
-    """Sessions of a stream of batches, given out once idle time and watermark have passed."""
+    """Sessions of a stream of batches, given out once idle time and watermark have passed.
+
+    Sessions are merged in each task before the shuffle, so a key with very many
+    batches sends a few rows.
+    """
+    batches.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         batches.withWatermark(ts, late)
         .groupBy(F.session_window(ts, f"{ss.IDLE_SECONDS} seconds"), F.col(key))

@@ -120,3 +120,38 @@ def facets_stored(spark, sf):
     return st.facets_of(matches, stored, score="_score").select(
         "facet", F.col("rank").cast("bigint").alias("rank"), "key", F.col("count").alias("hits")
     )
+
+
+@query("""SELECT 'P' || p_partkey AS id, p_retailprice + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS price,
+  p_retailprice + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS deployed FROM part""")
+def stream_last_writer(spark, sf):
+    """Of two files the later one wins, though it is larger and so would be read first."""
+    root = work_path(spark, "last-writer")
+    key = F.col("p_partkey")
+
+    def lines(price, pad):
+        doc = F.struct(F.concat(F.lit("P"), key.cast("string")).alias("id"), key.alias("RecordId"), price.alias("Price"), F.lit(pad).alias("Description"))
+        return table(spark, sf, "part").select(F.to_json(doc).alias("value"), key.alias("k"))
+
+    lines(F.col("p_retailprice"), "short").select("value").coalesce(1).write.text(f"{root}/in")
+    later = lines(F.col("p_retailprice") + 1, "x" * 500).filter("k % 2 = 0")
+    later.select("value").coalesce(1).write.mode("append").text(f"{root}/in")
+    store = BlueGreenCatalog(spark, f"{root}/catalog")
+    session = LoadSession(store, "shop", rg.AUTO_SWAP, batch_size=1000)
+    session.run(src.stream_lines(spark, f"{root}/in", files_per_batch=2)).awaitTermination()
+    session.complete()
+    fine = src.read_products(spark, f"{root}/in").filter("error is null").drop("document", "error")
+    store.deploy("again", fine, rg.AUTO_SWAP)
+    again = store.table("again").select("id", F.col("Price").alias("deployed"))
+    return store.table("shop").select("id", F.col("Price").alias("price")).join(again, "id")
+
+
+@query(f"""WITH catalog AS ({CATALOG_SQL}) SELECT id, price FROM catalog ORDER BY price DESC, id LIMIT 50 OFFSET 100""")
+def page_after(spark, sf):
+    """The page behind the hundredth hit, found by its place and not by counting."""
+    from shelfmark.operators.paging import page, page_after as after
+
+    df = catalog(spark, sf, categories=False)
+    order = [("Price", "desc")]
+    mark = page(df, order, limit=1, offset=99).select("Price", "id").first()
+    return after(df, [mark["Price"], mark["id"]], order, limit=50).select("id", F.col("Price").alias("price"))

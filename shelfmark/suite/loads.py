@@ -127,6 +127,45 @@ def quarantine(spark, sf):
     return ing.failed_rows(parsed).select("batch", "pos", "part", "error.*")
 
 
+NESTED = """WITH lines AS (SELECT l_orderkey AS batch, CAST(l_linenumber AS BIGINT) AS pos, l_partkey AS part, l_suppkey % 7 AS fault FROM lineitem)"""
+
+
+def nested_lines(spark, sf):
+    """Order lines as whole product documents, with faults and undeclared fields below the top."""
+    fault = F.col("l_suppkey") % 7
+    part = F.col("l_partkey").cast("string")
+    context = (
+        F.when(fault == 1, F.lit('{"ChannelId": "abc"}'))
+        .when(fault == 2, F.concat(F.lit('{"ChannelId": '), part, F.lit(', "Zone": {"Deep": '), part, F.lit("}}")))
+        .otherwise(F.concat(F.lit('{"ChannelId": '), part, F.lit("}")))
+    )
+    categories = F.when(fault == 3, F.lit('[1, "x"]')).otherwise(F.lit("[1, 2]"))
+    size = F.when(fault == 4, F.lit('{"KeyName": "S", "Distance": "far"}')).otherwise(
+        F.lit('{"Name": "S", "Value": 4, "DataType": "Integer"}')
+    )
+    text = F.concat(
+        F.lit('{"RecordId": '), part, F.lit(', "RetailContext": '), context, F.lit(', "CategoryIds": '), categories,
+        F.lit(', "DefaultProductProperties": {"Size": '), size, F.lit("}}"),
+    )
+    return spread(table(spark, sf, "lineitem")).select(
+        F.col("l_orderkey").alias("batch"), F.col("l_linenumber").cast("bigint").alias("pos"), F.col("l_partkey").alias("part"), text.alias("value")
+    )
+
+
+@query(f"""{NESTED} SELECT batch, pos, part, CASE fault WHEN 1 THEN 'failed to parse field [RetailContext.ChannelId] of type [long]'
+  WHEN 3 THEN 'failed to parse field [CategoryIds] of type [keyword]'
+  WHEN 4 THEN 'failed to parse field [DefaultProductProperties.Distance] of type [integer]' END AS reason,
+  CASE WHEN fault = 2 THEN part END AS zone, CASE WHEN fault <> 4 THEN 'Integer' END AS data_type FROM lines""")
+def quarantine_nested(spark, sf):
+    """Wrong values below the top are set aside; undeclared ones below the top are kept. Whole product schema."""
+    parsed = src.parse_lines(nested_lines(spark, sf))
+    return parsed.select(
+        "batch", "pos", "part", F.col("error.reason").alias("reason"),
+        F.try_variant_get("_extra", "$.RetailContext.Zone.Deep", "bigint").alias("zone"),
+        F.try_variant_get("_extra", "$.DefaultProductProperties.Size.DataType", "string").alias("data_type"),
+    )
+
+
 @query(f"""{LINES} SELECT batch, count(*) AS input, count(*) FILTER (fault NOT IN (1, 4, 5)) AS successful,
   count(*) FILTER (fault IN (1, 4, 5)) AS failed, true AS balanced FROM lines GROUP BY batch""")
 def reconcile(spark, sf):
@@ -364,3 +403,43 @@ def patch(spark, sf):
         props["Extra"]["KeyName"].alias("extra"),
         props["Maker"]["KeyName"].alias("maker"),
     )
+
+
+@query(f"""WITH catalog AS ({CATALOG_SQL}), p AS (SELECT id, record_id % 4 AS form, record_id FROM catalog)
+SELECT id, CASE form WHEN 0 THEN 'failed to parse field [Price] of type [double]'
+  WHEN 1 THEN 'failed to parse field [Rules.ProductId] of type [long]' END AS reason,
+  CASE WHEN form = 2 THEN 7.5 ELSE price END AS price,
+  CASE WHEN form = 3 THEN 9 ELSE record_id END AS rules_product FROM catalog JOIN p USING (id, record_id)""")
+def patch_refused(spark, sf):
+    """A partial document with a value of a wrong type is refused as a whole; its row stays as it was."""
+    base = catalog(spark, sf, categories=False).select("id", "RecordId", "SearchName", "Price", "Rules")
+    form = F.col("RecordId") % 4
+    text = (
+        F.when(form == 0, F.lit('{"Price": "dear", "SearchName": "lost"}'))
+        .when(form == 1, F.lit('{"Price": 1, "Rules": {"ProductId": "none"}}'))
+        .when(form == 2, F.lit('{"Price": 7.5}'))
+        .otherwise(F.lit('{"Rules": {"ProductId": 9}}'))
+    )
+    patches = base.select("id", F.parse_json(text).alias("patch"), F.lit(1).alias("o"))
+    done = wr.patch(base, patches, ["o"])
+    faults = wr.patch_errors(patches, base.schema).select("id", "reason")
+    return done.join(faults, "id", "left").select(
+        "id", "reason", F.col("Price").alias("price"), F.col("Rules.ProductId").alias("rules_product")
+    )
+
+
+@query(f"""{STREAM}, {BASE}, {LAST}, all_rows AS (SELECT id, record_id, price, true AS fresh FROM last
+  UNION ALL SELECT id, record_id, price, false FROM base ANTI JOIN last USING (id))
+SELECT id, record_id, price, CASE WHEN fresh THEN 'shade' || CAST(floor(price) AS BIGINT) % 3 END AS shade FROM all_rows""")
+def upsert_new_fields(spark, sf):
+    """Fields that the stored table lacks are kept beside the declared ones."""
+    base = base_rows(spark, sf).withColumn("_extra", F.lit(None).cast("variant"))
+    whole = F.col("Price").cast("bigint") % 3
+    changes = keyed_stream(spark, sf).select(
+        "id", "RecordId", "Price", *[c for c in STREAM_ORDER if c != "Price"], F.concat(F.lit("shade"), whole.cast("string")).alias("Shade")
+    )
+    done = wr.upsert(base, changes, STREAM_ORDER)
+    return done.select(
+        "id", F.col("RecordId").alias("record_id"), F.col("Price").alias("price"),
+        F.try_variant_get("_extra", "$.Shade", "string").alias("shade"),
+    )

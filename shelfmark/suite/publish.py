@@ -9,6 +9,7 @@ from shelfmark.operators import lookup as lk
 from shelfmark.operators import registry as rg
 from shelfmark.operators import writes as wr
 from shelfmark.operators.ingest import derive_id
+from shelfmark.schema import PRODUCT
 from shelfmark.sources.star import CATALOG_SQL, catalog, registry, table
 from shelfmark.suite import query
 from shelfmark.suite.loads import STREAM, keyed_stream
@@ -89,14 +90,18 @@ SELECT 'exists' AS check, 'fail' AS severity, true AS passed, n AS observed, CAS
 UNION ALL SELECT 'null_id', 'fail', nulls = 0, nulls, 0 FROM n
 UNION ALL SELECT 'duplicate_id', 'fail', n - nulls - ids = 0, n - nulls - ids, 0 FROM n
 UNION ALL SELECT 'schema', 'fail', false, 1, 0 FROM n
+UNION ALL SELECT 'types', 'fail', false, 2, 0 FROM n
 UNION ALL SELECT 'expected_count', 'fail', n >= 1000, n, 1000 FROM n
 UNION ALL SELECT 'surplus', 'warn', n <= 1000, n, 1000 FROM n
 UNION ALL SELECT 'minimum_count', 'fail', n >= 1, n, 1 FROM n""")
 def audit(spark, sf):
-    """Checks of a staged version that has faults."""
+    """Checks of a staged version that has faults, two fields of a wrong type among them."""
     from shelfmark.sources.star import load_stream
 
-    return rg.audit(load_stream(spark, sf), expected=1000, minimum=1, columns=["id", "Price", "Locale"])
+    staged = load_stream(spark, sf).withColumn("Price", F.col("Price").cast("string"))
+    staged = staged.withColumn("RetailContext", F.struct(F.lit("1").alias("ChannelId")))
+    columns = ["id", "Price", "Locale"]
+    return rg.audit(staged, expected=1000, minimum=1, columns=columns, types=PRODUCT)
 
 
 @query(f"""{STREAM}, last AS (SELECT id, price FROM keyed WHERE price > 50000

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import registry as rg
 from shelfmark.operators import writes as wr
+from shelfmark.plans import side_tables as st
 from shelfmark.plans.publish import AuditFailed, BlueGreenCatalog
 from shelfmark.plans.store import ConcurrentPublish
+from shelfmark.schema import PRODUCT
+from shelfmark.plans.store import ConcurrentPublish
 from tests.conftest import make_products
 
 
@@ -162,8 +165,10 @@ def test_empty_versions_and_labels(spark, catalog):
 def test_repeated_ids_keep_the_last_and_missing_ids_come_from_the_record_number(spark, catalog):
     rows = spark.createDataFrame(
         [("a", 1, 1.0), ("a", 1, 2.0), ("", 7, 3.0), (None, 0, 4.0)], "id string, RecordId long, Price double"
-    ).coalesce(1)
-    catalog.deploy("shop", rows, rg.AUTO_SWAP)
+    )
+    with pytest.raises(AuditFailed, match="duplicate_id"):
+        catalog.deploy("shop", rows)  # nothing says which of two rows is the last
+    catalog.deploy("shop", rows, rg.AUTO_SWAP, order_by=["Price"])
     got = {r["id"]: r["Price"] for r in catalog.table("shop").collect()}
     assert got == {"a": 2.0, "7": 3.0, "0": 4.0}
 
@@ -223,3 +228,100 @@ def test_searches_follow_the_alias(spark, catalog):
     assert catalog.get("shop", "nope") is None
     with pytest.raises(LookupError, match="Alias 'other' does not exist"):
         catalog.search_text("other", "x")
+
+
+def test_a_change_overtaken_by_another_is_applied_to_the_newer_version(spark, catalog):
+    catalog.deploy("shop", make_products(spark, 3), rg.AUTO_SWAP)
+    gone = spark.createDataFrame([("test-2",)], "id string")
+    seen = []
+
+    def slow_delete(rows):
+        if not seen:  # another writer finishes while this one is at work
+            seen.append(1)
+            catalog.update("shop", "test-1", '{"Price": 5}')
+        return wr.delete(rows, gone)
+
+    catalog.change("shop", slow_delete)
+    assert {r["id"]: r["Price"] for r in catalog.table("shop").collect()} == {"test-1": 5.0, "test-3": 65.0}
+
+
+def test_a_version_published_meanwhile_is_not_dropped(spark, catalog, monkeypatch):
+    catalog.deploy("shop", make_products(spark, 1), rg.AUTO_SWAP)
+    staged = catalog.deploy("shop", make_products(spark, 2)).staging_version
+    versions = catalog.versions
+
+    def swap_between(alias):
+        monkeypatch.setattr(catalog, "versions", versions)
+        catalog.swap("shop", "green")
+        return versions(alias)
+
+    monkeypatch.setattr(catalog, "versions", swap_between)
+    with pytest.raises(ConcurrentPublish):
+        catalog.drop_version("shop", staged)
+    assert catalog.status("shop").active_version == staged and catalog.count("shop") == 2
+
+
+def test_publishing_spares_the_version_that_waits(spark, catalog):
+    first = catalog.deploy("shop", make_products(spark, 1), rg.AUTO_SWAP).active_version
+    catalog.deploy("shop", make_products(spark, 2), rg.AUTO_SWAP)
+    waiting = catalog.deploy("shop", make_products(spark, 3)).staging_version
+    catalog.publish_version("shop", first, delete_old=True)
+    assert {r["version"] for r in catalog.versions("shop").collect()} == {first, waiting}
+
+
+def test_audit_refuses_wrong_types_and_short_writes(spark, catalog):
+    with pytest.raises(AuditFailed, match="types"):
+        catalog.deploy("shop", make_products(spark, 2).withColumn("Price", F.lit("dear")))
+    wrong = make_products(spark, 2).withColumn("RetailContext", F.struct(F.lit("1").alias("ChannelId")))
+    with pytest.raises(AuditFailed, match="types"):
+        catalog.deploy("shop", wrong)
+    assert rg.mistyped(wrong.schema, PRODUCT) == ["RetailContext.ChannelId"]
+    report = rg.audit(make_products(spark, 2), written=3)
+    assert [r["check"] for r in report.filter("not passed").collect()] == ["written"]
+
+
+def test_a_broken_registry_entry_is_not_passed_over(spark, catalog, root):
+    catalog.deploy("shop", make_products(spark, 1), rg.AUTO_SWAP)
+    fs, path = catalog.files._fs(f"{root}/shop/registry/{9:020d}.json")
+    out = fs.create(path, False)
+    out.write(bytearray(b'{"seq": 9, "alias": "sh'))
+    out.close()
+    with pytest.raises(Exception):
+        catalog.status("shop")
+
+
+def test_a_wrongly_typed_update_is_refused(spark, catalog):
+    catalog.deploy("shop", make_products(spark, 2), rg.AUTO_SWAP)
+    with pytest.raises(ValueError, match=r"\[Price\]"):
+        catalog.update("shop", "test-1", '{"Price": "dear"}')
+    assert catalog.get("shop", "test-1")["Price"] == 55.0
+
+
+def test_an_undeclared_column_is_kept(spark, catalog):
+    catalog.deploy("shop", make_products(spark, 1).withColumn("_extra", F.lit(None).cast("variant")), rg.AUTO_SWAP)
+    catalog.index_one("shop", make_products(spark, 1, "new").withColumn("Shade", F.lit("teal")))
+    got = {r[0]: r[1] for r in catalog.table("shop").select("id", F.try_variant_get("_extra", "$.Shade", "string")).collect()}
+    assert got == {"test-1": None, "new-1": "teal"}
+
+
+def test_one_id_is_read_by_a_pushed_filter(spark, catalog):
+    catalog.deploy("shop", make_products(spark, 50), rg.AUTO_SWAP)
+    plan = catalog.table("shop").filter(F.col("id") == "test-7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,test-7)" in plan
+    assert catalog.get("shop", "test-7")["RecordId"] == 7
+
+
+def test_changes_keep_the_text_index(spark, catalog, root):
+    catalog.deploy("shop", make_products(spark, 3), rg.AUTO_SWAP, text_fields=["SearchName"])
+    catalog.update("shop", "test-1", '{"SearchName": "violet lamp"}')
+    active = catalog.resolve("shop")
+    assert catalog.files.exists(f"{catalog.files.version_path('shop', active)}/text/occurrences")
+    assert [r["id"] for r in catalog.search_text("shop", "violet", ["SearchName"]).hits.collect()] == ["test-1"]
+
+
+def test_facet_names_stay_text(spark, tmp_path):
+    leaf = F.struct(F.lit("K").alias("KeyName"), F.lit("T").alias("Translation"), F.lit("F").alias("FriendlyName"))
+    rows = make_products(spark, 3).withColumn("DefaultProductProperties", F.create_map(F.lit("007"), leaf))
+    st.write_facets(rows, f"file://{tmp_path}/facets")
+    stored = st.read_facets(spark, f"file://{tmp_path}/facets", ["007"])
+    assert {r["facet"] for r in stored.collect()} == {"007"}

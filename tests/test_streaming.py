@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import registry as rg
 from shelfmark.operators import sessions as ss
 from shelfmark.plans.publish import BlueGreenCatalog
+from shelfmark.plans.store import ConcurrentPublish
 from shelfmark.sources import products as src
 from shelfmark.streaming.load import LoadSession, all_sessions, closed_sessions, load_and_publish, purge_expired
 
@@ -147,3 +148,74 @@ def test_undeclared_fields_are_kept_and_found(spark, root):
     # a partial update keeps them too
     catalog.update("shop", "p1", '{"Price": 5, "AdjustedPrice": 50, "New": "x"}')
     assert ids({"ProductName.keyword": "Red*", "Price": 5, "AdjustedPrice": 50, "New": "x"}) == ["p1"]
+
+
+def test_the_later_file_wins_whatever_its_size(spark, root, tmp_path):
+    folder = f"{tmp_path}/in"
+    write_lines(folder, "a.json", [product(1, 1.0)])
+    write_lines(folder, "b.json", [{**product(1, 2.0), "Description": "x" * 5000}])
+    os.utime(f"{folder}/a.json", (1_700_000_000, 1_700_000_000))
+    os.utime(f"{folder}/b.json", (1_700_000_100, 1_700_000_100))
+    catalog = BlueGreenCatalog(spark, root)
+    session = LoadSession(catalog, "shop", rg.AUTO_SWAP, batch_size=1)
+    session.run(src.stream_lines(spark, folder)).awaitTermination()
+    session.complete()
+    assert catalog.get("shop", "p1")["Price"] == 2.0
+    rows = src.read_products(spark, folder).drop("document", "error")
+    catalog.deploy("other", rows, rg.AUTO_SWAP)
+    assert catalog.get("other", "p1")["Price"] == 2.0
+
+
+def test_rows_with_errors_take_part_in_the_duplicate_test(spark, root):
+    session = LoadSession(BlueGreenCatalog(spark, root), "shop")
+    rows = [product(1), {**product(1), "Price": "dear"}, product(2)]
+    session.process(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").coalesce(1))
+    assert session.accepted().count() == 0
+    assert [(r["id"], r["copies"]) for r in session.duplicates().collect()] == [("p1", 1)]
+
+
+def test_only_active_sessions_can_be_cancelled(spark, root):
+    catalog = BlueGreenCatalog(spark, root)
+    session = LoadSession(catalog, "shop")
+    session.process(spark.createDataFrame([(json.dumps(product(1)),), ("{broken",)], "value string"))
+    session.complete()
+    with pytest.raises(ValueError, match="is not active"):
+        session.cancel()
+    assert session.accepted().count() == 1 and session.rejected().count() == 1
+
+
+def test_a_lost_swap_keeps_the_completed_load(spark, root, tmp_path, monkeypatch):
+    folder = f"{tmp_path}/in"
+    write_lines(folder, "a.json", [product(1), "{broken"])
+    catalog = BlueGreenCatalog(spark, root)
+
+    def lost(*_):
+        raise ConcurrentPublish("someone else was first")
+
+    monkeypatch.setattr(catalog, "swap", lost)
+    with pytest.raises(ConcurrentPublish):
+        load_and_publish(catalog, "shop", folder)
+    staged = catalog.status("shop").staging_version
+    assert catalog.count("shop", staged) == 1
+    left = catalog.files._fs(f"{root}/shop/sessions")
+    folders = [s.getPath().toString() for s in left[0].listStatus(left[1])]
+    assert all(catalog.files.exists(f"{f}/{part}") for f in folders for part in ("accepted", "rejected"))
+
+
+def test_broken_lines_are_reported_and_nested_fields_kept(spark, tmp_path):
+    rows = ["{broken", {"RecordId": 1, "RetailContext": {"ChannelId": "abc"}}, {"RecordId": 2, "CategoryIds": [1, "x"]}]
+    rows += [{"RecordId": 3, "RetailContext": {"ChannelId": 5, "Zone": "n"}, "DefaultProductProperties": [{"KeyName": "a", "ValueString": "v", "More": 1}]}]
+    rows += [{"RecordId": 4, "Rules": "free text"}, {"RecordId": 5, "CategoryIds": None, "RetailContext": None}]
+    write_lines(f"{tmp_path}/in", "a.json", rows)
+    got = src.read_products(spark, f"{tmp_path}/in").selectExpr(
+        "RecordId", "error.reason as reason", "document", "DefaultProductProperties['a'].ValueString as v", "to_json(_extra) as extra"
+    ).collect()
+    by_id = {r["RecordId"]: r for r in got}
+    assert by_id[None]["reason"] == "malformed JSON document" and by_id[None]["document"] == "{broken"
+    assert "RetailContext.ChannelId" in by_id[1]["reason"] and "CategoryIds" in by_id[2]["reason"]
+    assert by_id[3]["reason"] is None and by_id[3]["v"] == "v"
+    assert json.loads(by_id[3]["extra"]) == {"RetailContext": {"Zone": "n"}, "DefaultProductProperties": {"0": {"More": 1}}}
+    assert by_id[4]["reason"] is None and json.loads(by_id[4]["extra"]) == {"Rules": "free text"}
+    assert by_id[5]["reason"] is None and by_id[5]["extra"] is None
+    with pytest.raises(Exception):
+        src.read_products(spark, f"{tmp_path}/in", strict=True).collect()
