@@ -214,9 +214,12 @@ def identify(
 
 
 def with_known_language(
-    docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5, penalty: float = 2.0, max_languages: int = 4
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.3, penalty: float = 2.0, max_languages: int = 4
 ) -> DataFrame:
-    """``docs`` with all its columns, less those without a language or with a score below ``least``."""
+    """``docs`` with all its columns, less those without a language or with a score below ``least``.
+
+    The default leaves only texts out that say no more than a guess would.
+    """
     letters = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
     own = docs.filter(letters)
     at = own.columns.index(text_col)
