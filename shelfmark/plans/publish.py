@@ -130,7 +130,7 @@ class BlueGreenCatalog:
         rows = self.table(alias, active)
         path = f"{self.files.version_path(alias, active)}/text"
         index = None
-        if fields and self.files.exists(path):
+        if self.files.exists(path):
             schema = CatalogSchema.of(rows)
             stored = {r["field"] for r in self.spark.read.parquet(f"{path}/stats").collect()}
             if stored >= {p.name for p in search_fields(schema, fields)}:

@@ -258,6 +258,9 @@ class CatalogSchema:
         An undeclared field is looked up in ``_extra``, where it has the type of
         the value it is compared ``like``.
         """
+        if path == EXTRA and self._declared(EXTRA):
+            # undeclared fields are found by name; under this one, all their texts are
+            return Path(EXTRA, TEXT, undeclared_texts(F.col(EXTRA)), T.StringType(), True, IGNORE_ABOVE)
         exact = False
         parts = path.split(".")
         if len(parts) > 1 and parts[-1] == "keyword" and self._declared(parts[0]):
@@ -321,13 +324,15 @@ class CatalogSchema:
     def text_fields(self) -> list[str]:
         """Paths a search without a field list covers: text and keyword kinds.
 
-        A leaf of a map counts as one field with the values of all entries.
+        A leaf of a map counts as one field with the values of all entries; so do all
+        texts of undeclared fields.
         """
-        return [
+        declared = [
             path.replace(".*", "")
             for path, _, kind in self.leaves()
             if kind in (TEXT, KEYWORD, TEXT_KEYWORD)
         ]
+        return declared + ([EXTRA] if self._declared(EXTRA) else [])
 
 
 def _kind_like(value: Any) -> str:
@@ -342,6 +347,24 @@ def _kind_like(value: Any) -> str:
     return DOUBLE if isinstance(value, (int, float)) else TEXT_KEYWORD
 
 
+#: Levels of undeclared objects and lists whose texts a search covers.
+TEXT_DEPTH = 4
+
+
+def undeclared_texts(value: Column, depth: int = TEXT_DEPTH) -> Column:
+    """All strings inside a variant, as an array."""
+    kind = F.schema_of_variant(value)
+    none = F.array().cast("array<string>")
+    own = F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string")))
+    if not depth:
+        return F.coalesce(own, none)
+    entries = F.coalesce(
+        F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), F.try_variant_get(value, "$", "array<variant>")
+    )
+    below = F.flatten(F.transform(entries, lambda e: undeclared_texts(e, depth - 1)))
+    return F.coalesce(own, below, none)
+
+
 def _undeclared(path: str, parts: list[str], kind: str) -> Path:
     steps = "".join("['" + p.replace("'", "") + "']" for p in parts)
     dtype: T.DataType = T.StringType()

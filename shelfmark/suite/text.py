@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from shelfmark.operators import relevance as rv
@@ -21,6 +23,8 @@ stats AS (SELECT field, count(*) AS docs, avg(len(terms)) AS mean_length FROM to
 tf AS (SELECT id, field, length, term, count(*) AS tf FROM occ GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL)"""
 
+ONE_FIELD = re.sub(r"UNION ALL\s+SELECT doc_id, 'source'.*?FROM documents\)", ")", TOKENS, flags=re.S)
+
 SCORED = """, scored AS (
   SELECT id, field, sum(weight * boost * ln(1 + (docs - df + 0.5) / (df + 0.5))
     * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score
@@ -35,8 +39,8 @@ def asked(*terms):
 
 FUZZY = """, words AS (SELECT * FROM (VALUES ('thinat', 2), ('reon', 1), ('of', 0)) v(word, k)),
 asked AS (SELECT term, 1 AS weight, 1.0 - d / least(length(word), length(term)) AS boost, d, word FROM (
-  SELECT term, word, k, CAST(damerau_levenshtein(term, word) AS DOUBLE) AS d
-  FROM (SELECT DISTINCT term FROM tf WHERE regexp_full_match(term, '[a-z0-9]+')) JOIN words
+  SELECT term, word, k, CAST(damerau_levenshtein(regexp_replace(term, '[^a-z0-9]', 'X', 'g'), word) AS DOUBLE) AS d
+  FROM (SELECT DISTINCT term FROM tf) JOIN words
     ON abs(length(term) - length(word)) <= k) WHERE d <= k)"""
 
 
@@ -86,24 +90,14 @@ def best_fields(spark, sf):
 def fuzzy_terms(spark, sf):
     """Vocabulary within the allowed edits, a swap counting once."""
     ix = rv.TextIndex.of(documents(spark, sf), ["text"])
-    found = rv.near_terms(ix, "thinat reon of").filter(F.col("term").rlike("^[a-z0-9]+$"))
+    found = rv.near_terms(ix, "thinat reon of")
     return found.select("asked", "term", "edits")
 
 
-@query(r"""WITH docs AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'),
-    lambda t: regexp_full_match(t, '[a-z0-9]+')), ' ') AS ascii FROM documents),
-tok AS (SELECT doc_id AS id, 'ascii' AS field, list_filter(string_split(ascii, ' '), lambda t: t <> '') AS terms FROM docs),
-occ AS (SELECT id, field, len(terms) AS length, unnest(terms) AS term FROM tok WHERE len(terms) > 0),
-stats AS (SELECT field, count(*) AS docs, avg(len(terms)) AS mean_length FROM tok WHERE len(terms) > 0 GROUP BY field),
-tf AS (SELECT id, field, length, term, count(*) AS tf FROM occ GROUP BY ALL),
-df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL)""" + FUZZY + SCORED + """
-SELECT id, round(score, 6) AS score FROM best""")
+@query(f"{ONE_FIELD}{FUZZY}{SCORED} SELECT id, round(score, 6) AS score FROM best")
 def fuzzy(spark, sf):
     """Ranked search with fuzzy terms; every matching document."""
-    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-    ascii_words = F.array_join(F.filter(words, lambda t: t.rlike("^[a-z0-9]+$")), " ")
-    df = documents(spark, sf).select("id", ascii_words.alias("ascii"))
-    found = text_search(df, "thinat reon of", ["ascii"])
+    found = text_search(documents(spark, sf).select("id", "text"), "thinat reon of", ["text"])
     return found.matches.select("id", F.round("_score", 6).alias("score"))
 
 
@@ -134,3 +128,17 @@ def indexed_search(spark, sf):
     stored = read_text_index(spark, path, CatalogSchema.of(df), ["text", "source"])
     found = text_search(df, "orantion src3 and", index=stored, fuzziness=0)
     return found.matches.select("id", F.round("_score", 6).alias("score"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS id, text FROM documents), x AS (SELECT id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS terms FROM d)
+SELECT id, list_contains(terms, 'nation') AS found FROM x WHERE list_contains(terms, 'nation') OR id % 50 = 7""")
+def search_all_fields(spark, sf):
+    """A search without a field list covers undeclared text as well."""
+    docs = documents(spark, sf)
+    deep = F.parse_json(F.to_json(F.struct(F.array(F.struct("text")).alias("Parts"))))
+    special = F.col("id") % 50 == 7
+    text = F.when(special, F.concat(F.lit("crimson "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    docs = docs.withColumn("text", text).select("id", deep.alias("_extra"))
+    found = text_search(docs, "crimson nation", fuzziness=0).matches.select("id")
+    words = F.split(F.lower(F.try_variant_get("_extra", "$.Parts[0].text", "string")), r"[^\p{L}\p{N}]+")
+    return found.join(docs, "id").select("id", F.array_contains(words, "nation").alias("found"))
