@@ -30,6 +30,9 @@ from shelfmark.schema import (
     Path,
 )
 
+# The parameters of the ranking formula.
+K1, B = 1.2, 0.75
+
 Predicate = Callable[[DataFrame], Column]
 
 
@@ -49,6 +52,9 @@ class Clause:
     predicate: Column
     scoring: bool
     idf: bool = False
+    #: Tokens of a text field and the one asked for: its frequency and the length count too.
+    tokens: Column | None = None
+    asked: Any = None
 
 
 def validate_criteria(criteria: Mapping[str, Any]) -> None:
@@ -89,7 +95,8 @@ def with_score(
     """Matching rows with ``_score``: one point per scoring clause; a score of 0 is null.
 
     With ``idf`` an equality on a keyword field weighs by the rarity of its value
-    instead. The counts come from one pass that feeds scalar subqueries.
+    instead, and one on a text field also by the frequency of the token and the length
+    of the text. All counts are one row from one pass, a scalar subquery that is run once.
     """
     schema = schema or CatalogSchema.of(df)
     compiled = clauses(criteria, schema, honor_field_kinds)
@@ -98,22 +105,29 @@ def with_score(
     score = F.lit(float(constant))
     rare = [c for c in compiled if idf and c.idf]
     if rare:
-        counts = [
-            agg
-            for i, c in enumerate(rare)
-            for agg in (
-                F.count_if(c.predicate).alias(f"df{i}"),
-                F.count_if(_exists(schema.resolve(c.field))).alias(f"n{i}"),
-            )
-        ]
+        counts = []
+        for i, c in enumerate(rare):
+            there = _exists(schema.resolve(c.field))
+            counts += [F.count_if(c.predicate).alias(f"df{i}"), F.count_if(there).alias(f"n{i}")]
+            if c.tokens is not None:
+                counts.append(F.avg(F.when(there, F.size(c.tokens))).alias(f"mean{i}"))
         stats = df.agg(*counts)
-        for i in range(len(rare)):
-            n, d = F.col(f"n{i}"), F.col(f"df{i}")
+        row = stats.select(F.struct(*stats.columns)).scalar()
+        for i, c in enumerate(rare):
+            n, d = row[f"n{i}"], row[f"df{i}"]
             weight = F.log(1 + (n - d + 0.5) / (d + 0.5))
-            score = score + stats.select(weight).scalar()
+            if c.tokens is not None:
+                tf = F.size(F.array_compact(F.transform(c.tokens, _is(c.asked))))
+                length = F.size(c.tokens) / row[f"mean{i}"]
+                weight = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
+            score = score + weight
     return df.filter(keep).withColumn("_score", F.nullif(score, F.lit(0.0)))
 
 
+def _is(asked: Any) -> Callable[[Column], Column]:
+    return lambda t: F.when(t == F.lit(asked), t)
+
+
 def caller_filter(df: DataFrame, keep: Predicate) -> DataFrame:
     """Filter by a caller's function from the frame to a boolean column."""
     if keep is None:
@@ -134,7 +148,12 @@ def _clause(name: str, value: Any, schema: CatalogSchema, honor: bool) -> Clause
     if isinstance(value, Mapping):
         return Clause(name, term_object(path, value, honor), scoring=True)
     return Clause(
-        name, term(path, value, honor), scoring=True, idf=path.kind in (KEYWORD, TEXT, TEXT_KEYWORD)
+        name,
+        term(path, value, honor),
+        scoring=True,
+        idf=path.kind in (KEYWORD, TEXT, TEXT_KEYWORD),
+        tokens=_tokens(path) if _tokenised(path, honor) else None,
+        asked=value,
     )
 
 

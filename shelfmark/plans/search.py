@@ -39,12 +39,17 @@ def criteria_search(
     honor_field_kinds: bool = True,
     schema: CatalogSchema | None = None,
     facet_table: DataFrame | None = None,
+    idf: bool = False,
 ) -> SearchResult:
-    """Structured search. Facets come from ``facet_table``, the published side table, if given."""
+    """Structured search. Facets come from ``facet_table``, the published side table, if given.
+
+    With ``idf`` equalities score by rarity (and on text by frequency), and unsorted
+    hits come best first; without, each clause is one point.
+    """
     schema = schema or CatalogSchema.of(catalog)
     cr.validate_criteria(criteria)
     pg.validate_limit(limit)
-    matches = cr.with_score(catalog, criteria, schema, honor_field_kinds)
+    matches = cr.with_score(catalog, criteria, schema, honor_field_kinds, idf)
     buckets = None
     if aggs and facet_table is not None:
         stored = facet_table.filter(F.col("facet").isin(list(aggs)))

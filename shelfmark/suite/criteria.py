@@ -114,6 +114,19 @@ def criteria_idf_score(spark, sf):
     return hit(df, F.round("_score", 6).alias("score"))
 
 
+@query(f"""{CATALOG}, x AS (SELECT *, list_filter(string_split_regex(lower(search_name), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS tokens FROM catalog),
+n AS (SELECT count(*) FILTER (search_name IS NOT NULL) AS n, count(*) FILTER (list_contains(tokens, 'gear')) AS d,
+  count(*) FILTER (locale = 'de-DE') AS a, count(locale) AS m, avg(len(tokens)) FILTER (search_name IS NOT NULL) AS mean FROM x)
+SELECT {HIT}, round(ln(1 + (m - a + 0.5) / (a + 0.5)) + ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2
+  / (tf + 1.2 * (0.25 + 0.75 * len(tokens) / mean)), 6) AS score
+FROM (SELECT *, len(list_filter(tokens, lambda t: t = 'gear')) AS tf FROM x), n WHERE tf > 0 AND locale = 'de-DE'""")
+def criteria_text_score(spark, sf):
+    """Equality on text scores by rarity, frequency and length; asked for through the whole search."""
+    df = catalog(spark, sf, categories=False)
+    found = criteria_search(df, {"SearchName": "gear", "Locale": "de-DE"}, idf=True)
+    return hit(found.matches, F.round("_score", 6).alias("score"))
+
+
 @query(f"""{CATALOG} SELECT 'equal' AS form, CAST(count(*) FILTER (false) AS BIGINT) AS hits FROM catalog
 UNION ALL SELECT 'missing', count(*) FROM catalog
 UNION ALL SELECT 'plain', count(*) FILTER (is_active) FROM catalog""")
