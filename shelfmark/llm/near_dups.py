@@ -291,7 +291,8 @@ def near_duplicates(
     sets = stored(rows.mapInArrow(_sets(shingle), _SETS), "sets")
     # equal sets are one node, named by its least document
     full = sets.filter("n > 0 and doc is not null")
-    classes = full.groupBy("one", "two", "n").agg(F.min("doc").alias("node"))
+    # written first: a join of two shuffles can split a crowd of copies, one with an aggregate in it cannot
+    classes = stored(full.groupBy("one", "two", "n").agg(F.min("doc").alias("node")), "classes")
     members = stored(full.select("doc", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc", "node"), "members")
     nodes = full.join(members.filter("doc = node").select("doc").distinct(), "doc")
     nodes = nodes.groupBy(F.col("doc").alias("node")).agg(F.first("signature").alias("signature"))
