@@ -9,7 +9,8 @@ SHA-1 when written, and each payload read is hashed again.
 The record with the smallest id of equal payloads is ``response``; the others are
 ``revisit`` records that name it. Payloads are compressed before they move, and only
 addresses take part in finding the first record, so a payload that a third of the
-pages share costs one row per task in that step.
+pages share costs one row per task in that step. Joins by address take written tables, so
+that adaptive execution can split the pages of a common payload.
 
 Defined results: a null payload is empty and an empty payload is archived like any
 other; a null URL gives an empty target; rows that repeat an id keep one record each,
@@ -96,12 +97,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.first("packed").alias("packed"),
         F.min("length").alias("length"),
         F.min("sha1").alias("sha1"),
+        F.min("page_id").alias("first"),
         (F.assert_true((F.min("length") == F.max("length")) & (F.min("sha1") == F.max("sha1")), F.lit("address clash"))).alias("_ok"),
     )
     packed.filter("_ok is null").drop("_ok").write.option("compression", "uncompressed").parquet(f"{path}/payloads")
     small = rows.mapInArrow(_digest_small, _SMALL)
-    firsts = small.groupBy("address").agg(F.min("page_id").alias("first"))
-    headers = small.join(firsts, "address").select("page_id", "url", "address", "length", "sha1", "first")
+    firsts = spark.read.schema("address binary, first long").parquet(f"{path}/payloads")
+    headers = small.join(firsts.hint("merge"), "address").select("page_id", "url", "address", "length", "sha1", "first")
     headers.mapInArrow(_headers, "header binary, address binary").write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
