@@ -272,7 +272,7 @@ def _remove(tab: pa.Table, got: list[Row]) -> pa.Table:
         begin, end = np.frombuffer(row[3], np.int64).reshape(2, -1)
         np.add.at(edge, begin, 1)
         np.add.at(edge, end, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
     kept = np.concatenate(([0], np.cumsum(~gone)))
     size = np.diff(offsets)
     removed = size - np.diff(kept[offsets])
