@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.plans.numbering import number_rows, running_totals
+from shelfmark.runtime import cut_lineage
 
 # Batch sizes (library, deployment, loader), the largest batch, the first new record id.
 LIBRARY_BATCH = 1000
@@ -157,8 +158,8 @@ def allocate_ids(
 
 
 def uniqueness_report(df: DataFrame, id_col: str, n: int = 5) -> DataFrame:
-    """Distinct ids, with the ``n`` smallest and the ``n`` largest."""
-    ids = df.select(F.col(id_col).alias("id")).distinct()
+    """Distinct ids, with the ``n`` smallest and the ``n`` largest. The distinct ids are written down once."""
+    ids = cut_lineage(df.select(F.col(id_col).alias("id")).distinct())
     ends = None
     for edge, order in (("smallest", F.col("id").asc()), ("largest", F.col("id").desc())):
         part = ids.orderBy(order).limit(n).select(F.lit(edge).alias("edge"), "id")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
 from shelfmark.plans.numbering import running_totals
+from shelfmark.runtime import cut_lineage
 
 # Fixed value: idle time that ends a session.
 IDLE_SECONDS = 3600
@@ -171,11 +172,12 @@ def late_batches(
 
     A session opens with the first batch of its key. It is gone once it was idle
     for more than the gap; before that, a completed session still answers, but
-    takes no more batches.
+    takes no more batches. Spans of keys, one row each, are written down once, so the
+    batches are read once for them and twice to place them.
     """
     gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
     first = idle_sessions(batches, key, ts, gap_seconds=gap_seconds).filter("session_no = 1")
-    first = first.select(F.col(key).alias("_key"), "opened", F.col("last_batch_at").alias("_end"))
+    first = cut_lineage(first.select(F.col(key).alias("_key"), "opened", F.col("last_batch_at").alias("_end")))
     done = completions.select(F.col(key).alias("_done_key"), F.col(ts).alias("_at"))
     ended = (
         done.join(first, F.col("_done_key") == F.col("_key"))
@@ -184,8 +186,10 @@ def late_batches(
         .agg(F.min("_at").alias("_completed"))
         .withColumnRenamed("_key", "_ended_key")
     )
-    spans = first.join(ended, F.col("_key") == F.col("_ended_key"), "left").select(
-        "_key", F.least("_end", "_completed").alias("_until"), "_completed"
+    spans = cut_lineage(
+        first.join(ended, F.col("_key") == F.col("_ended_key"), "left").select(
+            "_key", F.least("_end", "_completed").alias("_until"), "_completed"
+        )
     )
     placed = batches.join(spans, batches[key] == F.col("_key"))
     accepted = (
