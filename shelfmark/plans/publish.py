@@ -194,6 +194,7 @@ class BlueGreenCatalog:
         such a place has no last row: name ``order_by``, or its ids must not repeat.
         ``unique`` says that no id repeats. The audit checks both.
         """
+        products = src.without_errors(products)
         given = F.col(self.key) if self.key in products.columns else F.lit(None).cast("string")
         number = F.col("RecordId") if "RecordId" in products.columns else F.lit(None).cast("bigint")
         df = products.withColumn(self.key, ing.derive_id(given, number))

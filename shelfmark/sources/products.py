@@ -61,6 +61,20 @@ def placed(df: DataFrame) -> DataFrame:
     )
 
 
+def without_errors(df: DataFrame) -> DataFrame:
+    """Parsed rows without the columns of the parser; fails on a row that was set aside.
+
+    Split such rows off first (``operators.ingest.split_outcomes``): a table is not
+    published with some of its rows left out unsaid.
+    """
+    if "error" not in df.columns or not dict(df.dtypes)["error"].startswith("struct<type:string,reason:string"):
+        return df
+    first = df.columns[0]
+    refused = F.raise_error(F.concat(F.lit("a row was set aside: "), F.col("error.reason")))
+    checked = F.when(F.col("error").isNotNull(), refused).otherwise(F.col(f"`{first}`"))
+    return df.withColumn(first, checked.cast(df.schema[first].dataType)).drop("document", "error")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines with their place, for ``parse_lines``."""
     return with_source(spark.read.text(path))

@@ -161,9 +161,12 @@ def test_the_later_file_wins_whatever_its_size(spark, root, tmp_path):
     session.run(src.stream_lines(spark, folder)).awaitTermination()
     session.complete()
     assert catalog.get("shop", "p1")["Price"] == 2.0
-    rows = src.read_products(spark, folder).drop("document", "error")
-    catalog.deploy("other", rows, rg.AUTO_SWAP)
+    catalog.deploy("other", src.read_products(spark, folder), rg.AUTO_SWAP)
     assert catalog.get("other", "p1")["Price"] == 2.0
+    assert "error" not in catalog.table("other").columns
+    write_lines(folder, "c.json", ["{broken"])
+    with pytest.raises(Exception, match="a row was set aside"):
+        catalog.deploy("other", src.read_products(spark, folder))
 
 
 def test_rows_with_errors_take_part_in_the_duplicate_test(spark, root):
