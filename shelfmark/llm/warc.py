@@ -37,9 +37,16 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few pages at a time: a task holds their bodies more than once."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _small(batches):
         body = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(2).to_pylist()]
         yield pa.record_batch(
             [
@@ -108,7 +115,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 
 def _digest_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         body = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(2).to_pylist()]
         yield pa.record_batch(
             [
@@ -124,7 +131,7 @@ def _digest_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in _small(batches):
         headers, address, packed = (batch.column(k).to_pylist() for k in range(3))
         body = [expand.decompress(x) for x in packed]
         for a, b in zip(address, body):
