@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
 from shelfmark.runtime import computed_once
-from shelfmark.schema import EXTRA, PRODUCT, kind_of, nullable
-from shelfmark.sources.products import mismatch
+from shelfmark.schema import EXTRA, PRODUCT, nullable
+from shelfmark.sources.products import field_fault
 
 Enrich = Callable[[DataFrame], DataFrame]
 
@@ -99,11 +99,7 @@ def load_filtered(
 def _patch_fault(schema: T.StructType, key: str, body: str) -> Column:
     """Why a patch cannot be applied: a blank id, no document, or a value of a wrong type at any depth."""
     doc = F.col(body)
-    fields = [
-        mismatch(F.try_variant_get(doc, f"$.{f.name}", "variant"), f.dataType, f.name, kind_of(f))
-        for f in schema.fields
-        if f.name not in (key, EXTRA)
-    ]
+    fields = [field_fault(f"`{body}`", f) for f in schema.fields if f.name not in (key, EXTRA)]
     whole = F.schema_of_variant(doc).startswith("OBJECT")
     return (
         F.when(sc.is_blank(F.col(key)), F.lit("Document ID must be specified"))
