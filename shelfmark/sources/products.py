@@ -263,7 +263,8 @@ def _beside(root: str, schema: T.StructType) -> Column:
     if not off:
         return extra
     lost = [
-        f"named_struct('k', '{f.name}', 'v', CASE WHEN {mismatch(root, f'$.{f.name}', f.dataType, f.name)} IS NOT NULL "
+        f"named_struct('k', '{f.name}', 'v', CASE WHEN try_variant_get({root}, '$.{f.name}', '{f.dataType.simpleString()}') IS NULL "
+        f"AND NOT is_variant_null(try_variant_get({root}, '$.{f.name}', 'variant')) "
         f"THEN try_variant_get({root}, '$.{f.name}', 'variant') END)"
         for f in off
     ]
