@@ -137,7 +137,8 @@ def stream_last_writer(spark, sf):
     later = lines(F.col("p_retailprice") + 1, "x" * 500).filter("k % 2 = 0")
     later.select("value").coalesce(1).write.mode("append").text(f"{root}/in")
     store = BlueGreenCatalog(spark, f"{root}/catalog")
-    session = LoadSession(store, "shop", rg.AUTO_SWAP, batch_size=1000)
+    # parts come in hundreds, so no batch holds rows of both files
+    session = LoadSession(store, "shop", rg.AUTO_SWAP, batch_size=100)
     session.run(src.stream_lines(spark, f"{root}/in", files_per_batch=2)).awaitTermination()
     session.complete()
     fine = src.read_products(spark, f"{root}/in").filter("error is null").drop("document", "error")
