@@ -138,10 +138,10 @@ def stream_last_writer(spark, sf):
     later.select("value").coalesce(1).write.mode("append").text(f"{root}/in")
     store = BlueGreenCatalog(spark, f"{root}/catalog")
     # parts come in hundreds, so no batch holds rows of both files
-    session = LoadSession(store, "shop", rg.AUTO_SWAP, batch_size=100)
+    session = LoadSession(store, "shop", rg.AUTO_SWAP, batch_size=100, schema=LOADED)
     session.run(src.stream_lines(spark, f"{root}/in", files_per_batch=2)).awaitTermination()
     session.complete()
-    fine = src.read_products(spark, f"{root}/in").filter("error is null").drop("document", "error")
+    fine = src.read_products(spark, f"{root}/in", LOADED)
     store.deploy("again", fine, rg.AUTO_SWAP)
     again = store.table("again").select("id", F.col("Price").alias("deployed"))
     return store.table("shop").select("id", F.col("Price").alias("price")).join(again, "id")
