@@ -11,10 +11,10 @@ them, deeper ones where many do.
 2. Regions: the sets that share the first ``min_depth`` values of a tree. Most sets
    share none and are done. Regions of the same members are one.
 3. Links: the full sets of a region meet, and every pair is counted exactly over an
-   inverted list. A region adapts its depth to its crowd: one of more than ``block``
-   sets is cut by the deeper values of its tree, so that neighbours in the sorted order
-   meet in the same task, and the cut parts then meet in pairs; no task holds more than
-   two parts. What leaves a task are spanning links only, never all pairs.
+   inverted list. A region of more than ``block`` sets is cut by a hash of the node into
+   parts of about ``block`` sets, however alike their signatures are, and the parts then
+   meet in pairs; no task holds more than two parts. What leaves a task are spanning
+   links only, never all pairs.
 4. Classes: connected components over the links, and of equal sets.
 
 A link is lost only if its ends share no region in any tree and no chain of other links
@@ -188,20 +188,29 @@ class _Joined:
         return True
 
 
-def _products(which: np.ndarray, owner: np.ndarray, shared: np.ndarray, n: int, step: int = 4096) -> np.ndarray:
-    """Sizes of all intersections, by matrix products over slices of the shingles."""
+def _products(
+    which: np.ndarray, owner: np.ndarray, shared: np.ndarray, n: int, rows: int, room: int = 1 << 22
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of the intersections of the first ``rows`` sets with all, by matrix products over slices of the shingles.
+
+    They come as bands of rows, each with its first row; no matrix has more than about
+    ``room`` entries.
+    """
     place = np.cumsum(shared) - 1
     use = shared[which]
     column, row = place[which[use]], owner[use]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    out = np.zeros((n, n), np.float32)
-    for at in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(column, [at, at + step])
-        part = np.zeros((n, step), np.float32)
-        part[row[a:b], column[a:b] - at] = 1
-        out += part @ part.T
-    return out
+    high = step = max(1, min(4096, room // n))
+    for top in range(0, rows, high):
+        end = min(rows, top + high)
+        out = np.zeros((end - top, n), np.float32)
+        for at in range(0, int(shared.sum()), step):
+            a, b = np.searchsorted(column, [at, at + step])
+            part = np.zeros((n, step), np.float32)
+            part[row[a:b], column[a:b] - at] = 1
+            out += part[top:end] @ part.T
+        yield top, out
 
 
 def spanning_links(sets: list[np.ndarray], split: int, part: int, whole: int) -> list[tuple[int, int]]:
@@ -223,15 +232,18 @@ def spanning_links(sets: list[np.ndarray], split: int, part: int, whole: int) ->
     which[order] = np.repeat(np.arange(len(first)), count)
     starts = np.concatenate(([0], np.cumsum(size)))
     shared = count > 1
-    dense = None
-    # where most sets hold most shingles, a product of matrices counts faster than lists do
-    if (count[shared].astype(np.float64) ** 2).sum() > n * n * shared.sum() / 16 and n > 64:
-        dense = _products(which, np.repeat(np.arange(n), size), shared, n)
     joined, links = _Joined(n), []
     first_last = split if split < n else n
+    bands = band = None
+    # where most sets hold most shingles, a product of matrices counts faster than lists do
+    if (count[shared].astype(np.float64) ** 2).sum() > n * n * shared.sum() / 16 and n > 64:
+        bands = _products(which, np.repeat(np.arange(n), size), shared, n, first_last)
     for x in range(first_last):
-        if dense is not None:
-            both = dense[x].astype(np.int64)
+        if bands is not None:
+            if band is None or x >= top + len(band):
+                band = None  # let go before the next one is made
+                top, band = next(bands)
+            both = band[x - top].astype(np.int64)
         else:
             mine = which[starts[x] : starts[x + 1]]
             mine = mine[shared[mine]]
@@ -249,6 +261,24 @@ def spanning_links(sets: list[np.ndarray], split: int, part: int, whole: int) ->
     return links
 
 
+def placed_in_blocks(regions: DataFrame, block: int, pools: int) -> DataFrame:
+    """``doc, place`` of every region member: its task, and its block among those of the region.
+
+    The block is a hash of the node, so that blocks stay about even where all signatures agree.
+    """
+    blocks = F.ceil(F.col("members") / block)
+    return regions.select(
+        F.col("node").alias("doc"),
+        F.struct(
+            "region",
+            # small regions share tasks; a crowded one has tasks of its own
+            F.when(blocks == 1, F.pmod(F.xxhash64("region"), F.lit(pools))).otherwise(pools + F.abs(F.col("region") % (1 << 40))).alias("task"),
+            F.pmod(F.xxhash64("node"), blocks).alias("block"),
+            blocks.alias("blocks"),
+        ).alias("place"),
+    )
+
+
 _ITEM = "task long, low long, high long, node long, region long, block long, items binary"
 
 
@@ -321,18 +351,8 @@ def near_duplicates(
     nodes = full.join(members.filter("doc = node").select("doc").distinct(), "doc")
     nodes = nodes.groupBy(F.col("doc").alias("node")).agg(F.first("signature").alias("signature"))
     regions = forest_regions(nodes, min_depth or depth_for(percent))
-    blocks = F.ceil(F.col("members") / block)
-    # small regions share tasks; a crowded one has tasks of its own
     pools = max(1, total_bytes(rows) // GROUP_BYTES)
-    placed = regions.select(
-        F.col("node").alias("doc"),
-        F.struct(
-            "region",
-            F.when(blocks == 1, F.pmod(F.xxhash64("region"), F.lit(pools))).otherwise(pools + F.abs(F.col("region") % (1 << 40))).alias("task"),
-            F.pmod(F.xxhash64(F.substring("path", 1, 4)), blocks).alias("block"),
-            blocks.alias("blocks"),
-        ).alias("place"),
-    )
+    placed = placed_in_blocks(regions, block, pools)
     placed = placed.groupBy("doc").agg(F.collect_list("place").alias("places"))  # at most one per tree
     # merge: the same plan whatever the size of the smaller side
     items = rows.join(placed.hint("merge"), "doc").select("doc", "text", "places").mapInArrow(_members(shingle), _ITEM)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,31 @@ def test_near_duplicates_of_odd_rows(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_near_copies_of_one_text_are_cut_into_blocks(spark):
+    # the deeper values of the path are the same in all of them
+    regions = spark.range(6000).select(F.col("id").alias("node"), F.lit(7).alias("region"), F.lit(b"\x01" * 16).alias("path"), F.lit(6000).alias("members"))
+    placed = near_dups.placed_in_blocks(regions, 500, 3).groupBy("place.block").count().collect()
+    assert len(placed) == 12 and max(r["count"] for r in placed) < 750
+
+
+@pytest.mark.parametrize("split", [1500, 3000])
+def test_memory_of_alike_sets_does_not_grow_with_the_square(split):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(100, 95, replace=False)).astype(np.uint64) for _ in range(3000)]
+    tracemalloc.start()
+    links = near_dups.spanning_links(sets, split, 90, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 << 20
+    member = np.zeros((3000, 100), np.int64)
+    for i, s in enumerate(sets):
+        member[i, s.astype(np.int64)] = 1
+    both = member @ member.T
+    near = np.argwhere(100 * both >= 90 * (190 - both))
+    near = near[(near[:, 0] < split) & (near[:, 1] >= split)] if split < 3000 else near[near[:, 0] < near[:, 1]]
+    assert union(links, range(3000)) == union(near.tolist(), range(3000)) and 0 < len(links) < 3000
+
+
 def test_depth_follows_the_similarity():
     assert near_dups.depth_for(85) == 4 and near_dups.depth_for(80) == 3
 
