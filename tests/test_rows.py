@@ -120,6 +120,22 @@ def test_parsed_lines_keep_undeclared_fields_and_shapes(spark):
     assert [r["reason"] for r in rows if not r["id"]] == ["malformed JSON document"] * 2
 
 
+def test_wrong_values_inside_disabled_fields_are_kept_whole(spark):
+    wrong = {
+        "Rules": {"ProductId": "none", "IsBlocked": True},
+        "Images": {"Items": [{"Url": "u", "Priority": 1}, {"Url": "v", "Priority": "first"}]},
+        "LinkedProducts": [{"id": "a", "quantity": "many"}],
+        "DisplayOrderInCategories": [{"CategoryId": "x", "DisplayOrder": 1}],
+        "ProductProperties": [{"PropertyName": {"deep": 1}}],
+    }
+    right = {"Rules": {"ProductId": 5}, "Images": {"Items": [{"Url": "u", "Priority": 1}]}, "LinkedProducts": None}
+    docs = [wrong, right, {"Rules": "none", "Images": {"Items": {"Url": "u"}}}]
+    lines = spark.createDataFrame([(str(i), json.dumps({"id": str(i), **d})) for i, d in enumerate(docs)], "no string, value string")
+    rows = src.parse_lines(lines).select("no", F.to_json("_extra").alias("extra"), "error", "Rules.IsBlocked").orderBy("no").collect()
+    assert [r.error for r in rows] == [None] * 3 and rows[0].IsBlocked
+    assert [json.loads(r.extra) if r.extra else None for r in rows] == [docs[0], None, docs[2]]
+
+
 def test_upsert_with_a_hot_key_and_any_partitioning(spark):
     base = spark.createDataFrame([("hot", 0), ("old", 1)], "id string, v long")
     changes = spark.range(3000).select(
