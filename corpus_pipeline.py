@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: those without a letter, and those of a letter or two (score below 0.3), go."""
+    """Documents that have a language: those without a letter, and those too short for an n-gram (a letter or two), go."""
     return with_known_language(docs, fit_languages(docs))
 
 

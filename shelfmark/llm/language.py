@@ -132,8 +132,18 @@ def mixture(counts: np.ndarray, p: np.ndarray, start: np.ndarray, rounds: int =
     return share, (counts * np.log(np.maximum(share @ p, 1e-30))).sum(axis=1)
 
 
-def infer(counts: np.ndarray, model: LanguageModel, penalty: float, most: int) -> np.ndarray:
-    """Shares over the language set of best penalised likelihood."""
+def _ceiling(counts: np.ndarray, p: np.ndarray, share: np.ndarray, likelihood: np.ndarray) -> np.ndarray:
+    """What no mixture's log likelihood exceeds: it is concave, so its slopes at ``share`` bound it."""
+    slopes = (counts / np.maximum(share @ p, 1e-30)) @ p.T
+    return likelihood + np.maximum(slopes.max(axis=1) - counts.sum(axis=1), 0)
+
+
+def infer(counts: np.ndarray, model: LanguageModel, penalty: float, most: int | None = None) -> np.ndarray:
+    """Shares over the language set of best penalised likelihood.
+
+    Sets grow by the next language until no larger one can pay its penalty; ``most``
+    ends them earlier.
+    """
     p = np.exp(model.log_p).astype(np.float32)
     k = len(model.languages)
     n = counts.sum(axis=1)
@@ -145,12 +155,13 @@ def infer(counts: np.ndarray, model: LanguageModel, penalty: float, most: int) -
     share[rows, best] = 1
     value = alone[rows, best] / ORDER - price
     if k > 1:
-        full, _ = mixture(counts, p, np.full((len(counts), k), 1 / k, np.float32))
+        full, likelihood = mixture(counts, p, np.full((len(counts), k), 1 / k, np.float32))
+        ceiling = _ceiling(counts, p, full, likelihood) / ORDER
         order = np.argsort(-full, axis=1, kind="stable")
         open_rows = rows
-        for m in range(2, min(k, most) + 1):
-            # a set of m is worth a try where its m-th language has a share at all
-            open_rows = open_rows[full[open_rows, order[open_rows, m - 1]] > 0.01]
+        for m in range(2, min(k, most or k) + 1):
+            # a set of m is worth a try where the best of all mixtures could pay for m languages
+            open_rows = open_rows[ceiling[open_rows] - m * price[open_rows] > value[open_rows]]
             if not len(open_rows):
                 break
             start = np.zeros((len(open_rows), k), np.float32)
@@ -163,12 +174,15 @@ def infer(counts: np.ndarray, model: LanguageModel, penalty: float, most: int) -
     return share
 
 
-def judged(texts: pa.Array, letters: list[bool], model: LanguageModel, penalty: float, most: int) -> tuple[list, list, list]:
-    """Main language, score and shares of each text; ``und`` where there is no letter."""
+def judged(
+    texts: pa.Array, letters: list[bool], model: LanguageModel, penalty: float, most: int | None
+) -> tuple[list, list, list, list]:
+    """Main language, score, shares and number of n-grams of each text; ``und`` where there is no letter."""
     k, names, buckets = len(model.languages), model.languages, model.log_p.shape[1]
     lang, score, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in range(len(texts))]
+    found = [0] * len(texts)
     if not k:
-        return lang, score, shares
+        return lang, score, shares, found
     for a, b in row_slabs(texts, most=128):
         offsets, grams = _grams(texts.slice(a, b - a), buckets)
         counts = _counts(offsets, grams, 0, b - a, buckets)
@@ -178,9 +192,10 @@ def judged(texts: pa.Array, letters: list[bool], model: LanguageModel, penalty:
             if letters[a + i]:
                 top = int(np.argmax(share[i]))
                 lang[a + i] = names[top]
+                found[a + i] = int(counts[i].sum())
                 score[a + i] = float((size[i] * share[i, top] + 1 / k) / (size[i] + 1))
                 shares[a + i] = [{"lang": names[j], "share": float(share[i, j])} for j in np.flatnonzero(share[i] > 0.005)]
-    return lang, score, shares
+    return lang, score, shares, found
 
 
 def identify(
@@ -189,7 +204,7 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     penalty: float = 2.0,
-    max_languages: int = 4,
+    max_languages: int | None = None,
 ) -> DataFrame:
     """Rows ``doc_id, lang_pred, score, shares``: the main language, how sure it is, and the mixture.
 
@@ -204,7 +219,7 @@ def identify(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, shares = judged(batch.column(1), batch.column(2).to_pylist(), model, penalty, max_languages)
+            lang, score, shares, _ = judged(batch.column(1), batch.column(2).to_pylist(), model, penalty, max_languages)
             yield pa.record_batch(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)],
                 names=["doc_id", "lang_pred", "score", "shares"],
@@ -214,11 +229,11 @@ def identify(
 
 
 def with_known_language(
-    docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.3, penalty: float = 2.0, max_languages: int = 4
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", least: int = 1, penalty: float = 2.0, max_languages: int | None = None
 ) -> DataFrame:
-    """``docs`` with all its columns, less those without a language or with a score below ``least``.
+    """``docs`` with all its columns, less those without a language or with fewer than ``least`` n-grams.
 
-    The default leaves only texts out that say no more than a guess would.
+    How the text is shared out among languages does not matter: an even mixture stays.
     """
     letters = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
     own = docs.filter(letters)
@@ -226,7 +241,8 @@ def with_known_language(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, score, _ = judged(batch.column(at).cast(pa.string()), [True] * len(batch), model, penalty, max_languages)
-            yield batch.filter(pa.array(np.array(score) >= least, pa.bool_()))
+            lang, _, _, found = judged(batch.column(at).cast(pa.string()), [True] * len(batch), model, penalty, max_languages)
+            known = (np.array(lang, object) != "und") & (np.array(found) >= least)
+            yield batch.filter(pa.array(known.astype(bool), pa.bool_()))
 
     return own.mapInArrow(keep, own.schema)

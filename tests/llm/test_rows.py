@@ -183,6 +183,38 @@ def test_languages_of_held_out_documents(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) in ([0, 4, 5, 5], [0, 5, 5])
 
 
+def even_mixture(languages, grams=3000):
+    """A model of distinct languages and the text of all of them in equal parts."""
+    rng = np.random.default_rng(8)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"[4 * j : 4 * j + 5]), 5)) for _ in range(60)] for j in range(languages)]
+    text = lambda j: " ".join(rng.choice(words[j], grams // 6))
+    own = [text(j) for j in range(languages)]
+    counts = [language._counts(*language._grams(pa.array([t]), 4096), 0, 1, 4096)[0] + 0.5 for t in own]
+    p = np.array(counts, np.float64)
+    model = language.LanguageModel([f"l{j}" for j in range(languages)], np.log(p / p.sum(axis=1, keepdims=True)))
+    return model, " ".join(text(j) for j in range(languages))
+
+
+def test_an_even_mixture_of_languages_is_kept(spark):
+    for n in (4, 6):
+        model, text = even_mixture(n)
+        df = spark.createDataFrame([(1, text), (2, "12 ?"), (3, None), (4, "a"), (5, "abcd")], "doc_id long, text string")
+        shares = {r.doc_id: r.shares for r in language.identify(df, model).collect()}
+        assert sorted(s.lang for s in shares[1]) == model.languages
+        assert all(abs(s.share - 1 / n) < 0.05 for s in shares[1])
+        assert sorted(r.doc_id for r in language.with_known_language(df, model).collect()) == [1, 5]
+
+
+def test_the_penalty_alone_ends_the_language_set():
+    model, _ = even_mixture(3)
+    p = np.exp(model.log_p)
+    # half a percent of a long text pays its penalty, of a short one it does not
+    counts = np.outer([400_000, 400], 0.995 * p[0] + 0.005 * p[1]).astype(np.float32)
+    share = language.infer(counts, model, 2.0)
+    assert 0 < share[0, 1] < 0.01 and share[0, 2] == 0
+    assert (share[1] == [1, 0, 0]).all()
+
+
 def test_language_without_labels_or_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = language.fit_languages(empty)
