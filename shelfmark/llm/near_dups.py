@@ -1,10 +1,8 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 A document's set is its distinct word shingles (ASCII lower case). Its signature has
-``trees * depth`` MinHash values; each tree sorts all signatures by its own ``depth``
-values. Sets whose paths share a long enough prefix stand together there, in a region,
-and are candidates. How long adapts to the region: ``min_depth`` values where few share
-them, deeper ones where many do.
+``trees * depth`` MinHash values; each tree has a path of its own ``depth`` values. Sets whose paths share the first ``min_depth`` values are in one region and are
+candidates; the depth is the same for all regions.
 
 1. Sets: one pass gives set size, a 128-bit hash of the set, and the signature. Equal
    sets are merged (a partial aggregation), so copies count once from here on.
