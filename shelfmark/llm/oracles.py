@@ -78,6 +78,40 @@ n AS (SELECT vec_id AS id FROM embeddings),
 degree AS (SELECT a AS id, count(*) AS k FROM (SELECT a FROM l UNION ALL SELECT b FROM l) GROUP BY a)
 SELECT classes.id AS vec_id, coalesce(k, 0) AS n_links, component_id, classes.id = component_id AS kept FROM classes LEFT JOIN degree ON degree.id = classes.id"""
 
+LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = "unnest(regexp_extract_all(" + LOWER.format("coalesce(text, '')") + f", '{LOWER_WORD}'))"
+_H = "CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT)"
+
+RESAMPLE = f"""WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+d AS (SELECT doc_id, {_WORDS} AS word FROM documents),
+b AS (SELECT {_WORDS} AS word FROM benchmark),
+v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM d UNION SELECT word FROM b)),
+hashed AS (SELECT word, xor(4294967295, list_reduce(list_transform(range(CAST(strlen(word) AS BIGINT)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+  lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), 4294967295)) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM d) + 10000 AS s_all, (SELECT count(*) FROM b) + 10000 AS t_all),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * s_all::DOUBLE / ((s + 1)::DOUBLE * t_all::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+w AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM d JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(({_H} + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM documents LEFT JOIN w USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS fit FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * fit // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (doc_id)"""
+
+_TERMS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = f"""WITH d AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+size AS (SELECT doc_id, CAST(count(*) AS HUGEINT) AS n FROM d GROUP BY doc_id),
+sums AS (SELECT CAST(count(*) AS HUGEINT) AS docs, CAST(sum(n) AS HUGEINT) AS words FROM size),
+tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, sums GROUP BY term),
+m AS (SELECT doc_id, CAST(10 + (90 * n * docs) // words AS BIGINT) AS m FROM size, sums),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
 ORACLE = {
     "op2_suffix_dedup": BYTE_REPEATS,
     "op3_url_filter": URLS,
@@ -85,4 +119,6 @@ ORACLE = {
     "op6_phrase_dedup": PHRASES,
     "op7_archive": ARCHIVE,
     "op9_near_vectors": VECTORS,
+    "op11_importance_resample": RESAMPLE,
+    "op12_lexical_search": LEXICAL,
 }

@@ -121,3 +121,31 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn by their likeness to the benchmark texts."""
+    from shelfmark.llm.resample import resample
+
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest lexical score for every benchmark item."""
+    from shelfmark.llm.lexical import lexical_search
+
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+@query
+def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in as few sequences of 2048 tokens as the configuration program finds."""
+    import public_tokenizers
+
+    from shelfmark.llm.bestfit import pack_best_fit
+
+    pieces = pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), room=2048)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
