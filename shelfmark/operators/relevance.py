@@ -39,7 +39,7 @@ class TextIndex:
 
     ``occurrences``: id, field, analysis, term, tf, length. From a catalog it is a
     projection with one row per token; read from the side table it is already
-    counted and sorted by term. ``stats``: field, docs, mean_length.
+    counted and sorted by term. ``stats``: field, docs, mean_length, total (of lengths).
     """
 
     occurrences: DataFrame
@@ -79,7 +79,7 @@ class TextIndex:
             "f.length",
         )
         stats = per_field.groupBy("f.field").agg(
-            F.count(F.lit(1)).alias("docs"), F.avg("f.length").alias("mean_length")
+            F.count(F.lit(1)).alias("docs"), F.avg("f.length").alias("mean_length"), F.sum("f.length").alias("total")
         )
         return cls(occurrences, stats, tuple((p.name, _analysis(p)) for p in paths))
 

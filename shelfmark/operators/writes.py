@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
+from shelfmark.operators.open_objects import ENTRIES, merge_open
 from shelfmark.runtime import computed_once
 from shelfmark.schema import EXTRA, PRODUCT, nullable
 from shelfmark.sources.products import field_fault
@@ -202,6 +203,43 @@ def _entry_lives(k: Column, old: Column, entries: Column, reset: Column) -> Colu
     return F.map_contains_key(old, k) | reset.isNull() | (seen > reset)
 
 
+def _opened(
+    base: DataFrame, patches: DataFrame, schema: T.StructType, order: Column, key: str, body: str
+) -> DataFrame | None:
+    """``_opened`` of each key: its undeclared entries and variant columns that patches open as objects, merged path by path."""
+    variants = [f.name for f in schema.fields if isinstance(f.dataType, T.VariantType)]
+    has_extra = EXTRA in base.columns
+    if not variants and not has_extra:
+        return None
+    given = F.explode(F.try_variant_get(F.col(body), "$", ENTRIES)).alias("name", "value")
+    given = patches.select(F.col(key).alias("key"), order.alias("order"), given)
+    declared = [c for c in base.columns if c not in variants]
+    given = given.filter(~F.col("name").isin(declared) if has_extra else F.col("name").isin(variants))
+    own = [x for n in variants for x in (F.lit(n), F.col(f"`{n}`"))]
+    held = F.create_map(*own).cast(ENTRIES)
+    if has_extra:
+        held = F.map_concat(held, F.coalesce(EXTRA, F.create_map().cast(ENTRIES)))
+    held = base.select(F.col(key).alias("key"), F.map_filter(held, lambda _, v: v.isNotNull()).alias("entries"))
+    merged = merge_open(held, given)
+    if merged is None:
+        return None
+    entries = F.map_from_entries(F.collect_list(F.struct("name", "value")))
+    return merged.groupBy(F.col("key").alias(key)).agg(entries.alias("_opened"))
+
+
+def _with_opened(name: str, plain: Column, schema: T.StructType, opened: DataFrame | None) -> Column:
+    """``plain``, with what was merged path by path in place of its plainly replaced entries."""
+    if opened is None:
+        return plain
+    found = F.coalesce("_opened", F.create_map().cast(ENTRIES))
+    if name == EXTRA:
+        kept = F.map_filter(F.coalesce(plain, F.create_map().cast(ENTRIES)), lambda k, _: ~F.map_contains_key(found, k))
+        return F.map_concat(kept, F.map_filter(found, lambda k, _: ~k.isin(schema.names)))
+    if isinstance(schema[name].dataType, T.VariantType):
+        return F.when(F.map_contains_key(found, F.lit(name)), F.element_at(found, F.lit(name))).otherwise(plain)
+    return plain
+
+
 def patch(
     base: DataFrame,
     patches: DataFrame,
@@ -214,7 +252,8 @@ def patch(
     A patch with a value of a wrong type is left out as a whole (see ``patch_errors``).
     ``body`` is a variant: an absent field keeps the old value, an explicit null
     sets null, objects and map entries merge, arrays and scalars replace. Fields
-    without a column go to ``_extra``, each as a whole, where the table has it. All
+    without a column go to ``_extra``, where the table has it; objects among them, and
+    in columns of the type variant, merge at every depth. All
     patches of an id are condensed field by field in one aggregation, so many
     patches of one document combine before the shuffle.
     """
@@ -248,9 +287,12 @@ def patch(
         )
         m.entries_type = whole.schema[f"{m.tag}_entries"].dataType
         condensed = condensed.join(whole, key, "left")
+    opened = _opened(base, usable, schema, order, key, body)
+    if opened is not None:
+        condensed = condensed.join(opened, key, "left")
     state = condensed.withColumnRenamed(key, "_key")
     fields = [
-        c.merged(F.col(f"`{n}`"), F.col, None).cast(c.dtype).alias(n, metadata=schema[n].metadata)
+        _with_opened(n, c.merged(F.col(f"`{n}`"), F.col, None), schema, opened).cast(c.dtype).alias(n, metadata=schema[n].metadata)
         for n, c in root.children.items()
     ]
     changed = base.join(state, base[key] == state["_key"], "left")

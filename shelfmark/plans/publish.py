@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
 from shelfmark.functions.scalar import BLUE, GREEN
+from shelfmark.operators import changes as ch
 from shelfmark.operators import ingest as ing
 from shelfmark.operators import registry as rg
 from shelfmark.operators import reports as rp
 from shelfmark.operators import writes as wr
 from shelfmark.operators.relevance import search_fields
 from shelfmark.plans import side_tables as st
+from shelfmark.plans.changes import OPEN, SEAL, ChangeLog, Sealed
 from shelfmark.plans.search import SearchResult, criteria_search, text_search
 from shelfmark.plans.store import CatalogFiles, ConcurrentPublish
 from shelfmark.schema import PRODUCT, CatalogSchema, describe
@@ -27,6 +29,12 @@ from shelfmark.sources import products as src
 WARMING = "warming"
 STAGE_ATTEMPTS = 5
 CHANGE_ATTEMPTS = 5
+#: Batches of changes beside a version, after which a further one merges them into a new version.
+COMPACT_AFTER = 100
+#: Ids that may stand in a filter as literals.
+FEW_IDS = 1000
+#: Asks for a text index of every field that a search without a field list covers.
+ALL_FIELDS = "*"
 
 
 class AuditFailed(RuntimeError):
@@ -54,10 +62,11 @@ def _named(alias: str, what: str = "Alias name") -> str:
 class BlueGreenCatalog:
     """Versions of product tables under one folder, and the pointers readers follow."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "id"):
+    def __init__(self, spark: SparkSession, root: str, key: str = "id", compact_after: int = COMPACT_AFTER):
         self.spark = spark
         self.files = CatalogFiles(spark, root)
         self.key = key
+        self.compact_after = compact_after
 
     # --- pointers and versions ---------------------------------------------------------------
 
@@ -96,7 +105,15 @@ class BlueGreenCatalog:
         return active
 
     def table(self, alias: str, version: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.files.data_path(alias, self.resolve(alias, version)))
+        """The rows of a version as the changes made since leave them."""
+        found = self.resolve(alias, version)
+        return self.changes(alias, found).merged(self._stored(alias, found))
+
+    def changes(self, alias: str, version: str) -> ChangeLog:
+        return ChangeLog(self.spark, self.files, self.files.version_path(alias, version), self.key)
+
+    def _stored(self, alias: str, version: str) -> DataFrame:
+        return self.spark.read.parquet(self.files.data_path(alias, version))
 
     def view(self, alias: str) -> str:
         """A temporary view of the active version for SQL in this session."""
@@ -112,7 +129,8 @@ class BlueGreenCatalog:
         """Structured search; facets read the stored long form."""
         active = self.resolve(alias)
         path = f"{self.files.version_path(alias, active)}/facets"
-        stored = st.read_facets(self.spark, path, aggs) if aggs and self.files.exists(path) else None
+        pending = self.changes(alias, active).entries()
+        stored = st.read_facets(self.spark, path, aggs) if aggs and not pending and self.files.exists(path) else None
         return criteria_search(
             self.table(alias, active), criteria, aggs=aggs, facet_table=stored, **options
         )
@@ -127,7 +145,9 @@ class BlueGreenCatalog:
     ) -> SearchResult:
         """Ranked search; uses the stored text index when it covers the fields."""
         active = self.resolve(alias)
-        rows = self.table(alias, active)
+        log = self.changes(alias, active)
+        entries, base = log.entries(), self._stored(alias, active)
+        rows = log.merged(base, entries)
         path = f"{self.files.version_path(alias, active)}/text"
         index = None
         if self.files.exists(path):
@@ -135,8 +155,20 @@ class BlueGreenCatalog:
             stored = {r["field"] for r in self.spark.read.parquet(f"{path}/stats").collect()}
             if stored >= {p.name for p in search_fields(schema, fields)}:
                 index = st.read_text_index(self.spark, path, schema, fields)
+                changes = log.rows(base, entries)
+                if changes is not None:
+                    ids = changes.select(F.col(self.key).alias("id")).distinct()
+                    old, new = (self._only(df, ids) for df in (base, rows))
+                    index = st.extended(index, ids, old, new, schema, fields)
         return text_search(rows, query, fields, highlight=highlight, index=index, **options)
 
+    def _only(self, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of those ids; few ids are literals, which skip files of others."""
+        few = ids.limit(FEW_IDS + 1).collect()
+        if len(few) <= FEW_IDS:
+            return rows.filter(F.col(self.key).isin([r["id"] for r in few]))
+        return rows.join(ids, rows[self.key] == ids["id"], "left_semi")
+
     def get(self, alias: str, product_id: str | int) -> Row | None:
         """One product by id, else by record number, else nothing.
 
@@ -246,17 +278,19 @@ class BlueGreenCatalog:
         minimum: int | None = None,
         color: str | None = None,
         unique: bool = False,
-        text_fields: Sequence[str] | None = None,
+        text_fields: Sequence[str] | str | None = ALL_FIELDS,
         schema: T.StructType | None = None,
         base: str | None = None,
+        take_over: Callable[[str], None] | None = None,
     ) -> DeploymentState:
         """Stage a new version; with ``auto-swap`` also publish it.
 
         The audit runs on the written files before anything points at them: declared
         fields must have their declared types, and with ``schema`` all its fields must
-        be there. The property map is also stored in long form; ``text_fields`` asks
-        for a text index of those fields. ``base`` is the version the rows were made
+        be there. The property map is also stored in long form, and a text index of
+        ``text_fields``: all that a search covers, those listed, or with None no index. ``base`` is the version the rows were made
         from; if another one is active by then, ``ConcurrentPublish`` is raised.
+        ``take_over`` is called with the new version just before it is published.
         """
         _named(alias)
         if products is None:
@@ -274,8 +308,10 @@ class BlueGreenCatalog:
         if "DefaultProductProperties" in rows.columns:
             stored = self.spark.read.parquet(self.files.data_path(alias, version))
             st.write_facets(stored, f"{self.files.version_path(alias, version)}/facets")
+        stored = self._stored(alias, version)
+        if text_fields == ALL_FIELDS:
+            text_fields = [p.name for p in search_fields(CatalogSchema.of(stored), None)]
         if text_fields:
-            stored = self.spark.read.parquet(self.files.data_path(alias, version))
             st.write_text_index(stored, f"{self.files.version_path(alias, version)}/text", text_fields)
         try:
             before, target, seq = self._stage(alias, version, color, strategy, base)
@@ -284,6 +320,8 @@ class BlueGreenCatalog:
             raise
         if strategy == rg.AUTO_SWAP:
             try:
+                if take_over:
+                    take_over(version)
                 self.files.record(alias, rg.PUBLISH, version, target, strategy, seen=seq)
             except ConcurrentPublish:
                 # another writer came between: the version was never published, take it back
@@ -392,6 +430,7 @@ class BlueGreenCatalog:
         if known is None:
             raise LookupError(f"Index '{version}' does not exist")
         self.files.record(alias, rg.PUBLISH, version, known["color"], seen=seen)
+        self.reopen(alias)
         if delete_old:
             waiting = self.status(alias).staging_version
             for row in self.versions(alias).filter(F.col("version") != version).collect():
@@ -410,6 +449,7 @@ class BlueGreenCatalog:
         if target is None:
             raise ValueError(f"No previous index found for rollback of alias {alias}")
         self.files.record(alias, rg.ROLLBACK, target["version"], target["color"], seen=seen)
+        self.reopen(alias)
         return self.status(alias)
 
     def cleanup(self, alias: str, keep_last: int = 1) -> list[str]:
@@ -454,41 +494,107 @@ class BlueGreenCatalog:
     def change(
         self, alias: str, how: Callable[[DataFrame], DataFrame], strategy: str = rg.AUTO_SWAP
     ) -> DeploymentState:
-        """A new version from the active one: ``how`` is an upsert, a patch or a delete.
+        """A new version from the active one: ``how`` is an upsert, a patch or a delete of many rows.
 
         If another writer publishes meanwhile, ``how`` is applied to its version
-        instead, so no change is lost. The text index keeps its fields.
+        instead, so no change is lost; changes entered beside the old version while the
+        new one was written are carried over. The text index keeps its fields.
         """
         for attempt in range(CHANGE_ATTEMPTS):
             base = self.resolve(alias)
+            log = self.changes(alias, base)
+            entries = log.entries()
+            seen = entries[-1].seq if entries else 0
+            sealed = False
+
+            def take_over(version: str) -> None:
+                nonlocal sealed
+                log.mark(SEAL)
+                sealed = True
+                log.copy_to(self.changes(alias, version), self._stored(alias, base), seen)
+
             try:
                 return self.deploy(
                     alias,
-                    how(self.table(alias, base)),
+                    how(log.merged(self._stored(alias, base), entries)),
                     strategy,
                     unique=True,
                     base=base,
                     text_fields=self._indexed_fields(alias, base),
+                    take_over=take_over,
                 )
-            except ConcurrentPublish:
-                if attempt == CHANGE_ATTEMPTS - 1:
+            except Exception as failed:
+                if sealed:
+                    log.mark(OPEN)
+                if not isinstance(failed, ConcurrentPublish) or attempt == CHANGE_ATTEMPTS - 1:
                     raise
         raise AssertionError
 
+    def compact(self, alias: str) -> DeploymentState:
+        """Merge the changes beside the active version into a new one, and publish that."""
+        return self.change(alias, lambda rows: rows)
+
+    def reopen(self, alias: str) -> None:
+        """Let the active version take changes again, after a writer died while it was replacing it."""
+        self.changes(alias, self.resolve(alias)).mark(OPEN)
+
+    def write_changes(
+        self,
+        alias: str,
+        upserts: DataFrame | None = None,
+        patches: DataFrame | None = None,
+        deletes: DataFrame | None = None,
+        order: str | None = None,
+    ) -> int:
+        """Enter a batch of changes beside the active version; writes nothing but their rows.
+
+        Whole documents have to have ids that do not repeat, or a place in their files;
+        ``patches`` have the id and a variant ``patch``, and ``order`` names a whole-number
+        column that orders those of one id. Readers merge the batch from then on. Returns
+        its number.
+        """
+        keyed = None if upserts is None else self.keyed(upserts)
+        given = {ch.UPSERT: keyed, ch.PATCH: patches, ch.DELETE: deletes}
+        ops = tuple(op for op, rows in given.items() if rows is not None)
+        if not ops:
+            raise ValueError("Changes are required")
+        for attempt in range(CHANGE_ATTEMPTS):
+            active = self.resolve(alias)
+            stored = self._stored(alias, active)
+            try:
+                seq = self.changes(alias, active).append(
+                    lambda n: ch.change_rows(stored, n, keyed, patches, deletes, self.key, order=order), ops
+                )
+                break
+            except Sealed:
+                # another version is taking over, or has just done so
+                if attempt == CHANGE_ATTEMPTS - 1 or self.resolve(alias) == active:
+                    raise
+        if seq >= self.compact_after:
+            self.compact(alias)
+        return seq
+
     def _indexed_fields(self, alias: str, version: str) -> list[str] | None:
         path = f"{self.files.version_path(alias, version)}/text/stats"
         if not self.files.exists(path):
             return None
         return sorted(r["field"] for r in self.spark.read.parquet(path).select("field").distinct().collect())
 
+    def _result(self, alias: str, document_id: str) -> str:
+        """What a write of one id does; the id is a literal, so files of other ids are skipped."""
+        return "created" if self.table(alias).filter(F.col(self.key) == document_id).isEmpty() else "updated"
+
     def index_one(self, alias: str, document: DataFrame) -> str:
         """Store one document under its id; says whether it was created or updated."""
         if document is None:
             raise ValueError("Document is required")
         keyed = self.keyed(document)
-        row = wr.write_results(self.table(alias), keyed, self.key).first()
-        self.change(alias, lambda d: wr.upsert(d, keyed, [self.key], self.key))
-        return row["result"]
+        found = keyed.select(self.key).first()
+        if found is None:
+            raise ValueError("Document is required")
+        result = self._result(alias, found[0])
+        self.write_changes(alias, upserts=keyed)
+        return result
 
     def update(self, alias: str, document_id: str | int, patch_json: str) -> str:
         """Apply a partial document, inserting it when the id is new."""
@@ -496,19 +602,17 @@ class BlueGreenCatalog:
         if not patch_json:
             raise ValueError("Document is required")
         one = self.spark.createDataFrame([(found, patch_json)], "_k string, _t string")
-        patches = one.select(F.col("_k").alias(self.key), F.parse_json("_t").alias("patch"), F.lit(0).alias("_o"))
-        table = self.table(alias)
-        fault = wr.patch_errors(patches, table.schema, self.key).first()
+        patches = one.select(F.col("_k").alias(self.key), F.parse_json("_t").alias("patch"))
+        fault = wr.patch_errors(patches, self._stored(alias, self.resolve(alias)).schema, self.key).first()
         if fault is not None:
             raise ValueError(fault["reason"])
-        row = wr.write_results(table, patches, self.key).first()
-        self.change(alias, lambda d: wr.patch(d, patches, ["_o"], self.key))
-        return row["result"]
+        result = self._result(alias, found)
+        self.write_changes(alias, patches=patches)
+        return result
 
     def delete(self, alias: str, document_id: str | int) -> None:
         """Remove one document; an unknown id is an error."""
         found = _named(str(document_id), "Document ID")
-        ids = self.spark.createDataFrame([(found,)], f"{self.key} string")
-        if not wr.delete_unknown(self.table(alias), ids, self.key).isEmpty():
+        if self._result(alias, found) == "created":
             raise LookupError(f"Error deleting document {found} from '{alias}': not found")
-        self.change(alias, lambda d: wr.delete(d, ids, self.key))
+        self.write_changes(alias, deletes=self.spark.createDataFrame([(found,)], f"{self.key} string"))

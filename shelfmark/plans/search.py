@@ -93,9 +93,11 @@ def text_search(
     matched = cut_lineage(rv.matched_terms(index, expansion))
     matches = rv.best_fields(rv.bm25(matched, expansion, index.stats))
     top = pg.page(matches, limit=limit, offset=offset)
-    # a page holds at most 100 ids
-    shown = F.broadcast(top.withColumnRenamed("id", "_hit"))
-    hits = catalog.join(shown, catalog[id_col] == F.col("_hit")).drop("_hit")
+    # a page holds at most 100 ids: as literals they reach the scan, which skips files of other ids
+    page = top.collect()
+    shown = catalog.sparkSession.createDataFrame(page, top.schema).withColumnRenamed("id", "_hit")
+    rows = catalog.filter(F.col(id_col).isin([r["id"] for r in page]))
+    hits = rows.join(F.broadcast(shown), rows[id_col] == F.col("_hit")).drop("_hit")
     if highlight:
         hits = rv.highlight(hits, matched, schema, [name for name, _ in index.fields], id_col)
     ordered = hits.orderBy(F.col("_score").desc(), F.col(id_col).asc())

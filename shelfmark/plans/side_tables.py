@@ -63,3 +63,24 @@ def read_text_index(
         spark.read.parquet(f"{path}/stats").filter(F.col("field").isin(names)),
         tuple((p.name, rv._analysis(p)) for p in paths),
     )
+
+
+def extended(
+    index: rv.TextIndex, ids: DataFrame, old: DataFrame, new: DataFrame, schema: CatalogSchema, fields: Sequence[str] | None = None
+) -> rv.TextIndex:
+    """A stored index as changes leave it: ``old`` and ``new`` are the rows of the changed ``ids`` before and after.
+
+    What the changed documents held is left out by id, what they hold now is a segment of
+    its own, and the statistics of a field are moved by the difference.
+    """
+    before, after = rv.TextIndex.of(old, fields, schema), rv.TextIndex.of(new, fields, schema)
+    kept = index.occurrences.join(ids.select("id").distinct(), "id", "left_anti")
+    columns = ["id", "field", "analysis", "length", "term", "tf"]
+    occurrences = kept.select(*columns).unionByName(after.occurrences.select(*columns))
+    moved = [
+        stats.select("field", (F.col("docs") * sign).alias("docs"), (F.col("total") * sign).alias("total"))
+        for stats, sign in ((index.stats, 1), (before.stats, -1), (after.stats, 1))
+    ]
+    summed = moved[0].unionByName(moved[1]).unionByName(moved[2]).groupBy("field")
+    stats = summed.agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs > 0")
+    return rv.TextIndex(occurrences, stats.withColumn("mean_length", F.col("total") / F.col("docs")), index.fields)

@@ -2,6 +2,7 @@
 
     {root}/{alias}/version={v}/data        rows of one version (Parquet), in ranges of ids
     {root}/{alias}/version={v}/facets      long facet rows, sorted by facet
+    {root}/{alias}/version={v}/changes     changes made since, merged when the version is read
     {root}/{alias}/registry/{seq}.json     one publish event per file
 
 The log is the truth. Each entry takes the next number with an exclusive create,
@@ -88,7 +89,6 @@ class CatalogFiles:
     ) -> int:
         """Add an event after the last one the caller has ``seen``."""
         seq = (self.last_seq(alias) if seen is None else seen) + 1
-        fs, p = self._fs(f"{self._log(alias)}/{seq:020d}.json")
         entry = {
             "seq": seq,
             "alias": alias,
@@ -99,12 +99,25 @@ class CatalogFiles:
             "strategy": strategy,
             "label": label,
         }
+        self.write_once(f"{self._log(alias)}/{seq:020d}.json", json.dumps(entry))
+        return seq
+
+    def write_once(self, path: str, line: str) -> None:
+        """A new file with one line; if it exists, another writer was first."""
+        fs, p = self._fs(path)
         try:
             out = fs.create(p, False)
-        except Exception as e:  # the file exists: someone else got here first
-            raise ConcurrentPublish(f"Registry of '{alias}' changed while publishing") from e
+        except Exception as e:
+            raise ConcurrentPublish(f"Another writer made {path}") from e
         try:
-            out.write(bytearray((json.dumps(entry) + "\n").encode()))
+            out.write(bytearray((line + "\n").encode()))
         finally:
             out.close()
-        return seq
+
+    def read_all(self, folder: str) -> list[str]:
+        """The texts of the JSON entries of a folder, which is kept small."""
+        fs, p = self._fs(folder)
+        if not fs.exists(p):
+            return []
+        paths = [str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")]
+        return [r[0] for r in self.spark.read.text(paths, wholetext=True).collect()] if paths else []

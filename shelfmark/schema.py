@@ -347,26 +347,28 @@ def _kind_like(value: Any) -> str:
     return DOUBLE if isinstance(value, (int, float)) else TEXT_KEYWORD
 
 
-#: Levels of undeclared objects and lists whose texts a search covers.
-TEXT_DEPTH = 4
+def undeclared_texts(value: Column) -> Column:
+    """All strings inside a variant, at every depth, as an array.
 
+    They are read off its JSON text, whose strings are keys where a colon follows. The
+    characters 1 and 2, which JSON text never holds, stand for escaped backslashes and
+    quotes meanwhile, so that the quotes left are the ends of strings.
+    """
+    plain = F.replace(F.replace(F.to_json(value), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    strings = F.filter(F.regexp_extract_all(plain, F.lit('("[^"]*+":?)'), F.lit(1)), lambda s: ~F.endswith(s, F.lit(":")))
+    whole = F.transform(strings, lambda s: F.replace(F.replace(s, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\")))
+    texts = F.transform(whole, lambda s: F.try_variant_get(F.try_parse_json(s), "$", "string"))
+    return F.coalesce(texts, F.array().cast("array<string>"))
 
-def undeclared_texts(value: Column, depth: int = TEXT_DEPTH) -> Column:
-    """All strings inside a variant, as an array."""
-    kind = F.schema_of_variant(value)
-    none = F.array().cast("array<string>")
-    own = F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string")))
-    if not depth:
-        return F.coalesce(own, none)
-    entries = F.coalesce(
-        F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), F.try_variant_get(value, "$", "array<variant>")
-    )
-    below = F.flatten(F.transform(entries, lambda e: undeclared_texts(e, depth - 1)))
-    return F.coalesce(own, below, none)
+
+def _step(name: str) -> str:
+    """A name as a step of a variant path, in the quotes that it does not hold itself."""
+    quote = '"' if "'" in name else "'"
+    return f"[{quote}{name}{quote}]"
 
 
 def _undeclared(path: str, parts: list[str], kind: str) -> Path:
-    steps = "".join("['" + p.replace("'", "") + "']" for p in parts)
+    steps = "".join(_step(p) for p in parts)
     dtype: T.DataType = T.StringType()
     if kind == BOOLEAN:
         dtype = T.BooleanType()

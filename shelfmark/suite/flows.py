@@ -156,3 +156,67 @@ def page_after(spark, sf):
     order = [("Price", "desc")]
     mark = page(df, order, limit=1, offset=99).select("Price", "id").first()
     return after(df, [mark["Price"], mark["id"]], order, limit=50).select("id", F.col("Price").alias("price"))
+
+
+CHANGED = f"""WITH c AS (SELECT id, record_id AS r, search_name, price FROM ({CATALOG_SQL}))
+SELECT id, CASE WHEN r % 9 = 0 OR r % 8 <> 0 THEN r END AS record_id,
+  CASE WHEN r % 9 <> 0 AND r % 8 = 0 THEN 'back' ELSE search_name END AS search_name,
+  CASE WHEN r % 9 = 0 THEN 1 WHEN r % 8 = 0 THEN NULL WHEN r % 3 = 0 THEN r WHEN r % 5 = 0 THEN price + 100 ELSE price END AS price
+FROM c WHERE r % 9 = 0 OR r % 8 = 0 OR r % 4 <> 0
+UNION ALL SELECT 'N' || r, r, search_name, price + 100 FROM c WHERE r % 10 = 0"""
+
+
+def changed_catalog(spark, sf, name):
+    """The catalog as a version with five batches of changes beside it."""
+    store = BlueGreenCatalog(spark, work_path(spark, name))
+    df = catalog(spark, sf, categories=False).select("id", "RecordId", "SearchName", "Price")
+    store.deploy("shop", df, rg.AUTO_SWAP, unique=True, text_fields=None)
+    number = F.col("RecordId")
+    dearer = df.filter(number % 5 == 0).withColumn("Price", F.col("Price") + 100)
+    fresh = dearer.filter(number % 10 == 0).withColumn("id", F.concat(F.lit("N"), number.cast("string")))
+    store.write_changes("shop", upserts=dearer.unionByName(fresh))
+    priced = F.parse_json(F.concat(F.lit('{"Price": '), number.cast("string"), F.lit("}")))
+    store.write_changes("shop", patches=df.filter(number % 3 == 0).select("id", priced.alias("patch")))
+    store.write_changes("shop", deletes=df.filter(number % 4 == 0).select("id"))
+    renamed = df.filter(number % 8 == 0).select("id", F.parse_json(F.lit('{"SearchName": "back"}')).alias("patch"))
+    store.write_changes("shop", patches=renamed)
+    store.write_changes("shop", upserts=df.filter(number % 9 == 0).withColumn("Price", F.lit(1.0)))
+    return store
+
+
+def changed_rows(store):
+    return store.table("shop").select(
+        "id", F.col("RecordId").alias("record_id"), F.col("SearchName").alias("search_name"), F.col("Price").alias("price")
+    )
+
+
+@query(CHANGED)
+def change_merged(spark, sf):
+    """Whole, partial and deleted documents beside a version, merged when it is read."""
+    return changed_rows(changed_catalog(spark, sf, "change-merged"))
+
+
+@query(f"SELECT *, CAST(0 AS BIGINT) AS pending, 'green' AS color FROM ({CHANGED})")
+def change_compacted(spark, sf):
+    """The same changes merged into a new version, which has none beside it."""
+    store = changed_catalog(spark, sf, "change-compacted")
+    state = store.compact("shop")
+    pending = len(store.changes("shop", state.active_version).entries())
+    return changed_rows(store).select("*", F.lit(pending).cast("bigint").alias("pending"), F.lit(state.active_color).alias("color"))
+
+
+@query(f"""WITH c AS (SELECT id, record_id AS r FROM ({CATALOG_SQL}))
+SELECT id, CASE WHEN r % 11 = 0 THEN 'changed' ELSE 'stored' END AS found_in FROM c WHERE r % 11 = 0 OR (r % 7 = 3 AND r % 13 <> 0)""")
+def indexed_changes(spark, sf):
+    """A default search after changes: words deep inside undeclared objects, from the stored index and from the changes."""
+    store = BlueGreenCatalog(spark, work_path(spark, "indexed-changes"))
+    number = F.col("RecordId")
+    deep = F.concat(F.lit('{"a": ' * 12 + '"'), F.when(number % 7 == 3, F.lit("crimson")).otherwise(F.lit("plain")), F.lit('"' + "}" * 12))
+    df = catalog(spark, sf, categories=False).select("id", "RecordId", "SearchName", F.parse_json(deep).alias("_extra"))
+    store.deploy("shop", df, rg.AUTO_SWAP, unique=True)
+    store.write_changes("shop", deletes=df.filter(number % 13 == 0).select("id"))
+    words = F.parse_json(F.lit('{"note": {"to": ["find", "Crimson"]}}')).alias("patch")
+    store.write_changes("shop", patches=df.filter(number % 11 == 0).select("id", words))
+    found = store.search_text("shop", "crimson", highlight=False, fuzziness=0).matches
+    changed = F.regexp_extract("id", r"(\d+)", 1).cast("bigint") % 11 == 0
+    return found.select("id", F.when(changed, "changed").otherwise("stored").alias("found_in"))

@@ -443,3 +443,42 @@ def upsert_new_fields(spark, sf):
         "id", F.col("RecordId").alias("record_id"), F.col("Price").alias("price"),
         F.try_variant_get("_extra", "$.Shade", "string").alias("shade"),
     )
+
+
+OPEN_PATCHES = """patches AS (SELECT 'P' || (l_partkey + 20 * CAST(l_quantity = 50 AS BIGINT)) AS id,
+    row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS o,
+    l_suppkey % 5 AS form, CAST(l_linenumber AS BIGINT) AS line FROM lineitem)"""
+
+
+@query(f"""WITH {OPEN_PATCHES}, catalog AS ({CATALOG_SQL}), p AS (SELECT id,
+    coalesce(max(o) FILTER (form = 0), 0) AS b_o, arg_max(line, o) FILTER (form = 0) AS b,
+    coalesce(max(o) FILTER (form = 1), 0) AS y_o, arg_max(line, o) FILTER (form = 1) AS y,
+    coalesce(max(o) FILTER (form = 2), 0) AS null_o, coalesce(max(o) FILTER (form = 3), 0) AS seven_o,
+    coalesce(max(o) FILTER (form = 4), 0) AS flat_o, arg_max(line, o) FILTER (form = 4) AS k FROM patches GROUP BY id),
+  j AS (SELECT coalesce(c.id, p.id) AS id, record_id, coalesce(b_o, 0) AS b_o, b, coalesce(y_o, 0) AS y_o, y,
+    coalesce(null_o, 0) AS null_o, coalesce(seven_o, 0) AS seven_o, coalesce(flat_o, 0) AS flat_o, k FROM catalog c FULL JOIN p ON p.id = c.id)
+SELECT id, CASE WHEN null_o = 0 THEN record_id END AS a, CASE WHEN b_o > null_o THEN b END AS b,
+  CASE WHEN null_o = 0 AND seven_o = 0 AND record_id IS NOT NULL THEN CAST(1 AS BIGINT) END AS deep_x,
+  CASE WHEN y_o > greatest(null_o, seven_o) THEN y END AS deep_y,
+  CASE WHEN seven_o > greatest(null_o, y_o) THEN CAST(7 AS BIGINT) END AS deep,
+  CASE WHEN flat_o = 0 THEN record_id END AS flat, CASE WHEN flat_o > 0 THEN k END AS flat_k FROM j""")
+def patch_open_objects(spark, sf):
+    """Partial documents of undeclared objects: they merge at every depth, values and nulls replace what was below."""
+    number = F.col("RecordId").cast("string")
+    held = F.concat(F.lit('{"Nested": {"a": '), number, F.lit(', "deep": {"x": 1}}, "Flat": '), number, F.lit("}"))
+    base = catalog(spark, sf, categories=False).select("id", "RecordId", F.parse_json(held).alias("_extra"))
+    line, form = F.col("l_linenumber").cast("string"), F.col("l_suppkey") % 5
+    text = (
+        F.when(form == 0, F.concat(F.lit('{"Nested": {"b": '), line, F.lit("}}")))
+        .when(form == 1, F.concat(F.lit('{"Nested": {"deep": {"y": '), line, F.lit("}}}")))
+        .when(form == 2, F.lit('{"Nested": null}'))
+        .when(form == 3, F.lit('{"Nested": {"deep": 7}}'))
+        .otherwise(F.concat(F.lit('{"Flat": {"k": '), line, F.lit("}}")))
+    )
+    part = F.col("l_partkey") + F.when(F.col("l_quantity") == 50, 20).otherwise(0)
+    patches = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("P"), part.cast("string")).alias("id"), *PATCH_ORDER, F.parse_json(text).alias("patch")
+    )
+    done = wr.patch(base, patches, PATCH_ORDER)
+    at = {"a": "Nested.a", "b": "Nested.b", "deep_x": "Nested.deep.x", "deep_y": "Nested.deep.y", "deep": "Nested.deep", "flat": "Flat", "flat_k": "Flat.k"}
+    return done.select("id", *[F.try_variant_get("_extra", f"$.{path}", "bigint").alias(name) for name, path in at.items()])
