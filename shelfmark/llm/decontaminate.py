@@ -7,7 +7,9 @@ its rarest half, so an item that was copied very often keeps seeds too. A second
 finds seeds in documents. Where ``hits`` different seeds of an item lie close to one
 diagonal (the same shift between document and item), the passage around them is aligned
 with the item word by word: a match scores 2, a mismatch or a gap -1. The score over its
-possible maximum tells exact (1.0), edited and paraphrased copies from chance.
+possible maximum tells exact (1.0), edited and paraphrased copies from chance. Items of up
+to 12 words need fewer seeds, one up to 8 words; items of 5 to 8 words have to be there but
+for one edit; an excerpt that scores as 16 equal words counts however long its item is.
 
 Items are the small side and are sent to the tasks in blocks of bounded size; each
 block is one pass over the documents. Documents stay where they are: no shuffle but
@@ -35,6 +37,12 @@ from shelfmark.llm.frames import row_slabs, text_bytes, texts
 #: Bytes of item text sent to the tasks at once.
 BLOCK_BYTES = 4 << 20
 _SIEVE = 1 << 22
+#: Documents that may hold a seed in any case.
+RARE = 16
+#: Words of an item up to which all but one edit has to be there.
+SHORT = 8
+#: Words of an excerpt that count whatever the length of its item.
+EXCERPT = 16
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +95,7 @@ class Items:
         rank = np.arange(len(order)) - np.repeat(begin, end - begin)
         size = np.repeat(end - begin, end - begin)
         kept = np.zeros(len(order), bool)
-        kept[order] = (count[order] <= share * documents) | (rank < np.maximum(8, (size + 1) // 2))
+        kept[order] = (count[order] <= max(RARE, share * documents)) | (rank < np.maximum(8, (size + 1) // 2))
         left = np.flatnonzero(kept)
         distinct, first = np.unique(gram[left], return_index=True)
         return Items(
@@ -166,7 +174,9 @@ def contaminated(words: np.ndarray, doc: np.ndarray, items: Items, sieve: np.nda
     both = np.unique(cluster * (int(size.max()) + 1) + inside) // (int(size.max()) + 1)
     different = np.bincount(both, minlength=cluster[-1] + 1)
     first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
-    wanted = np.minimum(hits, np.maximum(1, size[item[first]] - items.sizes[-1] + 1))
+    # a short item with one word edited keeps few seeds, perhaps one
+    long = size[item[first]]
+    wanted = np.minimum(hits, np.where(long <= SHORT, np.where(long <= 4, np.maximum(1, long - items.sizes[-1] + 1), 1), np.maximum(1, (long - 4) // 3)))
     base = np.searchsorted(doc, np.arange(doc[-1] + 2))
     best: dict[tuple[int, int], tuple] = {}
     for c in np.flatnonzero(different >= wanted):
@@ -176,11 +186,22 @@ def contaminated(words: np.ndarray, doc: np.ndarray, items: Items, sieve: np.nda
         hi = min(int(base[r + 1]), int(shift[last[c]]) + int(size[i]) + pad)
         top, begin, end = align(words[lo:hi], items.words[i])
         part = top / (2 * int(size[i]))
-        if part >= score and part > best.get((r, i), (0, 0, 0.0))[2]:
+        if _counts(top, int(size[i]), score) and part > best.get((r, i), (0, 0, 0.0))[2]:
             best[r, i] = (r, i, part, lo + begin - int(base[r]), lo + end - int(base[r]))
     return list(best.values())
 
 
+def _counts(top: int, size: int, score: float) -> bool:
+    """Whether an alignment is a leak: a share of the item, or an excerpt of so many words at the full score.
+
+    A short item has to be there but for one edit; by its share alone, a few common words would do.
+    """
+    least = 2 * size * score
+    if 4 < size <= SHORT:
+        least = max(least, 2 * (size - 1) - 1)
+    return top >= min(least, 2 * EXCERPT)
+
+
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, seed: int) -> Iterator[Items]:
     rows = items.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.filter("text is not null")

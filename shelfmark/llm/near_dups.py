@@ -1,13 +1,15 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 A document's set is its distinct word shingles (ASCII lower case). Its signature has
-``trees * depth`` MinHash values; each tree has a path of its own ``depth`` values. Sets whose paths share the first ``min_depth`` values are in one region and are
-candidates; the depth is the same for all regions.
+``trees * depth`` MinHash values; each tree has a path of its own ``depth`` values.
 
 1. Sets: one pass gives set size, a 128-bit hash of the set, and the signature. Equal
-   sets are merged (a partial aggregation), so copies count once from here on.
-2. Regions: the sets that share the first ``min_depth`` values of a tree. Most sets
-   share none and are done. Regions of the same members are one.
+   sets are one node (a partial aggregation), so copies count once from here on.
+2. Regions: the paths of every tree are sorted, and the common prefix of neighbours is
+   measured. Neighbours that share ``min_depth`` values or more are in one region; its own
+   depth is the least common prefix in it, and of regions with the same members the deepest
+   stays. Most nodes share less with both neighbours and are done. A crowded region is not
+   made deeper, which would lose links, but cut into blocks that meet in pairs.
 3. Links: the full sets of a region meet, and every pair is counted exactly over an
    inverted list. A region of more than ``block`` sets is cut by a hash of the node into
    parts of about ``block`` sets, however alike their signatures are, and the parts then
@@ -21,7 +23,7 @@ lone pair just at the threshold (depth 4 at 0.85, 3 at 0.8), and less above it.
 
 Defined results: texts with fewer words than a shingle are one shingle of all their
 words; null, empty and blank texts have an empty set and stand alone; rows that repeat
-an id are one node; a null id stands alone. Other columns are not read.
+an id are one document, with the links of all its texts; a null id stands alone. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -97,6 +99,16 @@ def _pieces(begin: np.ndarray, end: np.ndarray, size: int) -> Iterator[tuple[int
         a = b
 
 
+def set_hashes(offsets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row's set."""
+    sums = []
+    for salt in (3, 5):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(H.mix(h * np.uint64(salt) + np.uint64(salt)), out=total[1:])
+        sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
+    return sums[0], sums[1]
+
+
 _SETS = "doc long, n long, one long, two long, signature binary"
 
 
@@ -106,11 +118,7 @@ def _sets(shingle: int):
             for a, b in row_slabs(batch.column(1)):
                 offsets, h = shingle_sets(batch.column(1).slice(a, b - a), shingle)
                 mark = signatures(offsets, h)
-                sums = []
-                for salt in (3, 5):
-                    total = np.zeros(len(h) + 1, np.uint64)
-                    np.cumsum(H.mix(h * np.uint64(salt) + np.uint64(salt)), out=total[1:])
-                    sums.append(pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64), pa.int64()))
+                sums = [pa.array(x, pa.int64()) for x in set_hashes(offsets, h)]
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(a, b - a),
@@ -124,40 +132,77 @@ def _sets(shingle: int):
     return fn
 
 
-def _paths(min_depth: int):
-    """One row per tree: the region (tree and first values) and the rest of the path."""
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per tree: the tree and the path of the node in it, in bytes that sort as its values do."""
+    for batch in batches:
+        mark = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch) * TREES, DEPTH)
+        yield pa.record_batch(
+            [
+                pa.array(np.tile(np.arange(TREES), len(batch)), pa.int32()),
+                pa.array([r.tobytes() for r in mark.astype(">u4")], pa.binary()),
+                pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES), pa.int64()),
+            ],
+            names=["tree", "path", "node"],
+        )
+
+
+def _neighbours(min_depth: int):
+    """Of sorted paths those that share ``min_depth`` values with a neighbour, with their region and depth.
+
+    The last row waits for its right neighbour. The first and the last row of a partition
+    are kept, as their neighbours lie in others.
+    """
+
+    def rows(tree: np.ndarray, path: np.ndarray, node: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
+        region = np.zeros(len(node), np.uint64)
+        for k in range(min_depth):
+            region = H.mix(region * H.BASE[0] + path[:, k] + np.uint64(1))
+        region = H.mix(region + tree.astype(np.uint64) * H.BASE[1]).view(np.int64)
+        return pa.record_batch([pa.array(node, pa.int64()), pa.array(region, pa.int64()), pa.array(depth, pa.int32())], names=["node", "region", "depth"])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            mark = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), TREES, DEPTH)
-            region = np.full((len(batch), TREES), 0, np.uint64)
-            for k in range(min_depth):
-                region = H.mix(region * H.BASE[0] + mark[:, :, k] + np.uint64(1))
-            region = H.mix(region + np.arange(TREES, dtype=np.uint64) * H.BASE[1])
-            rest = mark[:, :, min_depth:].reshape(-1, DEPTH - min_depth).astype(">u4")
-            yield pa.record_batch(
-                [
-                    pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES), pa.int64()),
-                    pa.array(region.view(np.int64).ravel(), pa.int64()),
-                    pa.array([r.tobytes() for r in rest], pa.binary()),
-                ],
-                names=["node", "region", "path"],
-            )
+            if not len(batch):
+                continue
+            tree, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            path = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint64)
+            before = min_depth  # the neighbour in the partition before is not known
+            if held is not None:
+                tree, path, node = (np.concatenate(x) for x in zip(held[:3], (tree, path, node)))
+                before = held[3]
+            same = (path[1:] == path[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            common = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+            left = np.append(before, common)
+            depth = np.maximum(left[:-1], common)
+            near = np.flatnonzero(depth >= min_depth)
+            yield rows(tree[near], path[near], node[near], depth[near])
+            held = tree[-1:], path[-1:], node[-1:], int(left[-1])
+        if held is not None:
+            yield rows(*held[:3], np.array([max(held[3], min_depth)]))
 
     return fn
 
 
 def forest_regions(nodes: DataFrame, min_depth: int) -> DataFrame:
-    """``node, region, path, members`` of every region with two sets at least, once for equal members."""
-    paths = nodes.select("node", "signature").mapInArrow(_paths(min_depth), "node long, region long, path binary")
-    paths = stored(paths, "paths")
-    crowd = paths.groupBy("region").agg(
+    """``node, region, members, depth`` of every region with two sets at least, once for equal members.
+
+    The paths of all trees are sorted; neighbours with a common prefix of ``min_depth``
+    values or more are in one region, whose own depth is the least among its neighbours.
+    """
+    paths = nodes.select("node", "signature").mapInArrow(_paths, "tree int, path binary, node long")
+    order = ["tree", "path", "node"]
+    paths = paths.repartitionByRange(*order).sortWithinPartitions(*order)
+    near = stored(paths.mapInArrow(_neighbours(min_depth), "node long, region long, depth int"), "neighbours")
+    crowd = near.groupBy("region").agg(
         F.count("*").alias("members"),
+        F.min("depth").alias("depth"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("one"),
         F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("two"),
     )
-    crowd = crowd.filter("members > 1").groupBy("members", "one", "two").agg(F.min("region").alias("region"))
-    return paths.join(crowd.select("region", "members"), "region")
+    # of regions with the same members one is enough: the deepest
+    crowd = crowd.filter("members > 1").groupBy("members", "one", "two").agg(F.max(F.struct("depth", "region")).alias("r"))
+    return near.drop("depth").join(crowd.select("r.region", "members", "r.depth"), "region")
 
 
 def depth_for(percent: int) -> int:
@@ -260,13 +305,13 @@ def spanning_links(sets: list[np.ndarray], split: int, part: int, whole: int) ->
 
 
 def placed_in_blocks(regions: DataFrame, block: int, pools: int) -> DataFrame:
-    """``doc, place`` of every region member: its task, and its block among those of the region.
+    """``node, place`` of every region member: its task, and its block among those of the region.
 
     The block is a hash of the node, so that blocks stay about even where all signatures agree.
     """
     blocks = F.ceil(F.col("members") / block)
     return regions.select(
-        F.col("node").alias("doc"),
+        "node",
         F.struct(
             "region",
             # small regions share tasks; a crowded one has tasks of its own
@@ -289,7 +334,9 @@ def _members(shingle: int):
                 offsets, h = shingle_sets(batch.column(1).slice(a, b - a), shingle)
                 out: list[list] = [[] for _ in range(7)]
                 node, places = batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist()
-                for i in range(b - a):
+                # of the texts of an id, the one whose set the class has
+                own_set = [x == batch.column(k).slice(a, b - a).to_numpy() for k, x in zip((3, 4), set_hashes(offsets, h))]
+                for i in np.flatnonzero(own_set[0] & own_set[1]).tolist():
                     items = h[offsets[i] : offsets[i + 1]].tobytes()
                     for place in places[i]:
                         own = place["block"]
@@ -341,23 +388,30 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept``: classes of documents linked at ``percent`` Jaccard or more."""
     rows = texts(docs, id_col, text_col)
     sets = stored(rows.mapInArrow(_sets(shingle), _SETS), "sets")
-    # equal sets are one node, named by its least document
     full = sets.filter("n > 0 and doc is not null")
+    # equal sets are one node, whatever their ids; its text is that of its least document.
     # written first: a join of two shuffles can split a crowd of copies, one with an aggregate in it cannot
-    classes = stored(full.groupBy("one", "two", "n").agg(F.min("doc").alias("node")), "classes")
-    members = stored(full.select("doc", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc", "node"), "members")
-    nodes = full.join(members.filter("doc = node").select("doc").distinct(), "doc")
-    nodes = nodes.groupBy(F.col("doc").alias("node")).agg(F.first("signature").alias("signature"))
+    same = ["one", "two", "n"]
+    nodes = full.groupBy(*same).agg(F.min("doc").alias("least"), F.first("signature").alias("signature"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = stored(full.select("doc", *same).join(nodes.select(*same, "node", "least"), same).select("doc", "node", "least").distinct(), "members")
     regions = forest_regions(nodes, min_depth or depth_for(percent))
     pools = max(1, total_bytes(rows) // GROUP_BYTES)
     placed = placed_in_blocks(regions, block, pools)
-    placed = placed.groupBy("doc").agg(F.collect_list("place").alias("places"))  # at most one per tree
+    placed = placed.groupBy("node").agg(F.collect_list("place").alias("places"))  # at most one per tree
+    placed = placed.join(nodes.select("node", "least", "one", "two"), "node").withColumnRenamed("least", "doc")
     # merge: the same plan whatever the size of the smaller side
-    items = rows.join(placed.hint("merge"), "doc").select("doc", "text", "places").mapInArrow(_members(shingle), _ITEM)
+    items = rows.join(placed.hint("merge"), "doc").select("node", "text", "places", "one", "two").mapInArrow(_members(shingle), _ITEM)
     links = items.groupBy("task", "low", "high").applyInArrow(_link(percent, 100), "a long, b long")
-    classes = components(links)
-    joined = members.join(classes.withColumnRenamed("component", "least"), "node", "left")
-    joined = joined.select("doc", F.coalesce("least", "node").alias("component_id")).distinct()
+    # rows that repeat an id with other texts are one document: their nodes are linked
+    several = members.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
+    links = links.unionByName(members.join(several.select("doc", "a"), "doc").select("a", F.col("node").alias("b")))
+    linked = components(links)
+    linked = linked.join(nodes.select("node", "least"), "node")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = stored(linked.join(least, "component").select("node", "component_id"), "linked")
+    joined = members.join(linked, "node", "left")
+    joined = joined.select("doc", F.coalesce("component_id", "least").alias("component_id")).distinct()
     sized = sets.select("doc", "n")
     out = sized.join(joined, "doc", "left")
     return out.select(

@@ -2,8 +2,9 @@
 
 A piece of n tokens costs ``n + n * n / quadratic_at``: a linear part and a
 quadratic part for attention. The documents of a block are taken by descending cost; each goes
-to the sequence of least cost that has room for it. Where none has, it is cut to
-fill the emptiest sequences, so only the last sequence of a partition is padded;
+to the sequence of least cost among all that have room for it. Of a document as long as a
+sequence or longer, whole sequences are cut off first and its rest is balanced. Where no
+sequence has room, a document is cut to fill the least costly ones, so only the last sequence of a partition is padded;
 that last one is broken into power-of-two lengths, which need no padding.
 
 Each partition packs its own documents block by block, in one pass and without a
@@ -159,6 +160,48 @@ def piece_cost(n: int, quadratic_at: int) -> float:
     return n + n * n / quadratic_at
 
 
+class OpenSequences:
+    """Open sequences by room and cost: a tree over the rooms, each with a heap of its sequences."""
+
+    def __init__(self, room: int, number: int):
+        self.size = 1 << room.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.least = [_NONE] * (2 * self.size)
+        self.heaps[room] = [(0.0, b) for b in range(number)]
+        self._renew(room)
+
+    def _renew(self, room: int) -> None:
+        at = self.size + room
+        self.least[at] = (*self.heaps[room][0], room) if self.heaps[room] else _NONE
+        while at := at >> 1:
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def put(self, cost: float, sequence: int, room: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, sequence))
+            self._renew(room)
+
+    def take(self, n: int) -> tuple[float, int, int] | None:
+        """The least costly sequence with room for ``n``, of all that have it."""
+        low, high, found = self.size + n, 2 * self.size, _NONE
+        while low < high:
+            if low & 1:
+                found = min(found, self.least[low])
+                low += 1
+            low, high = low >> 1, high >> 1
+        if found is _NONE:
+            return None
+        heapq.heappop(self.heaps[found[2]])
+        self._renew(found[2])
+        return found
+
+    def rest(self) -> list[tuple[float, int]]:
+        return sorted(x for heap in self.heaps for x in heap)
+
+
+_NONE = (float("inf"), -1, -1)
+
+
 class Packer:
     """Places pieces into open sequences of ``room`` tokens."""
 
@@ -187,30 +230,20 @@ class Packer:
         bins = total // self.room
         held: list[list[tuple]] = [[] for _ in range(bins)]
         left = [self.room] * bins
-        cost = [0.0] * bins
-        queue = [(0.0, b) for b in range(bins)]
+        queue = OpenSequences(self.room, bins)
         over = []
         for item in items:
-            n, aside, placed = len(item[1]) // 4, [], False
-            while queue:
-                c, b = heapq.heappop(queue)
-                if left[b] >= n:
-                    held[b].append(item)
-                    left[b] -= n
-                    cost[b] = c + piece_cost(n, self.at)
-                    if left[b]:
-                        heapq.heappush(queue, (cost[b], b))
-                    placed = True
-                    break
-                aside.append((c, b))
-                if len(aside) == 64:  # the cheapest are full: this one is cut
-                    break
-            for x in aside:
-                heapq.heappush(queue, x)
-            if not placed:
+            n = len(item[1]) // 4
+            found = queue.take(n)
+            if found is None:
                 over.append(item)
+                continue
+            cost, b, _ = found
+            held[b].append(item)
+            left[b] -= n
+            queue.put(cost + piece_cost(n, self.at), b, left[b])
         # what found no room is cut to fill what is left, the least costly sequence first
-        queue = sorted(queue)
+        queue = queue.rest()
         at = 0
         for doc, ids, start, whole in over:
             while ids and at < len(queue):
