@@ -9,7 +9,7 @@ stage, for they have no language.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.decontaminate import without_leaks
@@ -37,6 +37,17 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
+def _without_broken_characters(text: Column) -> Column:
+    """Text without the parts of cut characters; replacement characters of its own stay.
+
+    Those are written as a noncharacter and a letter meanwhile, as is the noncharacter.
+    """
+    mark, broken = "\ufdd0", "\ufffd"
+    own = F.replace(F.replace(text, F.lit(mark), F.lit(mark + "a")), F.lit(broken), F.lit(mark + "b"))
+    valid = F.translate(F.make_valid_utf8(own), broken, "")
+    return F.replace(F.replace(valid, F.lit(mark + "b"), F.lit(broken)), F.lit(mark + "a"), F.lit(mark))
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings of 100 bytes; a document of which nothing is left goes.
 
@@ -44,7 +55,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     found = remove_repeats(docs, window=100, carry=True)
     whole = F.col("kept").cast("string")
-    cut = F.translate(F.make_valid_utf8(whole), "�", "")
+    cut = _without_broken_characters(whole)
     found = found.withColumn("_text", F.when(F.col("n_removed") > 0, cut).otherwise(whole))
     found = found.filter((F.col("n_removed") == 0) | (F.col("_text") != ""))
     length = F.when(F.col("n_removed") > 0, F.length("_text").cast("bigint")).otherwise(F.col("rest.n_chars"))
