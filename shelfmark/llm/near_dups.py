@@ -44,6 +44,8 @@ TREES, DEPTH = 16, 8
 MISS = 2e-5
 #: Sets that one block of a region holds, about.
 BLOCK = 1500
+#: Bytes of sets that are sent on at once.
+MEMBER_BYTES = 8 << 20
 _RNG = np.random.default_rng(97)
 _A = (_RNG.integers(1, 1 << 32, TREES * DEPTH, np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
@@ -325,6 +327,13 @@ def placed_in_blocks(regions: DataFrame, block: int, pools: int) -> DataFrame:
 _ITEM = "task long, low long, high long, node long, region long, block long, items binary"
 
 
+def _item_batch(out: list[list]) -> pa.RecordBatch:
+    return pa.record_batch(
+        [*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())],
+        names=["task", "low", "high", "node", "region", "block", "items"],
+    )
+
+
 def _members(shingle: int):
     """Full sets of region members, one row for each task that needs them."""
 
@@ -333,21 +342,23 @@ def _members(shingle: int):
             for a, b in row_slabs(batch.column(1)):
                 offsets, h = shingle_sets(batch.column(1).slice(a, b - a), shingle)
                 out: list[list] = [[] for _ in range(7)]
-                node, places = batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist()
+                held = 0
+                node, places = batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a)
                 # of the texts of an id, the one whose set the class has
                 own_set = [x == batch.column(k).slice(a, b - a).to_numpy() for k, x in zip((3, 4), set_hashes(offsets, h))]
                 for i in np.flatnonzero(own_set[0] & own_set[1]).tolist():
                     items = h[offsets[i] : offsets[i + 1]].tobytes()
-                    for place in places[i]:
+                    for place in places[i].as_py():
                         own = place["block"]
                         for other in range(place["blocks"]):
                             row = (place["task"], min(own, other), max(own, other), node[i], place["region"], own, items)
                             for column, value in zip(out, row):
                                 column.append(value)
-                yield pa.record_batch(
-                    [*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())],
-                    names=["task", "low", "high", "node", "region", "block", "items"],
-                )
+                            held += len(items) + 100
+                            if held > MEMBER_BYTES:  # a set may be wanted by many tasks
+                                yield _item_batch(out)
+                                out, held = [[] for _ in range(7)], 0
+                yield _item_batch(out)
 
     return fn
 
