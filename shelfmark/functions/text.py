@@ -96,3 +96,32 @@ def edit_distance(c: Column, term: str, limit: int) -> Column:
 def _bounded(c: Column, word: str, limit: int) -> Column:
     d = F.levenshtein(c, F.lit(word), limit)
     return F.when(d >= 0, d)
+
+
+#: Terms beyond this length have no deletions of their own, but share one mark.
+LONGEST = 24
+LONG_MARK = "\u0000long"
+
+
+def deletions(term: Column) -> Column:
+    """A term, and what is left of it without one or two of its characters.
+
+    Two terms within two edits of each other, a swap being one, have such a rest in common.
+    """
+
+    def less(t: Column) -> Column:
+        some = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
+        return F.transform(some, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+
+    once = F.transform(F.array(less(term)), lambda x: x)[0]
+    every = F.array_distinct(F.flatten(F.array(F.array(term), once, F.flatten(F.transform(once, less)))))
+    return F.when(F.length(term) <= LONGEST, every).otherwise(F.array(F.lit(LONG_MARK)))
+
+
+def deletions_of(term: str, edits: int) -> set[str]:
+    """The stored rests at which terms within so many edits of ``term`` are found."""
+    rests = level = {term}
+    for _ in range(edits):
+        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
+        rests = rests | level
+    return rests | ({LONG_MARK} if len(term) + edits > LONGEST else set())

@@ -11,26 +11,22 @@ from shelfmark.functions import scalar as sc
 def lookup(catalog: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """For each key the product with that id, else the first with that record number.
 
-    Both joins run on their own key and the better match is kept by an
-    aggregation, so neither waits for the other and a record number shared by
-    many products is combined before it is shuffled. A key without a match has a
+    The choice is made on ids and record numbers alone: both joins run on their own key,
+    and the better match is kept by an aggregation, so a record number shared by many
+    products is combined before it is shuffled. Whole products are fetched once, for the
+    chosen ids. Ids are unique, as in a published version. A key without a match has a
     null ``product``.
     """
     wanted = keys.select(F.col(key)).distinct()
     numbered = wanted.select(key, sc.numeric_key(F.col(key)).alias("_number")).filter("_number is not null")
-    product = F.struct(*[F.col(c) for c in catalog.columns]).alias("product")
-    by_id = catalog.join(wanted, catalog["id"] == wanted[key]).select(
-        key, F.lit(0).alias("_pass"), product
-    )
-    by_number = catalog.join(numbered, catalog["RecordId"] == numbered["_number"]).select(
-        key, F.lit(1).alias("_pass"), product
-    )
-    best = (
-        by_id.unionByName(by_number)
-        .groupBy(key)
-        .agg(F.min_by("product", F.struct("_pass", "product.id")).alias("product"))
-    )
-    return wanted.join(best, key, "left")
+    known = catalog.select(F.col("id").alias("_id"), F.col("RecordId").alias("_record"))
+    by_id = known.join(wanted, known["_id"] == wanted[key]).select(key, F.lit(0).alias("_pass"), "_id")
+    by_number = known.join(numbered, known["_record"] == numbered["_number"]).select(key, F.lit(1).alias("_pass"), "_id")
+    best = by_id.unionByName(by_number).groupBy(key).agg(F.min(F.struct("_pass", "_id")).alias("_best"))
+    chosen = wanted.join(best, key, "left").select(key, F.col("_best._id").alias("_id"))
+    product = F.struct(*[F.col(f"`{c}`") for c in catalog.columns])
+    rows = catalog.select(F.col("id").alias("_found"), product.alias("product"))
+    return chosen.join(rows, chosen["_id"] == rows["_found"], "left").select(key, "product")
 
 
 def newest_version(names: DataFrame, alias: str = "alias", name: str = "name") -> DataFrame:

@@ -178,3 +178,9 @@ def mistyped(actual: T.DataType, declared: T.DataType, path: str = "") -> list[s
 def passed(report: DataFrame) -> bool:
     """Whether no failing check is left in an audit of a few rows."""
     return report.filter("severity = 'fail' and not passed").isEmpty()
+
+
+def health(report: DataFrame) -> str:
+    """``red`` where a check failed that a version must pass, ``yellow`` where another did, else ``green``."""
+    failed = {r["severity"] for r in report.filter("not passed").select("severity").collect()}
+    return "red" if "fail" in failed else "yellow" if failed else "green"

@@ -12,11 +12,11 @@ def document_count(version: DataFrame) -> DataFrame:
     return version.agg(F.count(F.lit(1)).alias("documents"))
 
 
-def version_stats(version: DataFrame) -> DataFrame:
+def version_stats(version: DataFrame, health: str = "green") -> DataFrame:
     """Documents, files, bytes and readable size of a table read from files.
 
-    Rows are counted per file first, so a file's size is taken once. A table that
-    can be read is healthy; rates of a running server have no counterpart here.
+    Rows are counted per file first, so a file's size is taken once. ``health`` comes
+    from the audit (``registry.health``); rates of a running server have no counterpart here.
     """
     per_file = version.groupBy(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")
@@ -31,5 +31,5 @@ def version_stats(version: DataFrame) -> DataFrame:
         "files",
         "bytes",
         sc.human_bytes(F.col("bytes")).alias("store_size"),
-        F.lit("green").alias("health"),
+        F.lit(health).alias("health"),
     )

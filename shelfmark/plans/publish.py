@@ -190,7 +190,13 @@ class BlueGreenCatalog:
         return self.table(alias, version).count()
 
     def stats(self, alias: str, version: str | None = None) -> DataFrame:
-        return rp.version_stats(self.table(alias, version))
+        """Documents as readers see them, files, bytes, and the health that the audit finds."""
+        found = self.resolve(alias, version)
+        stored = self._stored(alias, found)
+        out = rp.version_stats(stored, rg.health(rg.audit(stored, key=self.key)))
+        if self.changes(alias, found).entries():
+            out = out.withColumn("documents", F.lit(self.count(alias, found)).cast("bigint"))
+        return out
 
     # --- staging -----------------------------------------------------------------------------
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions import text as tx
 from shelfmark.operators import facets as fc
 from shelfmark.operators import relevance as rv
 from shelfmark.schema import CatalogSchema
@@ -38,7 +39,10 @@ def facets_of(
 
 
 def write_text_index(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
-    """Counted occurrences, sorted by term so that row groups of other terms are skipped.
+    """Counted occurrences, sorted by term so that row groups of other terms are skipped, and the vocabulary.
+
+    A term of the vocabulary is stored under each rest that deleting up to two of its
+    characters leaves, so that fuzzy terms are found by equality.
 
     The range runs over (term, id): a term that most documents hold spreads over
     many files instead of filling one.
@@ -51,6 +55,12 @@ def write_text_index(df: DataFrame, path: str, fields: Sequence[str] | None = No
         "overwrite"
     ).parquet(f"{path}/occurrences")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    stored = df.sparkSession.read.parquet(f"{path}/occurrences")
+    terms = stored.groupBy("analysis", "term").agg(F.count("*").alias("documents"))
+    variants = terms.select(F.explode(tx.deletions(F.col("term"))).alias("variant"), "analysis", "term", "documents")
+    # common rests spread over files, as common terms do
+    variants = variants.repartitionByRange("variant", "term").sortWithinPartitions("variant", "term")
+    variants.write.mode("overwrite").parquet(f"{path}/variants")
 
 
 def read_text_index(
@@ -62,6 +72,7 @@ def read_text_index(
         spark.read.parquet(f"{path}/occurrences").filter(F.col("field").isin(names)),
         spark.read.parquet(f"{path}/stats").filter(F.col("field").isin(names)),
         tuple((p.name, rv._analysis(p)) for p in paths),
+        spark.read.parquet(f"{path}/variants"),
     )
 
 
@@ -83,4 +94,5 @@ def extended(
     ]
     summed = moved[0].unionByName(moved[1]).unionByName(moved[2]).groupBy("field")
     stats = summed.agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs > 0")
-    return rv.TextIndex(occurrences, stats.withColumn("mean_length", F.col("total") / F.col("docs")), index.fields)
+    stats = stats.withColumn("mean_length", F.col("total") / F.col("docs"))
+    return rv.TextIndex(occurrences, stats, index.fields, index.variants, after.occurrences)

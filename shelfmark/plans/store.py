@@ -4,6 +4,7 @@
     {root}/{alias}/version={v}/facets      long facet rows, sorted by facet
     {root}/{alias}/version={v}/changes     changes made since, merged when the version is read
     {root}/{alias}/registry/{seq}.json     one publish event per file
+    {root}/{alias}/registry/checkpoint-{seq}.json    the events up to that one
 
 The log is the truth. Each entry takes the next number with an exclusive create,
 so of two writers that saw the same state one fails.
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 from shelfmark.operators.registry import REGISTRY
 
 
+#: Events after which all so far are put in one file.
+CHECKPOINT_EVERY = 100
+CHECKPOINT = "checkpoint-"
+
+
 class ConcurrentPublish(RuntimeError):
     """Another writer took the same place in the registry."""
 
@@ -61,18 +67,27 @@ class CatalogFiles:
         fs, p = self._fs(self._log(alias))
         if not fs.exists(p):
             return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        return max((int(n[:-5]) for n in self._names(p, fs) if n[0].isdigit()), default=0)
+
+    @staticmethod
+    def _names(p, fs) -> list[str]:
+        return [n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.endswith(".json")]
 
     def registry(self, alias: str) -> DataFrame:
         """All events of an alias; an entry that was cut off while being written raises when read.
 
-        One row per publish action of one alias: a single partition saves the shuffles.
+        The latest checkpoint and the entries after it, so that the number of files stays
+        small. One row per publish action of one alias: a single partition saves the shuffles.
         """
         log = self._log(alias)
         if not self.exists(log):
             return self.spark.createDataFrame([], REGISTRY)
-        rows = self.spark.read.schema(REGISTRY).option("mode", "FAILFAST").json(log).coalesce(1)
+        fs, p = self._fs(log)
+        names = sorted(self._names(p, fs))
+        marks = [n for n in names if n.startswith(CHECKPOINT)]
+        done = int(marks[-1][len(CHECKPOINT) : -5]) if marks else 0
+        paths = [f"{log}/{n}" for n in [*marks[-1:], *(n for n in names if n[0].isdigit() and int(n[:-5]) > done)]]
+        rows = self.spark.read.schema(REGISTRY).option("mode", "FAILFAST").json(paths).coalesce(1)
         return rows.withColumn(
             "seq", F.coalesce("seq", F.raise_error(F.lit(f"Registry of '{alias}' holds a broken entry")).cast("bigint"))
         )
@@ -100,8 +115,20 @@ class CatalogFiles:
             "label": label,
         }
         self.write_once(f"{self._log(alias)}/{seq:020d}.json", json.dumps(entry))
+        if seq % CHECKPOINT_EVERY == 0:
+            self._checkpoint(alias, seq)
         return seq
 
+    def _checkpoint(self, alias: str, seq: int) -> None:
+        """All events up to ``seq`` in one file, which appears whole; readers take it and what came later."""
+        lines = self.registry(alias).filter(F.col("seq") <= seq).orderBy("seq").toJSON().collect()
+        path = f"{self._log(alias)}/{CHECKPOINT}{seq:020d}.json"
+        draft = f"{path}.{uuid.uuid4().hex}"
+        self.write_once(draft, "\n".join(lines))
+        fs, p = self._fs(draft)
+        if not fs.rename(p, self._fs(path)[1]):  # another writer has made it
+            fs.delete(p, False)
+
     def write_once(self, path: str, line: str) -> None:
         """A new file with one line; if it exists, another writer was first."""
         fs, p = self._fs(path)

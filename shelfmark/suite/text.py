@@ -142,3 +142,14 @@ def search_all_fields(spark, sf):
     found = text_search(docs, "crimson nation", fuzziness=0).matches.select("id")
     words = F.split(F.lower(F.try_variant_get("_extra", "$.Parts[0].text", "string")), r"[^\p{L}\p{N}]+")
     return found.join(docs, "id").select("id", F.array_contains(words, "nation").alias("found"))
+
+
+@query(f"{TOKENS}{FUZZY}{SCORED} SELECT id, round(score, 6) AS score FROM best")
+def indexed_fuzzy(spark, sf):
+    """Fuzzy ranking from the stored index, its terms found by what deletions leave of them."""
+    df = documents(spark, sf)
+    path = work_path(spark, "fuzzy-index")
+    write_text_index(df, path, ["text", "source"])
+    stored = read_text_index(spark, path, CatalogSchema.of(df), ["text", "source"])
+    found = text_search(df, "thinat reon of", index=stored)
+    return found.matches.select("id", F.round("_score", 6).alias("score"))

@@ -215,3 +215,49 @@ def test_texts_of_every_depth_are_found(spark):
     assert {r.i: sorted(r.s) for r in got} == {i: sorted(strings(v)) for i, v in enumerate(values)}
     assert rows.select(undeclared_texts(F.lit(None).cast("variant")).alias("s")).first().s == []
     assert np.all([len(r.s) < 200 for r in got])
+
+
+def test_fuzzy_terms_come_from_the_stored_vocabulary(spark, catalog):
+    from shelfmark.functions import text as tx
+    from shelfmark.operators import relevance as rv
+    from shelfmark.plans.side_tables import read_text_index
+    from shelfmark.schema import CatalogSchema
+
+    names = ["kettle", "ketle", "tekttle", "kettles", "nettel", "k", "é" * 23 + "x", "ab" * 14, "ab" * 13 + "a", "two words", None, ""]
+    rows = make_products(spark, len(names)).withColumn("SearchName", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("RecordId").cast("int")))
+    catalog.deploy("shop", rows, rg.AUTO_SWAP, text_fields=["SearchName"])
+    path = f"{catalog.files.version_path('shop', catalog.resolve('shop'))}/text"
+    stored = read_text_index(spark, path, CatalogSchema.of(rows), ["SearchName"])
+    plain = rv.TextIndex.of(rows, ["SearchName"])
+    for query in ("kettle", "ktetle nettle", "é" * 24, "ab" * 14 + "b", "ba" + "ab" * 12, "k", "abababababababababababab"):
+        got = {tuple(r) for r in rv.near_terms(stored, query).collect()}
+        assert got == {tuple(r) for r in rv.near_terms(plain, query).collect()}, query
+    read = rv.near_terms(stored, "kettle")
+    assert all("/variants/" in f for f in read.inputFiles())
+    assert "In(variant" in read._jdf.queryExecution().executedPlan().toString()
+    some = spark.createDataFrame([(t,) for t in ("abc", "a", "", "aab", "x" * 25)], "t string")
+    got = {r.t: set(r.d) for r in some.select("t", tx.deletions(F.col("t")).alias("d")).collect()}
+    assert got == {t: tx.deletions_of(t, 2) if len(t) <= 24 else {tx.LONG_MARK} for t in got}
+
+
+def test_the_registry_is_read_from_its_checkpoint(spark, catalog, monkeypatch):
+    from shelfmark.plans import store
+
+    monkeypatch.setattr(store, "CHECKPOINT_EVERY", 4)
+    catalog.create_version("shop", "v0", "blue")
+    for i in range(10):
+        catalog.files.record("shop", rg.PUBLISH, "v0", "blue" if i % 2 else "green", "safe")
+    files = {r[0].rsplit("/", 1)[1] for r in catalog.files.registry("shop").select(F.input_file_name()).distinct().collect()}
+    assert files == {f"checkpoint-{8:020d}.json", *(f"{i:020d}.json" for i in (9, 10, 11))}
+    assert [r.seq for r in catalog.files.registry("shop").orderBy("seq").collect()] == list(range(1, 12))
+    assert catalog.files.last_seq("shop") == 11 and catalog.status("shop").active_color == "blue"
+
+
+def test_health_comes_from_the_audit(spark, catalog):
+    catalog.deploy("shop", make_products(spark, 3), rg.AUTO_SWAP, text_fields=None)
+    catalog.delete("shop", "test-2")
+    stats = catalog.stats("shop").first()
+    assert (stats["documents"], stats["health"]) == (2, "green") and stats["files"] >= 1
+    version = catalog.resolve("shop")
+    make_products(spark, 1).write.mode("append").parquet(catalog.files.data_path("shop", version))
+    assert catalog.stats("shop").first()["health"] == "red"  # an id is there twice
