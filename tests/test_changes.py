@@ -243,14 +243,21 @@ def test_fuzzy_terms_come_from_the_stored_vocabulary(spark, catalog):
 def test_the_registry_is_read_from_its_checkpoint(spark, catalog, monkeypatch):
     from shelfmark.plans import store
 
-    monkeypatch.setattr(store, "CHECKPOINT_EVERY", 4)
-    catalog.create_version("shop", "v0", "blue")
-    for i in range(10):
-        catalog.files.record("shop", rg.PUBLISH, "v0", "blue" if i % 2 else "green", "safe")
-    files = {r[0].rsplit("/", 1)[1] for r in catalog.files.registry("shop").select(F.input_file_name()).distinct().collect()}
+    def publish(alias, every):
+        monkeypatch.setattr(store, "CHECKPOINT_EVERY", every)
+        catalog.create_version(alias, "v0", "blue")
+        for i in range(10):
+            catalog.files.record(alias, rg.PUBLISH, "v0", "blue" if i % 2 else "green", "safe")
+        rows = catalog.files.registry(alias)
+        return rows, [(r.seq, r.action, r.version, r.color, r.strategy, r.label) for r in rows.orderBy("seq").collect()]
+
+    rows, events = publish("shop", 4)
+    files = {f.rsplit("/", 1)[1] for f in rows.inputFiles()}
     assert files == {f"checkpoint-{8:020d}.json", *(f"{i:020d}.json" for i in (9, 10, 11))}
-    assert [r.seq for r in catalog.files.registry("shop").orderBy("seq").collect()] == list(range(1, 12))
-    assert catalog.files.last_seq("shop") == 11 and catalog.status("shop").active_color == "blue"
+    assert [e[0] for e in events] == list(range(1, 12)) and events == publish("other", 1000)[1]
+    assert catalog.files.last_seq("shop") == 11
+    assert catalog.status("shop").active_color == catalog.status("other").active_color
+    assert [r["at"] is not None for r in rows.collect()] == [True] * 11
 
 
 def test_health_comes_from_the_audit(spark, catalog):
