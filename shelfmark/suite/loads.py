@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfmark.operators import ingest as ing
 from shelfmark.operators import writes as wr
 from shelfmark.runtime import spread, work_path
-from shelfmark.schema import PRODUCT
 from shelfmark.sources import products as src
 from shelfmark.sources.star import CATALOG_SQL, STREAM_ORDER, catalog, load_stream, table
 from shelfmark.suite import query
@@ -114,16 +112,13 @@ def product_lines(spark, sf):
     )
 
 
-SMALL_SCHEMA = T.StructType([f for f in PRODUCT.fields if f.name in ("id", "RecordId", "Name", "Price")])
-
-
 @query(f"""{LINES} SELECT batch, pos, l_partkey AS part, 'mapper_parsing_exception' AS type,
   CASE fault WHEN 5 THEN 'malformed JSON document' WHEN 4 THEN 'failed to parse field [RecordId] of type [long]'
     ELSE 'failed to parse field [Price] of type [double]' END AS reason, 400 AS status
 FROM lines WHERE fault IN (1, 4, 5)""")
 def quarantine(spark, sf):
     """Rows set aside with the reason; their neighbours pass."""
-    parsed = src.parse_lines(product_lines(spark, sf), SMALL_SCHEMA)
+    parsed = src.parse_lines(product_lines(spark, sf))
     return ing.failed_rows(parsed).select("batch", "pos", "part", "error.*")
 
 
@@ -169,7 +164,7 @@ def quarantine_nested(spark, sf):
 @query(f"""{LINES} SELECT batch, count(*) AS input, count(*) FILTER (fault NOT IN (1, 4, 5)) AS successful,
   count(*) FILTER (fault IN (1, 4, 5)) AS failed, true AS balanced FROM lines GROUP BY batch""")
 def reconcile(spark, sf):
-    return ing.reconcile(src.parse_lines(product_lines(spark, sf), SMALL_SCHEMA), ["batch"])
+    return ing.reconcile(src.parse_lines(product_lines(spark, sf)), ["batch"])
 
 
 @query("""SELECT o_orderkey, o_orderstatus AS status,
