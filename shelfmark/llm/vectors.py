@@ -15,21 +15,30 @@ on all bits of a band. Two vectors at the threshold differ in each bit with prob
 miss, and the width of a band grows with the logarithm of the largest label, so buckets
 stay small. A pair counts in the first band where it meets.
 
-Equal vectors of a label are merged first and counted by their number. A bucket with
-many vectors is cut into blocks that meet in pairs, so no task holds more than two.
+Equal vectors of a label are merged first and counted by their number. Codes are written
+once; only the places in the bands are grouped, and codes and vectors join the places that
+somebody shares. A bucket with many vectors is cut into blocks that meet in pairs, so no
+task holds more than two; small buckets share tasks of about ``TASK_ROWS`` rows, whatever
+the size of the table. A task computes its pairs exactly and gives back one row a vector:
+how many it links with there, and the least vector that its links lead to. So a dense
+cluster costs comparisons, but no rows of pairs.
 
 Defined results: a null label or vector, a zero vector, one with a null or non-finite
-component, or vectors of different length link with nothing; rows that repeat an id are one vector each but one node;
-a null id links with nothing. Other columns are not read.
+component, or vectors of different length link with nothing; a null id links with nothing.
+Rows that repeat an id are vectors of their own, but lead on to each other: the id has one
+component, and of its vectors' numbers of links the largest. Other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +47,14 @@ from shelfmark.llm.frames import stored
 
 #: Vectors that one block of a bucket holds.
 BLOCK = 2000
+#: Vectors of small buckets that share a task, about.
+TASK_ROWS = 20_000
+#: Pairs whose exact products are computed together.
+EXACT_ROWS = 65_536
 #: Spreads that the bound lies above the estimate.
 CONFIDENCE = 6.0
+#: What single precision may take from a bound.
+ROUNDING = 1e-5
 #: Chance to miss a pair that is just similar enough.
 MISS = 1e-6
 
@@ -51,6 +66,7 @@ def bands_for(most: int, threshold: float, miss: float = MISS) -> tuple[int, int
     return width, max(1, math.ceil(math.log(miss) / math.log(1 - agree)))
 
 
+@lru_cache(maxsize=4)
 def rotations(dim: int, bits: int, seed: int = 11) -> np.ndarray:
     """Random orthogonal matrices side by side: ``dim`` rows, at least ``bits`` columns."""
     rng, parts = np.random.default_rng(seed), []
@@ -67,13 +83,6 @@ def encode(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return rotated, rotated > 0, np.abs(rotated).sum(axis=1) / math.sqrt(rotated.shape[1])
 
 
-def eight_bits(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates as signed bytes and the size of a step."""
-    step = np.abs(rotated).max(axis=1) / 126
-    threshold = np.random.default_rng(5).random(rotated.shape[1])
-    return np.floor(rotated / step[:, None] + threshold).astype(np.int8), step
-
-
 def upper_bounds(signs: np.ndarray, fix: np.ndarray, rotated: np.ndarray, confidence: float) -> np.ndarray:
     """Upper confidence bound of the inner products of all coded vectors with all rotated ones."""
     bits = signs.shape[1]
@@ -82,101 +91,117 @@ def upper_bounds(signs: np.ndarray, fix: np.ndarray, rotated: np.ndarray, confid
     return estimate + confidence * spread[:, None]
 
 
-_CODED = "node long, label string, band int, value long, code binary, fix double, bytes binary, step double"
+_CODED = "node long, own long, label string, v array<double>, copies long, dim int, at array<long>, code binary, fix double"
+_MET = "node long, own long, links long, least long"
 
 
 def _encode(width: int, bands: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, label = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            lists = batch.column(2).to_pylist()
-            for i, v in enumerate(lists):
-                by_dim.setdefault(len(v), []).append(i)
-            for dim, rows in by_dim.items():
-                x = np.array([lists[i] for i in rows], np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                rotated, code, fix = encode(x, width * bands)
-                short, step = eight_bits(rotated)
-                packed = np.packbits(code, axis=1)
+            if not len(batch):
+                continue
+            dims = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                rows = batch.filter(pa.array(dims == dim))
+                _, code, fix = encode(_units(_matrix(rows.column(3))), width * bands)
                 weight = 1 << np.arange(width, dtype=np.int64)
                 value = code[:, : width * bands].reshape(len(rows), bands, width) @ weight
-                value = value * 4096 + dim % 4096  # lengths do not mix
-                n = len(rows)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.repeat([node[i] for i in rows], bands), pa.int64()),
-                        pa.array([label[i] for i in rows for _ in range(bands)], pa.string()),
-                        pa.array(np.tile(np.arange(bands), n), pa.int32()),
-                        pa.array(value.ravel(), pa.int64()),
-                        pa.array([packed[i].tobytes() for i in range(n) for _ in range(bands)], pa.binary()),
-                        pa.array(np.repeat(fix, bands), pa.float64()),
-                        pa.array([short[i].tobytes() for i in range(n) for _ in range(bands)], pa.binary()),
-                        pa.array(np.repeat(step, bands), pa.float64()),
-                    ],
-                    names=["node", "label", "band", "value", "code", "fix", "bytes", "step"],
-                )
+                packed = np.packbits(code, axis=1)
+                edges = pa.array(np.arange(len(rows) + 1) * bands, pa.int32())
+                more = [
+                    pa.array(np.full(len(rows), dim), pa.int32()),
+                    pa.ListArray.from_arrays(edges, pa.array(value.ravel(), pa.int64())),
+                    pa.array([row.tobytes() for row in packed], pa.binary()),
+                    pa.array(fix, pa.float64()),
+                ]
+                yield pa.record_batch(rows.columns + more, names=[*rows.schema.names, "dim", "at", "code", "fix"])
 
     return fn
 
 
-def _candidates(width: int, bands: int, threshold: float, confidence: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def linked(code: np.ndarray, fix: np.ndarray, x: np.ndarray, rotated: np.ndarray, y: np.ndarray, threshold: float, confidence: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of x, row of y) whose cosine reaches the threshold: by bounds first, then exactly."""
+    for at in range(0, len(x), 512):
+        some = slice(at, at + 512)
+        a, b = np.nonzero(upper_bounds(code[some], fix[some], rotated, confidence) >= threshold - ROUNDING)
+        for k in range(0, len(a), EXACT_ROWS):
+            i, j = a[k : k + EXACT_ROWS] + at, b[k : k + EXACT_ROWS]
+            p, q = x[i], y[j]
+            near = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1)) >= threshold
+            yield i[near], j[near]
+
+
+def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` points the least one that pairs lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _meet(width: int, bands: int, threshold: float, confidence: float):
+    """The links within a task: of small buckets, of one block or between two."""
+    schema = pa.schema([("node", pa.int64()), ("own", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
 
     def fn(tab: pa.Table) -> pa.Table:
         tab = tab.combine_chunks()
-        node, block = tab.column("node").to_numpy(), tab.column("block").to_numpy()
-        low = int(tab.column("low")[0].as_py())
-        keys = list(zip(tab.column("label").to_pylist(), tab.column("value").to_pylist(), tab.column("band").to_pylist()))
-        packed, short = tab.column("code").to_pylist(), tab.column("bytes").to_pylist()
-        fix, step = tab.column("fix").to_numpy(), tab.column("step").to_numpy()
-        groups: dict[tuple, list[int]] = {}
-        for i, key in enumerate(keys):
-            groups.setdefault(key, []).append(i)
-        a, b = [], []
-        for key, rows in groups.items():
-            band = key[2]
-            rows = np.array(rows)
-            left, right = rows[block[rows] == low], rows[block[rows] != low]
-            same = not len(right)
-            right = left if same else right
-            if not len(left) or (same and len(left) < 2):
+        tab = tab.take(pc.sort_indices(tab, sort_keys=[(k, "ascending") for k in ("label", "dim", "band", "value", "node", "own")]))
+        node, own, copies, block, band, dim, value, fix = (
+            tab.column(k).to_numpy() for k in ("node", "own", "copies", "block", "band", "dim", "value", "fix")
+        )
+        low, high = (int(tab.column(k)[0].as_py()) for k in ("low", "high"))
+        same, label = low == high, tab.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        new = np.ones(len(tab), bool)
+        new[1:] = np.any([key[1:] != key[:-1] for key in (label, dim, band, value)], axis=0)
+        edges = np.append(np.flatnonzero(new), len(tab))
+        out: list[tuple[np.ndarray, ...]] = []
+        for begin, end in zip(edges[:-1], edges[1:]):
+            at = np.arange(begin, end)
+            left = at[block[at] == low]
+            right = left if same else at[block[at] != low]
+            if not len(left) or not len(right) or (same and len(left) < 2):
                 continue
-            code_l, code_r = (_unpacked([packed[i] for i in r], len(short[r[0]])) for r in (left, right))
-            rotated = np.frombuffer(b"".join(short[i] for i in right), np.int8).reshape(len(right), -1)
-            rotated = rotated.astype(np.float32) * step[right][:, None].astype(np.float32)
-            for at in range(0, len(left), 512):
-                some = slice(at, at + 512)
-                near = upper_bounds(code_l[some], fix[left[some]], rotated, confidence) >= threshold
-                x, y = np.nonzero(near)
-                x += at
-                keep = node[left[x]] < node[right[y]] if same else node[left[x]] != node[right[y]]
-                x, y = x[keep], y[keep]
+            # every row once; rows of both sides are numbered from begin
+            rows = tab.slice(begin, end - begin)
+            x = _matrix(rows.column("v").combine_chunks())
+            code = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(at), -1), axis=1).astype(bool)
+            rotated, _, _ = encode(_units(x), width * bands)
+            code, rotated = code[:, : rotated.shape[1]], rotated.astype(np.float32)
+            left, right, here = left - begin, right - begin, int(band[begin])
+            links, first, second = np.zeros(len(at), np.int64), [], []
+            for i, j in linked(code[left], fix[begin + left], x[left], rotated[right], x[right], threshold, confidence):
+                i, j = left[i], right[j]
+                keep = node[begin + i] != node[begin + j]
+                keep &= (i < j) | (not same)
+                i, j = i[keep], j[keep]
                 # only where no earlier band has met
-                cut = code_l[x, : band * width] == code_r[y, : band * width]
-                fresh = ~cut.reshape(len(x), band, width).all(axis=2).any(axis=1) if band else np.ones(len(x), bool)
-                p, q = node[left[x[fresh]]], node[right[y[fresh]]]
-                a.append(np.minimum(p, q))
-                b.append(np.maximum(p, q))
-        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+                cut = code[i, : here * width] == code[j, : here * width]
+                fresh = ~cut.reshape(len(i), here, width).all(axis=2).any(axis=1) if here else np.ones(len(i), bool)
+                i, j = i[fresh].astype(np.int32), j[fresh].astype(np.int32)
+                np.add.at(links, i, copies[begin + j])
+                np.add.at(links, j, copies[begin + i])
+                first.append(i)
+                second.append(j)
+            i, j = (np.concatenate(c) if c else np.zeros(0, np.int32) for c in (first, second))
+            # rows lie in the order of their nodes, so the least row has the least node
+            least, some = least_reached(len(at), i, j), np.flatnonzero(links)
+            out.append((node[begin + some], own[begin + some], links[some], node[begin + least[some]]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     return fn
 
 
-def _unpacked(rows: list[bytes], bits: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :bits].astype(bool)
-
-
-def _cosines(threshold: float):
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (_matrix(batch.column(k)) for k in (2, 3))
-            cosine = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) if len(batch) else np.zeros(0)
-            near = pa.array(cosine >= threshold)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cosine, pa.float64())], names=["a", "b", "cosine"]).filter(near)
-
-    return fn
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -205,40 +230,45 @@ def near_vectors(
     usable = rows.filter("id is not null and label is not null and v is not null").filter(sound)
     # -0.0 and 0.0 are one value
     usable = usable.withColumn("v", F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
+    # two hashes stand for the vector, so that it is shuffled once
+    hashes = F.xxhash64("label", "v").alias("one"), F.xxhash64(F.lit(1), "v", "label").alias("own")
     classes = usable.groupBy("label", "v").agg(F.min("id").alias("node"), F.count_distinct("id").alias("copies"))
-    classes = stored(classes, "vectors")
+    classes = stored(classes.select("*", *hashes), "vectors")
     most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     width, bands = bands_for(int(most), threshold)
-    coded = classes.select("node", "label", "v").mapInArrow(_encode(width, bands), _CODED)
-    key = ["label", "band", "value"]
-    crowd = coded.groupBy(*key).agg(F.count("*").alias("members")).filter("members > 1")
-    met = coded.join(crowd, key).withColumn("blocks", F.ceil(F.col("members") / block))
-    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    coded = stored(classes.select("node", "own", "label", "v", "copies").mapInArrow(_encode(width, bands), _CODED), "codes")
+    key = ["label", "dim", "band", "value"]
+    places = coded.select("node", "own", "label", "dim", F.posexplode("at").alias("band", "value"))
+    crowd = stored(places.groupBy(*key).agg(F.count("*").alias("members")).filter("members > 1"), "crowd")
+    small = crowd.filter(F.col("members") <= block).agg(F.sum("members")).first()[0] or 0
+    tasks = max(1, -(-int(small) // TASK_ROWS))
+    met = places.join(crowd, key).withColumn("blocks", F.ceil(F.col("members") / block))
+    met = met.withColumn("block", F.pmod(F.xxhash64("node", "own"), F.col("blocks")))
+    met = met.join(coded.select("node", "own", "v", "copies", "code", "fix"), ["node", "own"])
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     met = met.select(
-        "node", *key, "code", "fix", "bytes", "step", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "node", "own", *key, "v", "copies", "code", "fix", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         # small buckets share tasks
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(*key), F.lit(1024))).otherwise(1024 + F.abs(F.xxhash64(*key) % (1 << 40))).alias("task"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(*key), F.lit(tasks))).otherwise(tasks + F.abs(F.xxhash64(*key) % (1 << 40))).alias("task"),
     )
-    pairs = met.groupBy("task", "low", "high").applyInArrow(_candidates(width, bands, threshold, confidence), "a long, b long")
-    one = classes.select(F.col("node").alias("a"), F.col("v").alias("x"), F.col("label").alias("label"))
-    two = classes.select(F.col("node").alias("b"), F.col("v").alias("y"), F.col("label").alias("other"))
-    exact = pairs.join(one, "a").join(two, "b").filter((F.col("label") == F.col("other")) & (F.size("x") == F.size("y")))
-    links = exact.select("a", "b", "x", "y").mapInArrow(_cosines(threshold), "a long, b long, cosine double")
-    links = stored(links.select("a", "b").distinct(), "links")
-    copies = classes.select("node", "copies")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    summed = copies.join(others.withColumnRenamed("a", "node"), "node", "left").join(
-        components(links).withColumnRenamed("component", "least"), "node", "left"
+    found = met.groupBy("task", "low", "high").applyInArrow(_meet(width, bands, threshold, confidence), _MET)
+    found = stored(found, "links")
+    others = found.groupBy("node", "own").agg(F.sum("links").alias("others"))
+    owners = stored(usable.select("id", *hashes).distinct().join(classes.select("one", "own", "node", "copies"), ["one", "own"]), "owners")
+    repeated = owners.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b").select("id")
+    same_id = owners.join(repeated, "id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    leads = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(same_id))
+    summed = classes.select("node", "own", "copies").join(others, ["node", "own"], "left").join(
+        leads.withColumnRenamed("component", "least"), "node", "left"
     )
     summed = summed.select(
         "node",
+        "own",
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
         F.coalesce("least", "node").alias("component_id"),
     )
-    owners = usable.join(classes.select("label", "v", "node"), ["label", "v"]).select("id", "node")
-    found = owners.join(summed, "node").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    found = owners.select("id", "node", "own").join(summed, ["node", "own"])
+    found = found.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("id").join(found, "id", "left")
     return out.select(
         F.col("id").alias("vec_id"),

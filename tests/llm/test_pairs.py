@@ -185,14 +185,38 @@ def test_vectors_of_empty_tables_and_repeated_rows(spark):
     assert got == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def test_an_id_with_two_vectors_joins_what_both_link_to(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (3, [1.0, 0.01], 1), (4, [0.01, 1.0], 1), (7, [0.0, 1.0], 1), (9, [1.0, 0.0], 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(3, 1, 3), (4, 2, 3), (5, 2, 3), (5, 2, 3), (7, 2, 3), (9, 0, 9)]
+
+
+def test_dense_cluster_gives_a_row_a_vector_and_no_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(16) + rng.standard_normal((300, 16)) * 0.02
+    table = pa.table(
+        {"node": range(300), "own": range(300), "label": ["a"] * 300, "dim": [16] * 300, "band": [0] * 300, "value": [0] * 300,
+         "v": x.tolist(), "copies": [1] * 300, "block": [0] * 300, "low": [0] * 300, "high": [0] * 300}
+    )
+    _, code, fix = vectors.encode(x / np.linalg.norm(x, axis=1, keepdims=True), 64)
+    table = table.append_column("code", pa.array([np.packbits(c).tobytes() for c in code], pa.binary())).append_column("fix", pa.array(fix))
+    got = vectors._meet(8, 8, 0.98, 6.0)(table)
+    assert got.num_rows == 300
+    assert set(got.column("links").to_pylist()) == {299} and set(got.column("least").to_pylist()) == {0}
+
+
+def test_rows_reached_by_pairs():
+    assert vectors.least_reached(7, np.array([1, 3, 5]), np.array([2, 2, 6])).tolist() == [0, 1, 1, 1, 4, 5, 5]
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 64))
     y = 0.9 * x + 0.3 * rng.standard_normal((400, 64))
     x, y = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (x, y))
     _, code, fix = vectors.encode(x, 256)
-    short, step = vectors.eight_bits(vectors.encode(y, 256)[0])
-    rotated = short * step[:, None]
+    rotated = vectors.encode(y, 256)[0]
     true = (x * y).sum(axis=1)
     estimate = np.diag(vectors.upper_bounds(code, fix, rotated, 0.0))
     assert abs((estimate - true).mean()) < 0.01
