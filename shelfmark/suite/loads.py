@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import ingest as ing
 from shelfmark.operators import writes as wr
 from shelfmark.runtime import spread, work_path
+from shelfmark.sources import arrays
 from shelfmark.sources import products as src
 from shelfmark.sources.star import CATALOG_SQL, STREAM_ORDER, catalog, load_stream, table
 from shelfmark.suite import query
@@ -51,6 +52,18 @@ def read_products(spark, sf):
     ).withColumn("categories", F.greatest("categories", F.lit(0)))
 
 
+@query("SELECT doc_id, lang, source, md5(text) AS text_md5, length(text) AS characters FROM documents")
+def array_scan(spark, sf):
+    """Documents written as files of one JSON array each and read back in slabs."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    path = work_path(spark, "documents-arrays")
+    arrays.write_array_files(docs, path)
+    df = arrays.array_elements(spark, path).select(F.from_json("value", docs.schema).alias("d")).select("d.*")
+    return df.select(
+        "doc_id", "lang", "source", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("characters")
+    )
+
+
 @query("""SELECT event_id, key_name, value_string FROM (
   SELECT event_id, event_type AS key_name, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS value_string
   FROM events WHERE event_id % 3 IN (0, 1)
