@@ -72,8 +72,10 @@ def array_elements(spark: SparkSession, path: str, slab: int = SLAB) -> DataFram
     )
     chunks.mapInPandas(lambda batches: _slabs(batches, slab), _SLABS).write.parquet(folder)
     slabs = spark.read.parquet(folder)
+    # written, so that the planner knows its size: broadcast while it is small, else the slabs are shuffled to it
+    _beginnings(slabs).select("file", "block", "slab", "inside", "depth", "number").write.parquet(f"{folder}-begin")
     placed = slabs.select("time", "file", "block", "slab", "text").join(
-        _beginnings(slabs).select("file", "block", "slab", "inside", "depth", "number"), ["file", "block", "slab"]
+        spark.read.parquet(f"{folder}-begin"), ["file", "block", "slab"]
     )
     whole = placed.mapInPandas(lambda batches: _cut(batches, borders=False), f"time timestamp, file string, {_PIECES}")
     parts = placed.mapInPandas(

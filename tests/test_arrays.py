@@ -93,3 +93,9 @@ def test_written_arrays_come_back(spark, tmp_path):
     arrays.write_array_files(df.repartition(3).filter("id % 2 = 0"), path)
     rows = arrays.array_elements(spark, path, slab=4096).select(F.from_json("value", df.schema).alias("r")).select("r.*")
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, df.filter("id % 2 = 0").collect()))
+
+
+def test_slabs_stay_where_they_are(spark, tmp_path):
+    path = write(tmp_path / "in", json.dumps(list(range(1000))))
+    plan = arrays.array_elements(spark, path, slab=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
