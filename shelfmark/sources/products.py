@@ -1,4 +1,4 @@
-"""Product readers. JSON Lines is the format that splits; an array file is one task's work to parse."""
+"""Product readers: JSON Lines, streams, and array files of chosen fields (``arrays`` reads those in splits)."""
 
 from __future__ import annotations
 
@@ -93,8 +93,8 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 100) ->
 def read_array_files(spark: SparkSession, path: str, fields: list[str], partitions: int) -> DataFrame:
     """Files that hold one JSON array each, as one line of JSON text per element.
 
-    Such a file cannot be split, so one task parses it; fields are read as text,
-    which keeps nested values as they are, and the rows are spread out at once.
+    One task parses a file; fields are read as text, which keeps nested values as they
+    are, and the rows are spread out at once. ``arrays.array_elements`` splits large files.
     """
     text = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     return spark.read.schema(text).option("multiLine", True).json(path).repartition(partitions)
