@@ -103,19 +103,21 @@ LONGEST = 24
 LONG_MARK = "\u0000long"
 
 
-def deletions(term: Column) -> Column:
-    """A term, and what is left of it without one or two of its characters.
+def deletions(term: Column, edits: int = 2) -> Column:
+    """A term, and what is left of it without one or two (or only one) of its characters.
 
-    Two terms within two edits of each other, a swap being one, have such a rest in common.
+    Two terms within so many edits of each other, a swap being one, have such a rest in common.
     """
 
-    def less(t: Column) -> Column:
-        some = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
-        return F.transform(some, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    every = _less(term) if edits == 1 else F.flatten(F.transform(_less(term), lambda t: _less(t)))
+    return F.when(F.length(term) <= LONGEST, F.array_distinct(every)).otherwise(F.array(F.lit(LONG_MARK)))
 
-    once = F.transform(F.array(less(term)), lambda x: x)[0]
-    every = F.array_distinct(F.flatten(F.array(F.array(term), once, F.flatten(F.transform(once, less)))))
-    return F.when(F.length(term) <= LONGEST, every).otherwise(F.array(F.lit(LONG_MARK)))
+
+def _less(t: Column, *mark: Column) -> Column:
+    """A text, and the text without each of its characters, each behind a mark."""
+    # place 0 takes nothing away
+    some = F.sequence(F.lit(0), F.length(t))
+    return F.transform(some, lambda i: F.concat(*mark, F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
 
 
 def deletions_of(term: str, edits: int) -> set[str]:
@@ -125,3 +127,36 @@ def deletions_of(term: str, edits: int) -> set[str]:
         level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
         rests = rests | level
     return rests | ({LONG_MARK} if len(term) + edits > LONGEST else set())
+
+
+#: Most edits for which ``half_rests`` find every term.
+HALVED_EDITS = 2
+FRONT, BACK = "<", ">"
+
+
+def half_rests(term: Column) -> Column:
+    """What is left of either half of a term without at most one character, marked with the half and the term's length.
+
+    Of two edits at most one falls on one of the halves; a swap across the middle is one
+    replaced character on either side. So terms within two edits of each other have such a
+    rest in common, and a term has about as many as characters, not half their square.
+    """
+    middle = F.floor(F.length(term) / 2).cast("int")
+
+    mark = F.concat(F.length(term).cast("string"), F.lit(":"))
+    front, back = F.substring(term, F.lit(1), middle), F.substring(term, middle + 1, F.length(term))
+    rests = F.concat(_less(front, F.lit(FRONT), mark), _less(back, F.lit(BACK), mark))
+    return F.when(F.length(term) <= LONGEST, rests).otherwise(F.array(F.lit(LONG_MARK)))
+
+
+def half_rests_of(term: str, edits: int) -> set[str]:
+    """The stored rests at which terms within so many edits of ``term``, two at most, are found."""
+    rests, less = set(), min(edits, 1)
+    for n in range(max(len(term) - edits, 0), min(len(term) + edits, LONGEST) + 1):
+        front, back = n // 2, n - n // 2
+        for i in range(len(term) + 1):
+            if abs(i - front) <= less:
+                rests |= {f"{FRONT}{n}:{r}" for r in deletions_of(term[:i], less)}
+            if abs(len(term) - i - back) <= less:
+                rests |= {f"{BACK}{n}:{r}" for r in deletions_of(term[i:], less)}
+    return rests | ({LONG_MARK} if len(term) + edits > LONGEST else set())

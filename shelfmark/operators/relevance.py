@@ -40,7 +40,7 @@ class TextIndex:
     ``occurrences``: id, field, analysis, term, tf, length. From a catalog it is a
     projection with one row per token; read from the side table it is already
     counted and sorted by term. ``stats``: field, docs, mean_length, total (of lengths).
-    ``variants``: the stored terms by what is left of them without some characters
+    ``variants``: the stored terms by what is left of their halves without a character
     (variant, analysis, term); with it, ``fresh`` has the occurrences that are not in it.
     """
 
@@ -164,11 +164,11 @@ def near_terms(index: TextIndex, query: str, fuzziness: str | int = "AUTO") -> D
             for a, t, _, k in asked
         ],
     )
-    if index.variants is None:
+    if index.variants is None or max(k for *_, k in asked) > tx.HALVED_EDITS:
         distinct = index.occurrences.select("analysis", "term").filter(near).distinct()
     else:
         # an equality on stored rests in place of a scan of all occurrences
-        rests = sorted({v for _, t, _, k in asked for v in tx.deletions_of(t, k)})
+        rests = sorted({v for _, t, _, k in asked for v in tx.half_rests_of(t, k)})
         distinct = index.variants.filter(F.col("variant").isin(rests)).select("analysis", "term")
         if index.fresh is not None:
             distinct = distinct.unionByName(index.fresh.select("analysis", "term"))

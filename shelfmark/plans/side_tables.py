@@ -39,27 +39,25 @@ def facets_of(
 
 
 def write_text_index(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
-    """Counted occurrences, sorted by term so that row groups of other terms are skipped, and the vocabulary.
+    """Counted occurrences, sorted by term so that pages of other terms are skipped, and the vocabulary.
 
-    A term of the vocabulary is stored under each rest that deleting up to two of its
-    characters leaves, so that fuzzy terms are found by equality.
+    A term of the vocabulary is stored under what deleting one character leaves of its
+    halves, so that fuzzy terms are found by equality.
 
-    The range runs over (term, id): a term that most documents hold spreads over
-    many files instead of filling one.
+    Occurrences are dealt out by (term, id), once for counting and for the files: a term that
+    most documents hold spreads over all files, and no ranges have to be found first.
     """
     index = rv.TextIndex.of(df, fields)
-    counted = index.occurrences.groupBy("id", "field", "analysis", "length", "term").agg(
+    counted = index.occurrences.repartition("term", "id").groupBy("id", "field", "analysis", "length", "term").agg(
         F.sum("tf").alias("tf")
     )
-    counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/occurrences")
+    counted.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/occurrences")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
     stored = df.sparkSession.read.parquet(f"{path}/occurrences")
     terms = stored.groupBy("analysis", "term").agg(F.count("*").alias("documents"))
-    variants = terms.select(F.explode(tx.deletions(F.col("term"))).alias("variant"), "analysis", "term", "documents")
+    variants = terms.select(F.explode(tx.half_rests(F.col("term"))).alias("variant"), "analysis", "term", "documents")
     # common rests spread over files, as common terms do
-    variants = variants.repartitionByRange("variant", "term").sortWithinPartitions("variant", "term")
+    variants = variants.repartition("variant", "term").sortWithinPartitions("variant", "term")
     variants.write.mode("overwrite").parquet(f"{path}/variants")
 
 

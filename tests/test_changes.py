@@ -268,3 +268,29 @@ def test_health_comes_from_the_audit(spark, catalog):
     version = catalog.resolve("shop")
     make_products(spark, 1).write.mode("append").parquet(catalog.files.data_path("shop", version))
     assert catalog.stats("shop").first()["health"] == "red"  # an id is there twice
+
+
+def test_near_terms_share_a_rest_of_a_half(spark):
+    import itertools
+
+    from shelfmark.functions import text as tx
+    from shelfmark.operators import relevance as rv
+
+    words = ["".join(w) for n in (1, 2, 3, 4, 5) for w in itertools.product("ab", repeat=n)]
+    words += ["kettle", "ktetle", "ekttle", "kettel", "kelttle", "abcdefgh", "badcefgh", "abdcfegh", "abcedfgh", "x" * 24, "x" * 25, "x" * 26]
+    df = spark.createDataFrame([(w,) for w in words], "t string").select("t", tx.half_rests(F.col("t")).alias("d")).cache()
+    stored = {r.t: set(r.d) for r in df.collect()}
+    # about as many as characters: two deletions anywhere in 24 characters would leave up to 301
+    assert all(len(r.d) <= len(r.t) + 2 for r in df.collect())
+    asked = ["kettle", "abcdefgh", "abab", "bb", "aabba", "x" * 24, "x" * 26]
+    near = df.select("t", *[tx.edit_distance(F.col("t"), a, k).alias(f"{i}_{k}") for i, a in enumerate(asked) for k in (1, 2)]).collect()
+    for i, a in enumerate(asked):
+        for k in (1, 2):
+            found = [r["t"] for r in near if r[f"{i}_{k}"] is not None]
+            assert found and all(stored[t] & tx.half_rests_of(a, k) for t in found), (a, k)
+    # more edits than the rests are made for are looked for in all terms
+    rows = spark.createDataFrame([("1", "abcdefgh"), ("2", "xyzdefgh")], "id string, text string")
+    index = rv.TextIndex.of(rows, ["text"])
+    halves = index.occurrences.select(F.explode(tx.half_rests(F.col("term"))).alias("variant"), "analysis", "term")
+    held = rv.TextIndex(index.occurrences, index.stats, index.fields, halves)
+    assert {r.term for r in rv.near_terms(held, "abcdefgh", 3).collect()} == {"abcdefgh", "xyzdefgh"}
