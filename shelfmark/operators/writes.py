@@ -17,7 +17,7 @@ from shelfmark.functions import scalar as sc
 from shelfmark.operators.open_objects import ENTRIES, merge_open
 from shelfmark.runtime import computed_once
 from shelfmark.schema import EXTRA, PRODUCT, nullable
-from shelfmark.sources.products import field_fault
+from shelfmark.sources.products import faults
 
 Enrich = Callable[[DataFrame], DataFrame]
 
@@ -100,13 +100,13 @@ def load_filtered(
 def _patch_fault(schema: T.StructType, key: str, body: str) -> Column:
     """Why a patch cannot be applied: a blank id, no document, or a value of a wrong type at any depth."""
     doc = F.col(body)
-    fields = [field_fault(f"`{body}`", f) for f in schema.fields if f.name not in (key, EXTRA)]
+    fields = [f for f in schema.fields if f.name not in (key, EXTRA)]
     whole = F.schema_of_variant(doc).startswith("OBJECT")
     return (
         F.when(sc.is_blank(F.col(key)), F.lit("Document ID must be specified"))
         .when(doc.isNull(), F.lit("Document is required"))
         .when(~whole, F.lit("a partial document has to be an object"))
-        .otherwise(F.coalesce(F.lit(None).cast("string"), *fields))
+        .otherwise(faults(f"`{body}`", fields))
     )
 
 

@@ -130,27 +130,28 @@ class ProductSource:
 
 
 def property_struct(entry: Column) -> Column:
-    """A property entry (variant) as the 23-field struct.
+    """A property entry, cast as ``_stored_type`` says, as the 23-field struct.
 
     The short form ``{Name, Value, DataType}`` fills KeyName and ValueString.
     """
-    leaves = []
-    for f in PROPERTY.fields:
-        c = F.try_variant_get(entry, f"$.{f.name}", f.dataType.simpleString())
-        if f.name == "KeyName":
-            c = F.coalesce(c, F.try_variant_get(entry, "$.Name", "string"))
-        elif f.name == "ValueString":
-            c = F.coalesce(c, F.try_variant_get(entry, "$.Value", "string"))
-        leaves.append(c.alias(f.name))
-    return F.struct(*leaves)
+    short = {"KeyName": "Name", "ValueString": "Value"}
+    return F.struct(
+        *[
+            (F.coalesce(entry[f.name], entry[short[f.name]]) if f.name in short else entry[f.name]).alias(f.name)
+            for f in PROPERTY.fields
+        ]
+    )
 
 
 def normalise_properties(v: Column) -> Column:
     """The property map from a variant in map form or in list form (last entry of a key wins)."""
-    by_key = F.transform_values(
-        F.try_variant_get(v, "$", "map<string,variant>"), lambda _, e: property_struct(e)
-    )
-    entries = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: property_struct(e))
+    return _properties(F.try_variant_get(v, "$", f"map<string,{_stored_type(PROPERTY)}>"), v, "$")
+
+
+def _properties(by_key: Column, v: Column, path: str) -> Column:
+    """The property map from its cast map form, else from the list form at ``path`` of a variant."""
+    by_key = F.transform_values(by_key, lambda _, e: property_struct(e))
+    entries = F.transform(F.try_variant_get(v, path, f"array<{_stored_type(PROPERTY)}>"), property_struct)
     # the one-element array binds the entries to a name, so that they are made once
     listed = F.transform(F.array(entries), _last_of_each_key)[0]
     return F.coalesce(by_key, listed)
@@ -167,10 +168,13 @@ def _last_of_each_key(entries: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["KeyName"], p)))
 
 
-def _field(v: Column, f: T.StructField) -> Column:
-    if f.name == PROPERTIES:
-        return normalise_properties(F.try_variant_get(v, f"$.{PROPERTIES}", "variant"))
-    return F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString())
+def _field(v: Column, fields: Column, f: T.StructField) -> Column:
+    """A field of the cast document; the property map also from its list form."""
+    if f.name != PROPERTIES:
+        return fields[f.name]
+    if f.dataType == T.MapType(T.StringType(), PROPERTY):
+        return _properties(fields[f.name], v, f"$.{f.name}")
+    return normalise_properties(F.try_variant_get(v, f"$.{PROPERTIES}", "variant"))
 
 
 def mismatch(root: str, path: str, dtype: T.DataType, name: str, kind: str | None = None, depth: int = 0) -> str | None:
@@ -205,10 +209,101 @@ def mismatch(root: str, path: str, dtype: T.DataType, name: str, kind: str | Non
     return f"CASE WHEN try_variant_get({root}, '{path}', '{dtype.simpleString()}') IS NULL AND {given} THEN {wrong} END"
 
 
-def field_fault(root: str, f: T.StructField) -> Column:
-    """Why a field of the variant column ``root`` cannot be stored, else null."""
-    text = mismatch(root, f"$.{f.name}", f.dataType, f.name, kind_of(f))
-    return F.expr(text) if text else F.lit(None).cast("string")
+def _stored_type(dtype: T.DataType, short: bool = True) -> str:
+    """The declared type as SQL; with ``short`` a property also takes the fields of its short form."""
+    if isinstance(dtype, T.StructType):
+        fields = [f"`{f.name}`: {_stored_type(f.dataType, short)}" for f in dtype.fields]
+        if short and dtype == PROPERTY:
+            fields += ["`Name`: string", "`Value`: string"]
+        return f"struct<{', '.join(fields)}>"
+    if isinstance(dtype, T.ArrayType):
+        return f"array<{_stored_type(dtype.elementType, short)}>"
+    if isinstance(dtype, T.MapType):
+        return f"map<string, {_stored_type(dtype.valueType, short)}>"
+    return dtype.simpleString()
+
+
+def _given_type(dtype: T.DataType, top: bool = True) -> str | None:
+    """The same as text, for what may turn null when it is cast: numbers, and below a top field lists and objects."""
+    if isinstance(dtype, (T.StringType, T.VariantType)):
+        return None
+    inner = _inner(dtype) if top else None
+    if isinstance(inner, T.StructType):
+        types = [(f.name, _given_type(f.dataType, False)) for f in inner.fields]
+        if not any(t for _, t in types):
+            return None
+        fields = f"struct<{', '.join(f'`{n}`: {t}' for n, t in types if t)}>"
+        return fields if dtype is inner else f"array<{fields}>" if isinstance(dtype, T.ArrayType) else f"map<string, {fields}>"
+    return None if top and inner is not dtype else "string"
+
+
+def typed(root: str, fields: list[T.StructField]) -> str:
+    """SQL for the given fields of a variant as one struct: one walk of the variant, which passes over absent fields."""
+    types = ", ".join(f"`{f.name}`: {_stored_type(f.dataType, f.name == PROPERTIES)}" for f in fields)
+    return f"try_variant_get({root}, '$', 'struct<{types}>')"
+
+
+def _fits(stored: str, given: str | None, dtype: T.DataType, absent: str = "false", top: bool = True) -> str:
+    """SQL that is true only where a value surely can be stored; the rest is judged by ``mismatch``.
+
+    ``stored`` is the typed value, ``given`` what was given as text (see ``_given_type``),
+    and ``absent`` says that nothing was given.
+    """
+    if isinstance(dtype, T.VariantType):
+        return "true"
+    if isinstance(dtype, T.StringType):
+        return f"({stored} IS NULL OR NOT (startswith({stored}, '{{') OR startswith({stored}, '[')))"
+    if not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return f"({stored} IS NOT NULL OR {given} IS NULL)" if given else f"{stored} IS NOT NULL"
+    if not top and given:
+        given, absent = None, f"{given} IS NULL"
+    if isinstance(dtype, T.StructType):
+        below = [
+            _fits(f"{stored}.`{f.name}`", f"{given}.`{f.name}`" if given and _given_type(f.dataType, False) else None, f.dataType, top=False)
+            for f in dtype.fields
+        ]
+        return f"({stored} IS NOT NULL AND {' AND '.join(below) or 'true'} OR {absent})"
+    values = stored if isinstance(dtype, T.ArrayType) else f"map_values({stored})"
+    if given:
+        texts = given if isinstance(dtype, T.ArrayType) else f"map_values({given})"
+        each = f"forall(zip_with({values}, {texts}, (a, b) -> {_fits('a', 'b', _inner(dtype))}), a -> a)"
+    else:
+        name = f"a{stored.count('.')}"
+        each = f"forall({values}, {name} -> {_fits(name, None, _inner(dtype))})"
+    return f"({stored} IS NOT NULL AND {each} OR {absent})"
+
+
+def _absent(root: str, f: T.StructField) -> str:
+    """No name is found faster than a null."""
+    return f"(NOT array_contains(q.n, '{f.name}') OR try_variant_get({root}, '$.{f.name}', 'string') IS NULL)"
+
+
+def _doubt(root: str, f: T.StructField, then: str) -> str:
+    """SQL for ``then`` where the field of ``q.t`` (typed) and ``q.s`` (as text) may not fit, else null."""
+    given = f"q.s.`{f.name}`" if _given_type(f.dataType) else None
+    return f"CASE WHEN {_fits(f'q.t.`{f.name}`', given, f.dataType, _absent(root, f))} THEN NULL ELSE {then} END"
+
+
+def _reason(root: str, fields: list[T.StructField]) -> str:
+    found = [(f, mismatch(root, f"$.{f.name}", f.dataType, f.name, kind_of(f))) for f in fields]
+    return f"coalesce({', '.join(['CAST(NULL AS STRING)', *(_doubt(root, f, m) for f, m in found if m)])})"
+
+
+def _judged(root: str, fields: list[T.StructField], made: str, stored: str | None = None) -> Column:
+    """``made``, SQL over ``q``, made once a row: ``t`` and ``s`` are the fields typed and as text, ``n`` the names of the given ones."""
+    types = [(f.name, _given_type(f.dataType)) for f in fields]
+    text = f"try_variant_get({root}, '$', 'struct<{', '.join(f'`{n}`: {t}' for n, t in types if t)}>')"
+    names = f"map_keys(try_variant_get({root}, '$', '{NAMES}'))"
+    return F.expr(f"transform(array(named_struct('t', {stored or typed(root, fields)}, 's', {text}, 'n', {names})), q -> {made})[0]")
+
+
+def faults(root: str, fields: list[T.StructField]) -> Column:
+    """Why the first of the fields that cannot be stored cannot, else null.
+
+    The variant column ``root`` is cast as a whole. Only a field in doubt after that is
+    judged part by part.
+    """
+    return _judged(root, fields, _reason(root, fields))
 
 
 def undeclared(root: str, path: str, dtype: T.DataType, depth: int = 0) -> str:
@@ -219,9 +314,7 @@ def undeclared(root: str, path: str, dtype: T.DataType, depth: int = 0) -> str:
     """
     entries = f"try_variant_get({root}, '{path}', 'map<string,variant>')"
     if isinstance(dtype, T.StructType):
-        declared = [f.name for f in dtype.fields] + (["Name", "Value"] if dtype == PROPERTY else [])
-        names = ", ".join(f"'{n}'" for n in declared)
-        found = f"map_filter({entries}, (k{depth}, v{depth}) -> k{depth} NOT IN ({names}))"
+        found = f"map_filter({entries}, (k{depth}, v{depth}) -> k{depth} NOT IN ({_declared(dtype)}))"
         below = [
             f"named_struct('k', '{f.name}', 'v', {undeclared(root, f'{path}.{f.name}', f.dataType, depth + 1)})"
             for f in dtype.fields
@@ -238,9 +331,55 @@ def undeclared(root: str, path: str, dtype: T.DataType, depth: int = 0) -> str:
     return f"transform(array({found}), m{depth} -> CASE WHEN size(m{depth}) > 0 THEN to_variant_object(m{depth}) END)[0]"
 
 
+def _inner(dtype: T.DataType) -> T.DataType:
+    return dtype.elementType if isinstance(dtype, T.ArrayType) else dtype.valueType if isinstance(dtype, T.MapType) else dtype
+
+
 def _has_fields(dtype: T.DataType) -> bool:
-    inner = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype.valueType if isinstance(dtype, T.MapType) else dtype
-    return isinstance(inner, T.StructType)
+    return isinstance(_inner(dtype), T.StructType)
+
+
+def _declared(dtype: T.StructType) -> str:
+    names = [f.name for f in dtype.fields] + (["Name", "Value"] if dtype == PROPERTY else [])
+    return ", ".join(f"'{n}'" for n in names)
+
+
+#: Names of fields without their values.
+NAMES = "map<string, struct<>>"
+
+
+def _strays(root: str, path: str, dtype: T.DataType, way: tuple[tuple[str, str], ...] = ()) -> list[str]:
+    """SQL conditions, one for each declared object: whether it has a field that is not declared. Reads names alone."""
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        if isinstance(dtype, T.MapType) and way:
+            return ["true"]  # its list form would not be seen
+        step = "array<{}>" if isinstance(dtype, T.ArrayType) else "map<string, {}>"
+        return _strays(root, path, _inner(dtype), (*way, (step, ""))) if _has_fields(dtype) else []
+    kind = NAMES
+    for step, _ in reversed(way):
+        kind = step.format(kind)
+    at, inside = f"try_variant_get({root}, '{path}', '{kind}')", "{}"
+    for i, (step, name) in enumerate(way):
+        if name:
+            at = f"{at}.`{name}`"
+            continue
+        values = at if step.startswith("array") else f"map_values({at})"
+        inside, at = inside.format(f"exists({values}, w{i} -> {{}})"), f"w{i}"
+    found = [f"coalesce({inside.format(f'exists(map_keys({at}), n -> n NOT IN ({_declared(dtype)}))')}, false)"]
+    for f in dtype.fields:
+        if _has_fields(f.dataType):
+            found += _strays(root, path, f.dataType, (*way, (f"struct<`{f.name}`: {{}}>", f.name)))
+    return found
+
+
+def _undeclared_of(root: str, f: T.StructField, stored: str) -> str:
+    """``undeclared`` of a field, built only where the field is in no declared form or holds a name that is not declared."""
+    path = f"$.{f.name}"
+    some = " OR ".join(_strays(root, path, f.dataType))
+    return (
+        f"CASE WHEN {stored} IS NOT NULL AND NOT ({some}) THEN NULL WHEN {stored} IS NULL AND {_absent(root, f)} THEN NULL "
+        f"ELSE {undeclared(root, path, f.dataType, 1)} END"
+    )
 
 
 def _given_sql(pairs: str, depth: int) -> str:
@@ -256,22 +395,43 @@ def _by_place(root: str, path: str, inner: T.DataType, depth: int) -> str:
     return _given_sql(pairs, depth)
 
 
-def _beside(root: str, schema: T.StructType) -> Column:
-    """``_extra``: undeclared fields, and values that disabled columns, which take anything, cannot hold."""
-    extra = F.expr(undeclared(root, "$", schema))
+NOTHING = "CAST(map() AS map<string, variant>)"
+
+
+def _object(entries: str, name: str) -> str:
+    return f"transform(array({entries}), {name} -> CASE WHEN size({name}) > 0 THEN to_variant_object({name}) END)[0]"
+
+
+def _of_given(values: dict[str, str]) -> str:
+    """SQL over ``q`` for entries of the given fields among ``values``: work goes by what a document holds."""
+    names = ", ".join(f"'{n}'" for n in values)
+    cases = " ".join(f"WHEN '{n}' THEN {v}" for n, v in values.items())
+    return f"transform(filter(q.n, n -> n IN ({names})), n -> named_struct('k', n, 'v', CASE n {cases} END))"
+
+
+def _beside(root: str, schema: T.StructType) -> str:
+    """SQL over ``q`` for ``_extra``: undeclared fields, and values that disabled columns, which take anything, cannot hold."""
+    entries = f"try_variant_get({root}, '$', 'map<string,variant>')"
+    found = (
+        f"CASE WHEN coalesce(exists(q.n, n -> n NOT IN ({_declared(schema)})), false) "
+        f"THEN map_filter({entries}, (k0, v0) -> k0 NOT IN ({_declared(schema)})) ELSE {NOTHING} END"
+    )
+    below = {f.name: _undeclared_of(root, f, f"q.t.`{f.name}`") for f in schema.fields if _has_fields(f.dataType)}
+    if below:
+        found = f"map_concat({found}, {_given_sql(_of_given(below), 0)})"
+    extra = _object(found, "m0")
     off = [f for f in schema.fields if kind_of(f) == DISABLED and not isinstance(f.dataType, (T.StringType, T.VariantType))]
     if not off:
         return extra
-    lost = [
-        f"named_struct('k', '{f.name}', 'v', CASE WHEN {mismatch(root, f'$.{f.name}', f.dataType, f.name)} IS NOT NULL "
-        f"THEN try_variant_get({root}, '$.{f.name}', 'variant') END)"
-        for f in off
-    ]
-    kept = F.expr(_given_sql(f"array({', '.join(lost)})", 0))
+    lost = {}
+    for f in off:
+        whole = f"CASE WHEN {mismatch(root, f'$.{f.name}', f.dataType, f.name)} IS NOT NULL THEN try_variant_get({root}, '$.{f.name}', 'variant') END"
+        lost[f.name] = _doubt(root, f, whole)
+    kept = _given_sql(_of_given(lost), 0)
     # values that were kept whole need no second entry for what is undeclared inside them
-    own = F.coalesce(F.try_variant_get(extra, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    both = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(kept, k)), kept)
-    return F.when(F.size(kept) == 0, extra).otherwise(F.when(F.size(both) > 0, F.to_variant_object(both)))
+    own = f"coalesce(try_variant_get({extra}, '$', 'map<string,variant>'), {NOTHING})"
+    both = _object(f"map_concat(map_filter({own}, (k, v) -> NOT map_contains_key(whole, k)), whole)", "m")
+    return f"transform(array({kept}), whole -> CASE WHEN size(whole) = 0 THEN {extra} ELSE {both} END)[0]"
 
 
 def parse_lines(
@@ -285,29 +445,23 @@ def parse_lines(
     """
     passed = [c for c in lines.columns if c != value]
     doc = computed_once(lines.select(*passed, value), "_doc", F.try_parse_json(value))
-    typed = doc.select(
-        *passed,
-        value,
-        "_doc",
-        *[_field(F.col("_doc"), f).alias(f.name, metadata=f.metadata) for f in schema.fields],
-    )
-    reasons = [
-        field_fault("_doc", f) for f in schema.fields if kind_of(f) != DISABLED
-    ]
-    malformed = F.col("_doc").isNull() | ~F.coalesce(
-        F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False)
-    )
-    reason = F.when(malformed, F.lit("malformed JSON document")).otherwise(F.coalesce(*reasons))
+    doc = computed_once(doc, "_t", F.expr(typed("_doc", schema.fields)))
+    reason = _reason("_doc", [f for f in schema.fields if kind_of(f) != DISABLED])
+    # only an object has fields
+    reason = f"CASE WHEN _t IS NULL THEN 'malformed JSON document' ELSE {reason} END"
+    judged = f"named_struct('reason', {reason}, 'extra', {_beside('_doc', schema)})"
+    doc = computed_once(doc, "_judged", _judged("_doc", schema.fields, judged, "_t"))
+    reason = F.col("_judged.reason")
     error = F.when(
         reason.isNotNull(),
         F.struct(
             F.lit(PARSE_ERROR).alias("type"), reason.alias("reason"), F.lit(PARSE_STATUS).alias("status")
         ),
     )
-    return typed.select(
+    return doc.select(
         *passed,
         F.col(value).alias("document"),
-        *[f.name for f in schema.fields],
-        _beside("_doc", schema).alias(EXTRA),
+        *[_field(F.col("_doc"), F.col("_t"), f).alias(f.name, metadata=f.metadata) for f in schema.fields],
+        F.col("_judged.extra").alias(EXTRA),
         error.alias("error"),
     )

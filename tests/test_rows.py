@@ -292,3 +292,35 @@ def test_templates_are_numbered(spark, tmp_path):
     assert len(made) == 30 and {r["ProductName"].split()[-1] for r in made} == set("abc")
     assert all(r["Rules"]["ProductId"] == r["RecordId"] == 68719500000 + r["i"] for r in made)
     assert all(len(r["SearchName"]) <= 20 for r in made)
+
+
+def test_a_line_is_judged_by_what_it_holds(spark):
+    """Fields in doubt are judged part by part; the others are told from one cast of the whole document."""
+    rules = {"ProductId": 5, "DefaultUnitOfMeasure": "{each}", "ExtensionProperties": [{"name": "n", "value": {"x": 1}}]}
+    docs = [
+        ({"id": "a", "Price": 1, "Rules": rules, "Locale": None, "RetailContext": None}, None, None),
+        ({"id": "b", "Rules": rules | {"Odd": 1}, "CategoryIds": [1, None]}, None, {"Rules": {"Odd": 1}}),
+        ({"id": "c", "Rules": rules | {"ProductId": "none"}}, None, {"Rules": rules | {"ProductId": "none"}}),
+        ({"id": "d", "ParentKits": [{"id": "k", "components": [{"quantity": 1}, {"quantity": 2, "odd": []}]}]}, None, {"ParentKits": {"0": {"components": {"1": {"odd": []}}}}}),
+        ({"id": "e", "DefaultProductProperties": {"S": {"Distance": "far"}}}, "DefaultProductProperties.Distance", None),
+        ({"id": "f", "DefaultProductProperties": [{"Name": "S", "Value": 4, "Odd": 1}]}, None, {"DefaultProductProperties": {"0": {"Odd": 1}}}),
+        ({"id": "g", "SearchName": ["x"], "Odd": None}, "SearchName", {"Odd": None}),
+        ({"id": "h", "SearchName": "[x]", "Images": 7}, None, {"Images": 7}),
+        ({"id": "i", "RetailContext": {"ChannelId": None, "CatalogId": "1", "Odd": {}}}, None, {"RetailContext": {"Odd": {}}}),
+        ({"id": "j", "CategoryIds": [1, "x"], "RetailContext": 3}, "CategoryIds", None),
+        ([1], "malformed", None),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, (d, *_) in enumerate(docs)], "n int, value string")
+    parsed = src.parse_lines(rows)
+    got = parsed.select("n", F.col("error.reason").alias("why"), F.to_json("_extra").alias("extra")).collect()
+    for r in got:
+        _, why, extra = docs[r.n]
+        assert (r.why is None) == (why is None) and (why or "") in (r.why or ""), (r.n, r.why)
+        assert (json.loads(r.extra) if r.extra else None) == extra, (r.n, r.extra)
+    # as part by part, for every field
+    variants = rows.select("n", F.try_parse_json("value").alias("patch"))
+    slow = [src.mismatch("patch", f"$.{f.name}", f.dataType, f.name, src.kind_of(f)) for f in PRODUCT.fields]
+    slow = F.expr(f"coalesce({', '.join(filter(None, slow))})")
+    both = variants.select("n", slow.alias("a"), src.faults("patch", PRODUCT.fields).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both] and any(r.a for r in both)
+    assert {r.id for r in wr.patch_errors(variants.withColumn("id", F.col("n").cast("string"))).collect()} == {str(r.n) for r in both if r.a} | {"10"}
