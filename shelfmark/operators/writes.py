@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import scalar as sc
 from shelfmark.operators.open_objects import ENTRIES, merge_open
-from shelfmark.runtime import computed_once
+from shelfmark.runtime import computed_once, cut_lineage
 from shelfmark.schema import EXTRA, PRODUCT, nullable
-from shelfmark.sources.products import faults
+from shelfmark.sources.products import NAMES, faults
 
 Enrich = Callable[[DataFrame], DataFrame]
 
@@ -141,9 +141,10 @@ class _Node:
     def raw(self, doc: Column) -> Column:
         return F.try_variant_get(doc, self.path or "$", "variant")
 
-    def aggregates(self, doc: Column, order: Column) -> list[Column]:
+    def aggregates(self, doc: Column, order: Column, held: Column | None = None) -> list[Column]:
+        """``held`` is a cheap test that is false where the document surely lacks the field."""
         raw = self.raw(doc)
-        given = raw.isNotNull()
+        given = raw.isNotNull() if held is None else held & raw.isNotNull()
         if not self.children and self.value is None:
             typed = F.try_variant_get(doc, self.path or "$", self.dtype.simpleString())
             row = F.struct(order.alias("o"), typed.alias("v"))
@@ -160,7 +161,7 @@ class _Node:
             F.max(F.when(given & ~whole, order)).alias(f"{self.tag}_reset"),
         ]
         for child in self.children.values():
-            out += child.aggregates(doc, order)
+            out += child.aggregates(doc, order, held)
         return out
 
     def maps(self) -> list["_Node"]:
@@ -268,8 +269,13 @@ def patch(
     order = F.struct(*order_by)
     usable = computed_once(patches, "_fault", _patch_fault(schema, key, body)).filter("_fault is null").drop("_fault")
     doc = F.col(body)
-    aggs = [a for c in root.children.values() for a in c.aggregates(doc, order)]
-    condensed = usable.groupBy(key).agg(*aggs)
+    # the names that a patch holds, so that nothing is looked for below those it lacks
+    named = computed_once(usable, "_names", F.map_keys(F.try_variant_get(doc, "$", NAMES)))
+    aggs = []
+    for n, c in root.children.items():
+        held = None if n == EXTRA else F.array_contains("_names", F.lit(n))
+        aggs += c.aggregates(doc, order, held)
+    condensed = named.groupBy(key).agg(*aggs)
     for m in root.maps():
         entries = usable.select(
             key,
@@ -290,7 +296,8 @@ def patch(
     opened = _opened(base, usable, schema, order, key, body)
     if opened is not None:
         condensed = condensed.join(opened, key, "left")
-    state = condensed.withColumnRenamed(key, "_key")
+    # both the rows it changes and the new ones start from it
+    state = cut_lineage(condensed.withColumnRenamed(key, "_key"))
     fields = [
         _with_opened(n, c.merged(F.col(f"`{n}`"), F.col, None), schema, opened).cast(c.dtype).alias(n, metadata=schema[n].metadata)
         for n, c in root.children.items()

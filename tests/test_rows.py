@@ -324,3 +324,13 @@ def test_a_line_is_judged_by_what_it_holds(spark):
     both = variants.select("n", slow.alias("a"), src.faults("patch", PRODUCT.fields).alias("b")).collect()
     assert [r.a for r in both] == [r.b for r in both] and any(r.a for r in both)
     assert {r.id for r in wr.patch_errors(variants.withColumn("id", F.col("n").cast("string"))).collect()} == {str(r.n) for r in both if r.a} | {"10"}
+
+
+def test_patches_are_condensed_once(spark):
+    base = spark.createDataFrame([("a", 1.0, 5), ("b", 2.0, 6)], "id string, Price double, RecordId long")
+    rows = [("a", 1, '{"Price": 3}'), ("a", 2, '{"RecordId": null}'), ("c", 1, '{"Price": 4}')]
+    patches = spark.createDataFrame(rows, "id string, o int, t string").select("id", "o", F.parse_json("t").alias("patch"))
+    done = wr.patch(base, patches, ["o"])
+    assert {tuple(r) for r in done.collect()} == {("a", 3.0, None), ("b", 2.0, 6), ("c", 4.0, None)}
+    # the rows it changes and the new ones both start from one condensed table
+    assert "Aggregate" not in done._jdf.queryExecution().optimizedPlan().toString()
