@@ -59,35 +59,39 @@ class TextIndex:
         id_col: str = "id",
     ) -> "TextIndex":
         paths = search_fields(schema or CatalogSchema.of(df), fields)
-        split = df.select(
-            F.col(id_col).alias("id"), *[_terms(p).alias(f"_t{i}") for i, p in enumerate(paths)]
-        )
-        lists = F.array(
-            *[
-                F.struct(
-                    F.lit(p.name).alias("field"),
-                    F.lit(_analysis(p)).alias("analysis"),
-                    F.col(f"_t{i}").alias("terms"),
-                    F.size(f"_t{i}").cast("bigint").alias("length"),
-                )
-                for i, p in enumerate(paths)
-            ]
-        )
-        per_field = split.select("id", F.explode(lists).alias("f")).filter(F.col("f.length") > 0)
+        per_field = terms_of(df, paths, id_col).select("id", *named_field(paths), "terms", "length")
         occurrences = per_field.select(
             "id",
-            "f.field",
-            "f.analysis",
-            F.explode("f.terms").alias("term"),
+            "field",
+            "analysis",
+            F.explode("terms").alias("term"),
             F.lit(1).cast("bigint").alias("tf"),
-            "f.length",
+            "length",
         )
-        stats = per_field.groupBy("f.field").agg(
-            F.count(F.lit(1)).alias("docs"), F.avg("f.length").alias("mean_length"), F.sum("f.length").alias("total")
+        stats = per_field.groupBy("field").agg(
+            F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"), F.sum("length").alias("total")
         )
         return cls(occurrences, stats, tuple((p.name, _analysis(p)) for p in paths))
 
 
+def terms_of(df: DataFrame, paths: Sequence[Path], id_col: str = "id") -> DataFrame:
+    """``id, no, terms, length`` of each field that holds terms; ``no`` is the place of the field among ``paths``."""
+    split = df.select(F.col(id_col).alias("id"), *[_terms(p).alias(f"_t{i}") for i, p in enumerate(paths)])
+    lists = F.array(
+        *[
+            F.struct(F.lit(i).alias("no"), F.col(f"_t{i}").alias("terms"), F.size(f"_t{i}").cast("bigint").alias("length"))
+            for i in range(len(paths))
+        ]
+    )
+    return split.select("id", F.explode(lists).alias("f")).select("id", "f.*").filter("length > 0")
+
+
+def named_field(paths: Sequence[Path]) -> list[Column]:
+    """``field, analysis`` of the field number ``no``."""
+    names, kinds = ([F.lit(x) for x in some] for some in ([p.name for p in paths], [_analysis(p) for p in paths]))
+    return [F.get(F.array(*names), F.col("no")).alias("field"), F.get(F.array(*kinds), F.col("no")).alias("analysis")]
+
+
 def search_fields(schema: CatalogSchema, fields: Sequence[str] | None) -> list[Path]:
     """The fields a search covers: those listed, or every text and keyword field.
 

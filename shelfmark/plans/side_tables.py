@@ -46,15 +46,24 @@ def write_text_index(df: DataFrame, path: str, fields: Sequence[str] | None = No
 
     Occurrences are dealt out by (term, id), once for counting and for the files: a term that
     most documents hold spreads over all files, and no ranges have to be found first.
+
+    The documents are split into words once: an occurrence says in ``heads`` how often it was
+    the first of its field, so that the files also give the statistics of the fields.
     """
-    index = rv.TextIndex.of(df, fields)
-    counted = index.occurrences.repartition("term", "id").groupBy("id", "field", "analysis", "length", "term").agg(
-        F.sum("tf").alias("tf")
+    paths = rv.search_fields(CatalogSchema.of(df), fields)
+    words = rv.terms_of(df, paths).select("id", "no", "length", F.posexplode("terms").alias("place", "term"))
+    # fields go by their number through the shuffle and the sort
+    counted = words.repartition("term", "id").groupBy("id", "no", "length", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.count_if(F.col("place") == 0).alias("heads")
     )
-    counted.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/occurrences")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    counted = counted.sortWithinPartitions("term", "id").select("id", *rv.named_field(paths), "length", "term", "tf", "heads")
+    counted.write.mode("overwrite").parquet(f"{path}/occurrences")
     stored = df.sparkSession.read.parquet(f"{path}/occurrences")
+    sums = stored.groupBy("field").agg(F.sum("heads").alias("docs"), F.sum("tf").alias("total"))
+    sums.select("field", "docs", (F.col("total") / F.col("docs")).alias("mean_length"), "total").write.mode("overwrite").parquet(f"{path}/stats")
     terms = stored.groupBy("analysis", "term").agg(F.count("*").alias("documents"))
+    # few bytes, but much work on each term: dealt out to all cores
+    terms = terms.repartition(df.sparkSession.sparkContext.defaultParallelism, "term")
     variants = terms.select(F.explode(tx.half_rests(F.col("term"))).alias("variant"), "analysis", "term", "documents")
     # common rests spread over files, as common terms do
     variants = variants.repartition("variant", "term").sortWithinPartitions("variant", "term")
@@ -67,7 +76,7 @@ def read_text_index(
     paths = rv.search_fields(schema, fields)
     names = [p.name for p in paths]
     return rv.TextIndex(
-        spark.read.parquet(f"{path}/occurrences").filter(F.col("field").isin(names)),
+        spark.read.parquet(f"{path}/occurrences").drop("heads").filter(F.col("field").isin(names)),
         spark.read.parquet(f"{path}/stats").filter(F.col("field").isin(names)),
         tuple((p.name, rv._analysis(p)) for p in paths),
         spark.read.parquet(f"{path}/variants"),

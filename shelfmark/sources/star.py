@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from shelfmark.operators.registry import REGISTRY
 from shelfmark.operators.sessions import LEDGER
+from shelfmark.runtime import spread
 from shelfmark.schema import PRODUCT, PROPERTY
 
 
@@ -30,7 +31,8 @@ def property_entry(**values: str) -> str:
 
 def catalog(spark: SparkSession, sf_dir: str, categories: bool = True) -> DataFrame:
     """One product per part; a part sold in no line has no categories."""
-    part = table(spark, sf_dir, "part")
+    # a row of a part makes four entries of properties
+    part = spread(table(spark, sf_dir, "part"))
     key = F.col("p_partkey")
     brand = property_entry(
         KeyName="'Brand'", Translation="p_brand", FriendlyName="'Brand name'", RecordId="p_partkey"

@@ -340,3 +340,33 @@ def test_texts_in_an_array_with_nulls(spark):
     assert ids(cr.criteria_filter(df, {"tags": "red"})) == ["1"]
     assert ids(cr.criteria_filter(df, {"tags": None})) == ["2", "3"]
     assert {r["id"] for r in text_search(df, "thing", ["tags"]).hits.collect()} == {"1"}
+
+
+def test_a_text_index_splits_its_documents_once(spark, tmp_path):
+    """Terms, lengths and statistics come from one reading of the documents."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(t):
+        made.add(1)
+        return t
+
+    said = [("a", "red red kettle", "x"), ("b", "kettle", None), ("c", None, None), ("a", "red", "y")]
+    rows = spark.createDataFrame(said, "id string, t string, note string")
+    counted = rows.select("id", F.udf(text)("t").alias("text"), "note")
+    write_text_index(counted, f"{tmp_path}/text", ["text", "note"])
+    assert made.value == len(said)
+    plain = rows.select("id", F.col("t").alias("text"), "note")
+    index = read_text_index(spark, f"{tmp_path}/text", CatalogSchema.of(plain), ["text", "note"])
+    whole = rv.TextIndex.of(plain, ["text", "note"])
+    assert {tuple(r) for r in index.stats.collect()} == {tuple(r) for r in whole.stats.collect()}
+    assert index.occurrences.schema.names == ["id", "field", "analysis", "length", "term", "tf"]
+    by = ["id", "field", "analysis", "length", "term"]
+    summed = whole.occurrences.groupBy(*by).agg(F.sum("tf"))
+    assert sorted(tuple(r) for r in index.occurrences.collect()) == sorted(tuple(r) for r in summed.collect())
+
+
+def test_the_catalog_is_made_on_all_cores(spark):
+    from shelfmark.sources.star import catalog
+
+    made = catalog(spark, "/root/testdata/sf0.001", categories=False)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
