@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as tx
 from shelfmark.operators import facets as fc
 from shelfmark.operators import relevance as rv
+from shelfmark.runtime import cut_lineage
 from shelfmark.schema import CatalogSchema
 
 
@@ -101,5 +102,6 @@ def extended(
     ]
     summed = moved[0].unionByName(moved[1]).unionByName(moved[2]).groupBy("field")
     stats = summed.agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs > 0")
-    stats = stats.withColumn("mean_length", F.col("total") / F.col("docs"))
+    # one row per field, which every use would make anew from all merged rows
+    stats = cut_lineage(stats.withColumn("mean_length", F.col("total") / F.col("docs")))
     return rv.TextIndex(occurrences, stats, index.fields, index.variants, after.occurrences)

@@ -162,6 +162,16 @@ def test_a_default_search_reads_the_index_after_changes(spark, catalog, monkeypa
     assert sizes == [3, 2]
 
 
+def test_a_search_merges_the_changes_once(spark, catalog):
+    """What scores the hits was written down: neither the version nor its changes are read again for it."""
+    rows = spark.createDataFrame([(f"p{i}", "red kettle" if i % 2 else "lamp") for i in range(6)], "id string, SearchName string")
+    catalog.deploy("kettles", rows, rg.AUTO_SWAP, unique=True)
+    catalog.write_changes("kettles", upserts=spark.createDataFrame([("p0", "green kettle")], "id string, SearchName string"))
+    found = catalog.search_text("kettles", "kettle", highlight=False, fuzziness=0).matches
+    assert {r["id"] for r in found.collect()} == {"p0", "p1", "p3", "p5"}
+    assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_page_is_fetched_by_literals(spark, catalog):
     catalog.deploy("shop", make_products(spark, 30), rg.AUTO_SWAP)
     plan = catalog.search_text("shop", "product", highlight=False).hits._jdf.queryExecution().executedPlan().toString()
