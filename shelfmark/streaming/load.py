@@ -108,6 +108,8 @@ class LoadSession:
             "batch", F.floor((F.col("_n") - 1) / self.batch_size) + 1
         )
         parsed = src.parse_lines(numbered, self.schema)
+        # only a row that is set aside keeps its text
+        parsed = parsed.withColumn("document", F.when(F.col("error").isNotNull(), F.col("document")))
         keyed = parsed.withColumn(
             "id",
             ing.derive_id(F.col("id"), F.col("RecordId"), F.lit(self.session), F.lit(epoch), "batch", "_n"),

@@ -222,3 +222,17 @@ def test_broken_lines_are_reported_and_nested_fields_kept(spark, tmp_path):
     assert by_id[5]["reason"] is None and by_id[5]["extra"] is None
     with pytest.raises(Exception):
         src.read_products(spark, f"{tmp_path}/in", strict=True).collect()
+
+
+def test_only_rows_set_aside_keep_their_text(spark, root, monkeypatch):
+    """The rows that a session holds meanwhile are parsed; their text is not held beside them."""
+    from shelfmark.operators import ingest as ing
+
+    held, whole = [], ing.duplicate_ids
+    monkeypatch.setattr(ing, "duplicate_ids", lambda df, *by: held.append(df.select("id", "document").collect()) or whole(df, *by))
+    session = LoadSession(BlueGreenCatalog(spark, root), "shop")
+    bad = '{"id": "x", "Price": "dear"}'
+    session.process(spark.createDataFrame([(json.dumps(product(1)),), (bad,)], "value string"))
+    assert {tuple(r) for r in held[0]} == {("p1", None), ("x", bad)}
+    assert [r["document"] for r in session.rejected().collect()] == [bad]
+    assert [r["id"] for r in session.accepted().collect()] == ["p1"]
