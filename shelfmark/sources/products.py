@@ -177,36 +177,63 @@ def _field(v: Column, fields: Column, f: T.StructField) -> Column:
     return normalise_properties(F.try_variant_get(v, f"$.{PROPERTIES}", "variant"))
 
 
-def mismatch(root: str, path: str, dtype: T.DataType, name: str, kind: str | None = None, depth: int = 0) -> str | None:
+def mismatch(
+    root: str, path: str, dtype: T.DataType, name: str, kind: str | None = None, depth: int = 0, stored: str | None = None
+) -> str | None:
     """SQL for why the variant at ``path`` of ``root`` cannot be stored as ``dtype``, at the first place where it cannot.
 
     The SQL is null where it can; None says that nothing can be wrong. Nulls and absent
     fields always fit. Text takes numbers and booleans, but no objects or lists. A
-    property map may be in list form. One text per field is much faster to build than
+    property map may be in list form. ``stored`` is the typed value, if it is known: a
+    cast that failed is not tried again. One text per field is much faster to build than
     columns part by part.
     """
-    raw = f"try_variant_get({root}, '{path}', 'variant')"
+    raw = root if path == "$" else f"try_variant_get({root}, '{path}', 'variant')"
     given = f"{raw} IS NOT NULL AND NOT is_variant_null({raw})"
     wrong = f"'failed to parse field [{name}] of type [{kind or inferred_kind(dtype)}]'"
     if isinstance(dtype, T.VariantType):
         return None
     if isinstance(dtype, T.StructType):
-        whole = f"CASE WHEN {given} AND NOT startswith(schema_of_variant({raw}), 'OBJECT') THEN {wrong} END"
-        below = [mismatch(root, f"{path}.{f.name}", f.dataType, f"{name}.{f.name}", kind_of(f), depth) for f in dtype.fields]
-        return f"coalesce({', '.join([whole, *filter(None, below)])})"
+        below = [
+            mismatch(f"o{depth}.`{f.name}`", "$", f.dataType, f"{name}.{f.name}", kind_of(f), depth + 1, stored and f"{stored}.`{f.name}`")
+            for f in dtype.fields
+        ]
+        found = f"CASE WHEN o{depth} IS NOT NULL THEN coalesce({', '.join(['CAST(NULL AS STRING)', *filter(None, below)])}) WHEN {given} THEN {wrong} END"
+        return f"transform(array({_parts(root, path, dtype.fields)}), o{depth} -> {found})[0]"
     if isinstance(dtype, (T.ArrayType, T.MapType)):
-        entries = f"try_variant_get({root}, '{path}', 'array<variant>')"
-        inner = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype.valueType
-        if isinstance(dtype, T.MapType):
-            entries = f"coalesce(map_values(try_variant_get({root}, '{path}', 'map<string,variant>')), {entries})"
-        none = f"CASE WHEN {given} AND {entries} IS NULL THEN {wrong} END"
+        inner = _inner(dtype)
         each = mismatch(f"e{depth}", "$", inner, name, kind, depth + 1)
+        known = stored and mismatch(f"e{depth}", "$", inner, name, kind, depth + 1, f"t{depth}")
+        listed, by_key = (f"try_variant_get({root}, '{path}', '{t}')" for t in ("array<variant>", "map<string,variant>"))
+        if isinstance(dtype, T.ArrayType):
+            entries, ours, values = listed, listed, stored
+        else:
+            ours, values = f"map_values({by_key})", f"map_values({stored})"
+            entries = f"coalesce({ours}, {listed})"
+        none = f"CASE WHEN {given} AND {entries} IS NULL THEN {wrong} END"
         if each is None:
             return none
-        return f"coalesce({none}, get(filter(transform({entries}, e{depth} -> {each}), x{depth} -> x{depth} IS NOT NULL), 0))"
+        first = f"x{depth} -> x{depth} IS NOT NULL), 0)"
+        found = f"coalesce({none}, get(filter(transform({entries}, e{depth} -> {each}), {first})"
+        if not known:
+            return found
+        beside = f"get(filter(zip_with({values}, {ours}, (t{depth}, e{depth}) -> {known}), {first}"
+        return f"CASE WHEN {stored} IS NOT NULL THEN {beside} ELSE {found} END"
     if isinstance(dtype, T.StringType):
+        given = _like_json(stored) if stored else given
         return f"CASE WHEN {given} AND schema_of_variant({raw}) RLIKE '^(OBJECT|ARRAY)' THEN {wrong} END"
-    return f"CASE WHEN try_variant_get({root}, '{path}', '{dtype.simpleString()}') IS NULL AND {given} THEN {wrong} END"
+    stored = stored or f"try_variant_get({root}, '{path}', '{dtype.simpleString()}')"
+    return f"CASE WHEN {stored} IS NULL AND {given} THEN {wrong} END"
+
+
+def _like_json(text: str) -> str:
+    return f"(startswith({text}, '{{') OR startswith({text}, '['))"
+
+
+def _parts(root: str, path: str, fields: list[T.StructField]) -> str:
+    """SQL for the fields of an object as variants, in one walk that passes over absent fields."""
+    types = ", ".join(f"`{f.name}`: variant" for f in fields)
+    return f"try_variant_get({root}, '{path}', 'struct<{types}>')"
 
 
 def _stored_type(dtype: T.DataType, short: bool = True) -> str:
@@ -223,18 +250,11 @@ def _stored_type(dtype: T.DataType, short: bool = True) -> str:
     return dtype.simpleString()
 
 
-def _given_type(dtype: T.DataType, top: bool = True) -> str | None:
-    """The same as text, for what may turn null when it is cast: numbers, and below a top field lists and objects."""
-    if isinstance(dtype, (T.StringType, T.VariantType)):
+def _names_type(dtype: T.DataType) -> str | None:
+    """The names of the fields of each object that a top field holds, as a type, where these are declared."""
+    if not _has_fields(dtype):
         return None
-    inner = _inner(dtype) if top else None
-    if isinstance(inner, T.StructType):
-        types = [(f.name, _given_type(f.dataType, False)) for f in inner.fields]
-        if not any(t for _, t in types):
-            return None
-        fields = f"struct<{', '.join(f'`{n}`: {t}' for n, t in types if t)}>"
-        return fields if dtype is inner else f"array<{fields}>" if isinstance(dtype, T.ArrayType) else f"map<string, {fields}>"
-    return None if top and inner is not dtype else "string"
+    return NAMES if isinstance(dtype, T.StructType) else f"array<{NAMES}>" if isinstance(dtype, T.ArrayType) else f"map<string, {NAMES}>"
 
 
 def typed(root: str, fields: list[T.StructField]) -> str:
@@ -243,30 +263,33 @@ def typed(root: str, fields: list[T.StructField]) -> str:
     return f"try_variant_get({root}, '$', 'struct<{types}>')"
 
 
-def _fits(stored: str, given: str | None, dtype: T.DataType, absent: str = "false", top: bool = True) -> str:
+def _fits(stored: str, names: str | None, dtype: T.DataType, absent: str = "false") -> str:
     """SQL that is true only where a value surely can be stored; the rest is judged by ``mismatch``.
 
-    ``stored`` is the typed value, ``given`` what was given as text (see ``_given_type``),
-    and ``absent`` says that nothing was given.
+    ``stored`` is the typed value, ``names`` are those of the fields given in each of its
+    objects (see ``_names_type``), and ``absent`` says that nothing was given.
     """
     if isinstance(dtype, T.VariantType):
         return "true"
     if isinstance(dtype, T.StringType):
-        return f"({stored} IS NULL OR NOT (startswith({stored}, '{{') OR startswith({stored}, '[')))"
-    if not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return f"({stored} IS NOT NULL OR {given} IS NULL)" if given else f"{stored} IS NOT NULL"
-    if not top and given:
-        given, absent = None, f"{given} IS NULL"
+        return f"({stored} IS NULL OR NOT {_like_json(stored)})"
     if isinstance(dtype, T.StructType):
-        below = [
-            _fits(f"{stored}.`{f.name}`", f"{given}.`{f.name}`" if given and _given_type(f.dataType, False) else None, f.dataType, top=False)
-            for f in dtype.fields
-        ]
-        return f"({stored} IS NOT NULL AND {' AND '.join(below) or 'true'} OR {absent})"
+        parts = [(f, f"{stored}.`{f.name}`") for f in dtype.fields]
+        texts = [_fits(p, None, f.dataType) for f, p in parts if isinstance(f.dataType, (T.StringType, T.VariantType))]
+        others = [f for f, _ in parts if not isinstance(f.dataType, (T.StringType, T.VariantType))]
+        if others and names:
+            keys, some = f"map_keys({names})", _among("n", [f.name for f in others])
+            checks = [_fits(p, None, f.dataType, f"NOT exists({keys}, n -> n = '{f.name}')") for f, p in parts if f in others]
+            texts.append(f"(NOT exists({keys}, n -> {some}) OR {' AND '.join(checks)})")
+        else:
+            texts += [_fits(p, None, f.dataType) for f, p in parts if f in others]
+        return f"({stored} IS NOT NULL AND {' AND '.join(texts) or 'true'} OR {absent})"
+    if not isinstance(dtype, (T.ArrayType, T.MapType)):
+        return f"({stored} IS NOT NULL OR {absent})"
     values = stored if isinstance(dtype, T.ArrayType) else f"map_values({stored})"
-    if given:
-        texts = given if isinstance(dtype, T.ArrayType) else f"map_values({given})"
-        each = f"forall(zip_with({values}, {texts}, (a, b) -> {_fits('a', 'b', _inner(dtype))}), a -> a)"
+    if names:
+        names = names if isinstance(dtype, T.ArrayType) else f"map_values({names})"
+        each = f"forall(zip_with({values}, {names}, (a, b) -> {_fits('a', 'b', _inner(dtype))}), a -> a)"
     else:
         name = f"a{stored.count('.')}"
         each = f"forall({values}, {name} -> {_fits(name, None, _inner(dtype))})"
@@ -275,26 +298,30 @@ def _fits(stored: str, given: str | None, dtype: T.DataType, absent: str = "fals
 
 def _absent(root: str, f: T.StructField) -> str:
     """No name is found faster than a null."""
-    return f"(NOT array_contains(q.n, '{f.name}') OR try_variant_get({root}, '$.{f.name}', 'string') IS NULL)"
+    return f"(NOT exists(q.n, n -> n = '{f.name}') OR is_variant_null(try_variant_get({root}, '$.{f.name}', 'variant')))"
 
 
 def _doubt(root: str, f: T.StructField, then: str) -> str:
-    """SQL for ``then`` where the field of ``q.t`` (typed) and ``q.s`` (as text) may not fit, else null."""
-    given = f"q.s.`{f.name}`" if _given_type(f.dataType) else None
-    return f"CASE WHEN {_fits(f'q.t.`{f.name}`', given, f.dataType, _absent(root, f))} THEN NULL ELSE {then} END"
+    """SQL for ``then`` where the field of ``q.t`` (typed) may not fit, else null."""
+    names = f"q.s.`{f.name}`" if _names_type(f.dataType) else None
+    return f"CASE WHEN {_fits(f'q.t.`{f.name}`', names, f.dataType, _absent(root, f))} THEN NULL ELSE {then} END"
+
+
+def _mismatch_of(root: str, f: T.StructField) -> str | None:
+    return mismatch(root, f"$.{f.name}", f.dataType, f.name, kind_of(f), stored=f"q.t.`{f.name}`")
 
 
 def _reason(root: str, fields: list[T.StructField]) -> str:
-    found = [(f, mismatch(root, f"$.{f.name}", f.dataType, f.name, kind_of(f))) for f in fields]
+    found = [(f, _mismatch_of(root, f)) for f in fields]
     return f"coalesce({', '.join(['CAST(NULL AS STRING)', *(_doubt(root, f, m) for f, m in found if m)])})"
 
 
 def _judged(root: str, fields: list[T.StructField], made: str, stored: str | None = None) -> Column:
-    """``made``, SQL over ``q``, made once a row: ``t`` and ``s`` are the fields typed and as text, ``n`` the names of the given ones."""
-    types = [(f.name, _given_type(f.dataType)) for f in fields]
-    text = f"try_variant_get({root}, '$', 'struct<{', '.join(f'`{n}`: {t}' for n, t in types if t)}>')"
+    """``made``, SQL over ``q``, made once a row: ``t`` are the fields typed, ``n`` the names of the given ones, ``s`` those of the fields below."""
+    types = [(f.name, _names_type(f.dataType)) for f in fields]
+    inside = f"try_variant_get({root}, '$', 'struct<{', '.join(f'`{n}`: {t}' for n, t in types if t)}>')"
     names = f"map_keys(try_variant_get({root}, '$', '{NAMES}'))"
-    return F.expr(f"transform(array(named_struct('t', {stored or typed(root, fields)}, 's', {text}, 'n', {names})), q -> {made})[0]")
+    return F.expr(f"transform(array(named_struct('t', {stored or typed(root, fields)}, 's', {inside}, 'n', {names})), q -> {made})[0]")
 
 
 def faults(root: str, fields: list[T.StructField]) -> Column:
@@ -312,23 +339,35 @@ def undeclared(root: str, path: str, dtype: T.DataType, depth: int = 0) -> str:
     Entries of a list appear under their place. The short form of a property fills two
     declared fields.
     """
-    entries = f"try_variant_get({root}, '{path}', 'map<string,variant>')"
+    objects = "map<string,variant>"
     if isinstance(dtype, T.StructType):
-        found = f"map_filter({entries}, (k{depth}, v{depth}) -> k{depth} NOT IN ({_declared(dtype)}))"
-        below = [
-            f"named_struct('k', '{f.name}', 'v', {undeclared(root, f'{path}.{f.name}', f.dataType, depth + 1)})"
+        return f"transform(array(try_variant_get({root}, '{path}', '{objects}')), o{depth} -> {_rest(f'o{depth}', dtype, depth)})[0]"
+    each = _rest(f"o{depth}", dtype.elementType if isinstance(dtype, T.ArrayType) else dtype.valueType, depth)
+    pairs = (
+        f"transform(try_variant_get({root}, '{path}', 'array<{objects}>'), "
+        f"(o{depth}, i{depth}) -> named_struct('k', CAST(i{depth} AS STRING), 'v', {each}))"
+    )
+    found = _given_sql(pairs, depth)
+    if isinstance(dtype, T.MapType):
+        entries = f"try_variant_get({root}, '{path}', 'map<string,{objects}>')"
+        by_key = f"map_filter(transform_values({entries}, (k{depth}, o{depth}) -> {each}), (k{depth}, v{depth}) -> v{depth} IS NOT NULL)"
+        found = f"coalesce({by_key}, {found})"
+    return _object(found, f"m{depth}")
+
+
+def _rest(entries: str, dtype: T.StructType, depth: int) -> str:
+    """``undeclared`` of an object, given as its entries."""
+    found = f"map_filter({entries}, (k{depth}, v{depth}) -> NOT {_among(f'k{depth}', _declared(dtype))})"
+    values = {f.name: f"try_element_at({entries}, '{f.name}')" for f in dtype.fields if _has_fields(f.dataType)}
+    if values:
+        below = ", ".join(
+            f"named_struct('k', '{f.name}', 'v', CASE WHEN {values[f.name]} IS NOT NULL THEN {undeclared(values[f.name], '$', f.dataType, depth + 1)} END)"
             for f in dtype.fields
-            if _has_fields(f.dataType)
-        ]
-        if below:
-            found = f"map_concat({found}, {_given_sql(f'array({', '.join(below)})', depth)})"
-    elif isinstance(dtype, T.MapType):
-        each = undeclared(f"v{depth}", "$", dtype.valueType, depth + 1)
-        by_key = f"map_filter(transform_values({entries}, (k{depth}, v{depth}) -> {each}), (k{depth}, v{depth}) -> v{depth} IS NOT NULL)"
-        found = f"coalesce({by_key}, {_by_place(root, path, dtype.valueType, depth)})"
-    else:
-        found = _by_place(root, path, dtype.elementType, depth)
-    return f"transform(array({found}), m{depth} -> CASE WHEN size(m{depth}) > 0 THEN to_variant_object(m{depth}) END)[0]"
+            if f.name in values
+        )
+        none = " AND ".join(f"{v} IS NULL" for v in values.values())
+        found = f"CASE WHEN {none} THEN {found} ELSE map_concat({found}, {_given_sql(f'array({below})', depth)}) END"
+    return _object(found, f"m{depth}")
 
 
 def _inner(dtype: T.DataType) -> T.DataType:
@@ -339,9 +378,12 @@ def _has_fields(dtype: T.DataType) -> bool:
     return isinstance(_inner(dtype), T.StructType)
 
 
-def _declared(dtype: T.StructType) -> str:
-    names = [f.name for f in dtype.fields] + (["Name", "Value"] if dtype == PROPERTY else [])
-    return ", ".join(f"'{n}'" for n in names)
+def _declared(dtype: T.StructType) -> list[str]:
+    return [f.name for f in dtype.fields] + (["Name", "Value"] if dtype == PROPERTY else [])
+
+
+def _among(name: str, names: list[str]) -> str:
+    return f"{name} IN ({', '.join(f"'{n}'" for n in names)})" if names else "false"
 
 
 #: Names of fields without their values.
@@ -365,19 +407,31 @@ def _strays(root: str, path: str, dtype: T.DataType, way: tuple[tuple[str, str],
             continue
         values = at if step.startswith("array") else f"map_values({at})"
         inside, at = inside.format(f"exists({values}, w{i} -> {{}})"), f"w{i}"
-    found = [f"coalesce({inside.format(f'exists(map_keys({at}), n -> n NOT IN ({_declared(dtype)}))')}, false)"]
+    found = [f"coalesce({inside.format(f'exists(map_keys({at}), n -> NOT {_among('n', _declared(dtype))})')}, false)"]
     for f in dtype.fields:
         if _has_fields(f.dataType):
             found += _strays(root, path, f.dataType, (*way, (f"struct<`{f.name}`: {{}}>", f.name)))
     return found
 
 
-def _undeclared_of(root: str, f: T.StructField, stored: str) -> str:
+def _undeclared_of(root: str, f: T.StructField) -> str:
     """``undeclared`` of a field, built only where the field is in no declared form or holds a name that is not declared."""
-    path = f"$.{f.name}"
-    some = " OR ".join(_strays(root, path, f.dataType))
+    path, stored, names, inner = f"$.{f.name}", f"q.t.`{f.name}`", f"q.s.`{f.name}`", _inner(f.dataType)
+    stray = f"exists(map_keys(w), n -> NOT {_among('n', _declared(inner))})"
+    if inner is f.dataType:
+        own, below = stray.replace("map_keys(w)", f"map_keys({names})"), [(f"{stored}.`{g.name}` IS NOT NULL", g) for g in inner.fields]
+    else:
+        each = "{}" if isinstance(f.dataType, T.ArrayType) else "map_values({})"
+        own = f"exists({each.format(names)}, w -> {stray})"
+        below = [(f"exists({each.format(stored)}, w -> w.`{g.name}` IS NOT NULL)", g) for g in inner.fields]
+    deeper = _strays(root, path, f.dataType)[1:]
+    if deeper:
+        # what is deeper is looked at only where there is some; the list form of a map is not seen in the typed value
+        some = [held for held, g in below if _has_fields(g.dataType) and not isinstance(g.dataType, T.MapType)]
+        held = "true" if any(isinstance(g.dataType, T.MapType) and _has_fields(g.dataType) for _, g in below) else " OR ".join(some)
+        own = f"coalesce({own}, false) OR (({held}) AND ({' OR '.join(deeper)}))"
     return (
-        f"CASE WHEN {stored} IS NOT NULL AND NOT ({some}) THEN NULL WHEN {stored} IS NULL AND {_absent(root, f)} THEN NULL "
+        f"CASE WHEN {stored} IS NOT NULL AND NOT coalesce({own}, false) THEN NULL WHEN {stored} IS NULL AND {_absent(root, f)} THEN NULL "
         f"ELSE {undeclared(root, path, f.dataType, 1)} END"
     )
 
@@ -386,15 +440,6 @@ def _given_sql(pairs: str, depth: int) -> str:
     return f"map_from_entries(filter({pairs}, p{depth} -> p{depth}.v IS NOT NULL))"
 
 
-def _by_place(root: str, path: str, inner: T.DataType, depth: int) -> str:
-    each = undeclared(f"e{depth}", "$", inner, depth + 1)
-    pairs = (
-        f"transform(try_variant_get({root}, '{path}', 'array<variant>'), "
-        f"(e{depth}, i{depth}) -> named_struct('k', CAST(i{depth} AS STRING), 'v', {each}))"
-    )
-    return _given_sql(pairs, depth)
-
-
 NOTHING = "CAST(map() AS map<string, variant>)"
 
 
@@ -404,34 +449,34 @@ def _object(entries: str, name: str) -> str:
 
 def _of_given(values: dict[str, str]) -> str:
     """SQL over ``q`` for entries of the given fields among ``values``: work goes by what a document holds."""
-    names = ", ".join(f"'{n}'" for n in values)
     cases = " ".join(f"WHEN '{n}' THEN {v}" for n, v in values.items())
-    return f"transform(filter(q.n, n -> n IN ({names})), n -> named_struct('k', n, 'v', CASE n {cases} END))"
+    return f"transform(filter(q.n, n -> {_among('n', list(values))}), n -> named_struct('k', n, 'v', CASE n {cases} END))"
 
 
 def _beside(root: str, schema: T.StructType) -> str:
     """SQL over ``q`` for ``_extra``: undeclared fields, and values that disabled columns, which take anything, cannot hold."""
     entries = f"try_variant_get({root}, '$', 'map<string,variant>')"
-    found = (
-        f"CASE WHEN coalesce(exists(q.n, n -> n NOT IN ({_declared(schema)})), false) "
-        f"THEN map_filter({entries}, (k0, v0) -> k0 NOT IN ({_declared(schema)})) ELSE {NOTHING} END"
-    )
-    below = {f.name: _undeclared_of(root, f, f"q.t.`{f.name}`") for f in schema.fields if _has_fields(f.dataType)}
-    if below:
-        found = f"map_concat({found}, {_given_sql(_of_given(below), 0)})"
+    stray = f"coalesce(exists(q.n, n -> NOT {_among('n', _declared(schema))}), false)"
+    own = f"map_filter({entries}, (k0, v0) -> NOT {_among('k0', _declared(schema))})"
+    # the more often used fields first, as branches are tried in order
+    below = {f.name: _undeclared_of(root, f) for f in sorted(schema.fields, key=lambda f: kind_of(f) == DISABLED) if _has_fields(f.dataType)}
+    inside = _given_sql(_of_given(below), 0) if below else NOTHING
+    found = f"transform(array({inside}), b -> CASE WHEN {stray} THEN map_concat({own}, b) ELSE b END)[0]"
     extra = _object(found, "m0")
     off = [f for f in schema.fields if kind_of(f) == DISABLED and not isinstance(f.dataType, (T.StringType, T.VariantType))]
     if not off:
         return extra
     lost = {}
     for f in off:
-        whole = f"CASE WHEN {mismatch(root, f'$.{f.name}', f.dataType, f.name)} IS NOT NULL THEN try_variant_get({root}, '$.{f.name}', 'variant') END"
+        whole = f"CASE WHEN {_mismatch_of(root, f)} IS NOT NULL THEN try_variant_get({root}, '$.{f.name}', 'variant') END"
         lost[f.name] = _doubt(root, f, whole)
     kept = _given_sql(_of_given(lost), 0)
+    some = f"exists(q.n, n -> {_among('n', list(lost))})"
     # values that were kept whole need no second entry for what is undeclared inside them
-    own = f"coalesce(try_variant_get({extra}, '$', 'map<string,variant>'), {NOTHING})"
+    own = f"coalesce(try_variant_get(x, '$', 'map<string,variant>'), {NOTHING})"
     both = _object(f"map_concat(map_filter({own}, (k, v) -> NOT map_contains_key(whole, k)), whole)", "m")
-    return f"transform(array({kept}), whole -> CASE WHEN size(whole) = 0 THEN {extra} ELSE {both} END)[0]"
+    both = f"transform(array({kept}), whole -> CASE WHEN size(whole) = 0 THEN x ELSE {both} END)[0]"
+    return f"transform(array({extra}), x -> CASE WHEN {some} THEN {both} ELSE x END)[0]"
 
 
 def parse_lines(

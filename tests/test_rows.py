@@ -326,6 +326,26 @@ def test_a_line_is_judged_by_what_it_holds(spark):
     assert {r.id for r in wr.patch_errors(variants.withColumn("id", F.col("n").cast("string"))).collect()} == {str(r.n) for r in both if r.a} | {"10"}
 
 
+def test_a_cast_that_failed_is_not_tried_again(spark):
+    """A field in doubt is judged from its typed value, object by object: no path for each declared field, no second cast."""
+    props = next(f for f in PRODUCT.fields if f.name == src.PROPERTIES)
+    entry = props.dataType.valueType
+    known = src.mismatch("v", "$", entry, props.name, stored="t")
+    assert "'bigint'" not in known and "$." not in known and "$." not in src.mismatch("v", "$", entry, props.name)
+    assert "$.ExtensionProperties" not in src.undeclared("v", f"$.{props.name}", props.dataType)
+    docs = [
+        {"S": {"Distance": "far", "KeyName": "{"}}, {"S": {"KeyName": "a"}, "T": {"KeyName": {"x": 1}, "Distance": None}},
+        [{"Name": "S", "Value": 4}, {"Distance": "far"}], {"S": {"ExtensionProperties": [{"name": "n", "odd": 1}], "Odd": 2, "Source": "7"}},
+        {"S": None}, {"S": 3}, "none", {"S": {"ExtensionProperties": 1}},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps({props.name: d})) for i, d in enumerate(docs)], "n int, value string")
+    got = src.parse_lines(rows).select("n", "error.reason", F.to_json("_extra").alias("extra")).orderBy("n").collect()
+    wrong = [(r.reason or "")[len("failed to parse field [DefaultProductProperties"):].split(" ")[0] for r in got]
+    assert wrong == [".Distance]", ".KeyName]", ".Distance]", "", "", "]", "]", ".ExtensionProperties]"]
+    extra = {"DefaultProductProperties": {"S": {"Odd": 2, "ExtensionProperties": {"0": {"odd": 1}}}}}
+    assert [json.loads(r.extra) if r.extra else None for r in got] == [None, None, None, extra, None, None, None, None]
+
+
 def test_patches_are_condensed_once(spark):
     base = spark.createDataFrame([("a", 1.0, 5), ("b", 2.0, 6)], "id string, Price double, RecordId long")
     rows = [("a", 1, '{"Price": 3}'), ("a", 2, '{"RecordId": null}'), ("c", 1, '{"Price": 4}')]
